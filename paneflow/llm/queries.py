@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paneflow.llm import mixing, tokens
+from paneflow.llm import decontaminate, mixing, near_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,17 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"), max_epochs=3.0)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def byte_bpe() -> str:
     """The tokenizer file that the token queries use."""
     import public_tokenizers
@@ -26,5 +38,15 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenise(_table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
 
 
-QUERIES = {"op2_mix": op2_mix, "op9_tokens": op9_tokens}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80).drop("mark")
+
+
+QUERIES = {
+    "op2_mix": op2_mix,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_toxicity": op5_toxicity,
+    "op9_tokens": op9_tokens,
+    "op10_near_dedup": op10_near_dedup,
+}
 ORACLES: dict[str, str] = {}

@@ -102,6 +102,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return found.withColumn("shard", F.pmod("mark", F.lit(SHARDS)))
 
 
+def _pass_from(state):
+    """One pass over a shard's rows from the broadcast state; the coordinates that it met."""
+
+    def one_pass(group: pa.Table) -> pa.Table:
+        z, n = (x.copy() for x in state.value)
+        before = n.copy()
+        group = group.sort_by("mark")
+        at = [np.frombuffer(x, dtype="<i4") for x in group.column("at").to_pylist()]
+        learn(z, n, at, group.column("y").to_numpy())
+        met = np.flatnonzero(n != before)
+        return pa.table({"at": pa.array(met, pa.int32()), "z": z[met], "n": n[met]})
+
+    return one_pass
+
+
 def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) of the model, at most 2**BITS of them."""
     spark = docs.sparkSession
@@ -115,16 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def one_pass(group: pa.Table, state=state) -> pa.Table:
-            z, n = (x.copy() for x in state.value)
-            before = n.copy()
-            group = group.sort_by("mark")
-            at = [np.frombuffer(x, dtype="<i4") for x in group.column("at").to_pylist()]
-            learn(z, n, at, group.column("y").to_numpy())
-            met = np.flatnonzero(n != before)
-            return pa.table({"at": pa.array(met, pa.int32()), "z": z[met], "n": n[met]})
-
-        merged = rows.groupBy("shard").applyInArrow(one_pass, "at int, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+        merged = rows.groupBy("shard").applyInArrow(_pass_from(state), "at int, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         at = merged.column("at").to_numpy()
         z[at], n[at] = merged.column("z").to_numpy(), merged.column("n").to_numpy()
         state.unpersist()
