@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from paneflow.llm.common import Workspace, text_chunks
 
-#: Pieces whose ids a worker remembers; then it starts anew.
-MEMO = 300_000
+#: Pieces whose ids a worker process remembers from task to task (some 300 MB); then it starts anew.
+MEMO = 1_200_000
 _ODD = re.compile(r"\s | \s|\x01")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 MANIFEST = "part int, path string, documents long, tokens long"
@@ -74,13 +75,19 @@ class Encoder:
         return [b"".join(map(memo.__getitem__, pieces)) + self.end for pieces in cut]
 
 
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """The one encoder of a worker process."""
+    return Encoder(path, end_id)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files below ``folder`` (a shared one); the manifest rows, lazily."""
 
     def task(batches):
         context = TaskContext.get()
         part = context.partitionId()
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         fs, root = pafs.FileSystem.from_uri(folder)
         stem = f"{root}/part-{part:06d}-{context.taskAttemptId()}"
         out, ends, valid, ids, at = None, [0], [], [], 0
