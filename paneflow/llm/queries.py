@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneflow.llm import decontaminate, media, mixing, near_dedup, tokens, toxicity, warc
+from paneflow.llm import decontaminate, media, mixing, near_dedup, secrets, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def byte_bpe() -> str:
     """The tokenizer file that the token queries use."""
     import public_tokenizers
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_tokens": op9_tokens,
     "op10_near_dedup": op10_near_dedup,
 }
