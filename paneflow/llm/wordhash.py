@@ -67,7 +67,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     n = len(data)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(n, 1)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power(n, -1)[starts] if n else total[starts]
+    h = (total[ends] - total[starts]) * _power(n + 1, -1)[starts] if n else total[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
