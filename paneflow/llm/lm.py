@@ -115,9 +115,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = max(int(conf.get("spark.sql.shuffle.partitions")), total // PER_PART + 1)
     # both sides below are dealt by ``part``: their join needs no exchange of its own
     with session_conf(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        dealt = dealt_pairs(rows.select("key", "text"), parts).repartition(parts, "part")
+        # the filter and the key are on both sides, so that both read the one exchange
+        dealt = dealt_pairs(rows.select("key", "text"), parts).where("part is not null").repartition(parts, "part")
         each = dealt.select("part", "key", F.explode("pairs").alias("pair"))
-        table = each.groupBy("part", "pair").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST)
+        table = each.groupBy("part", "pair").agg(F.count("*").alias("c"), F.min("key").alias("some_key"))
+        table = table.where((F.col("c") >= LEAST) & F.col("some_key").isNotNull()).drop("some_key")
         scored = each.join(table.hint("shuffle_hash"), ["part", "pair"], "left")
         seen = F.col("c").isNotNull()
         word = F.when(seen, F.shiftrightunsigned("pair", 32)).otherwise(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
