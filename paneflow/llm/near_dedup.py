@@ -4,15 +4,17 @@
    digest of that set, one band hash per BANDS and one byte per MinHash value.
    Rows with equal sets form a class; from here on only classes are compared.
 2. Classes that share a band are candidates. In each bucket every class is paired
-   with one leader, another one in each band, so a bucket gives as many pairs as
-   it has rows, never all of them.
+   with two leaders: one by a hash, another in each band, and the class that meets
+   most others. So a bucket gives twice as many pairs as it has rows at most.
 3. A pair's MinHash bytes are compared in batches. With m of n equal the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped as
    soon as the posterior of a similarity at or over the threshold is below MISS.
 4. What survives is verified on the full shingle sets of the texts.
 5. Buckets whose classes are then still in several components are looked at once
-   more: pairs across components that were never compared go through 3 and 4.
-   Pairs inside a component need no test, as they cannot change the result.
+   more: pairs across components that were never compared go through 3 and 4,
+   each once. Pairs inside a component need no test, as they cannot change the
+   result; so what is met here is the classes that link with no leader against
+   their buckets.
 
 With BANDS bands of ROWS rows, a pair at a similarity of exactly 0.8 shares no
 band with probability (1 - 0.8**5)**40 = 1e-7.
@@ -214,9 +216,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     banded = shape.select("k", F.posexplode("bands").alias("band", "value"))
     turn = F.xxhash64("k", "band")
     buckets = banded.groupBy("band", "value").agg(F.count("*").alias("rows"), F.min(F.struct(turn.alias("turn"), "k")).alias("leader"))
-    buckets = space.table(buckets.where("rows > 1").select("band", "value", F.col("leader.k").alias("leader")), "buckets")
+    buckets = space.table(buckets.where("rows > 1").select("band", "value", "rows", F.col("leader.k").alias("leader")), "buckets")
     members = space.table(join_checked(banded, buckets, ["band", "value"]), "members")
-    stars = members.where(F.col("k") != F.col("leader")).select(*_ordered(F.col("k"), F.col("leader"))).distinct()
+    # a class that meets many others is near the middle of its group: it leads each of its buckets too
+    central = space.table(members.groupBy("k").agg(F.sum("rows").alias("met")), "central")
+    hubs = members.join(central, "k").groupBy("band", "value").agg(F.max(F.struct("met", "k")).alias("hub"))
+    hubs = space.table(hubs.select("band", "value", F.col("hub.k").alias("hub")), "hubs")
+    led = members.select("k", F.col("leader").alias("to")).unionAll(members.join(hubs, ["band", "value"]).select("k", F.col("hub").alias("to")))
+    stars = led.where(F.col("k") != F.col("to")).select(*_ordered(F.col("k"), F.col("to"))).distinct()
     stars = space.table(stars, "stars")
     verify = _Verifier(space, docs, sketches, percent, n)
     edges = verify(stars, "stars")
@@ -226,10 +233,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sized = members.join(classes.select("k", "n"), "k").join(comps, "k", "left").select("band", "value", "k", "n", F.coalesce("comp", "k").alias("comp"))
     sized = space.table(sized, "sized")
     mixed = sized.groupBy("band", "value").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band", "value")
-    sized = space.table(join_checked(sized, space.table(mixed, "mixed"), ["band", "value"]), "across")
-    right = sized.select("band", "value", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    sized = join_checked(sized, space.table(mixed, "mixed"), ["band", "value"]).join(shape.select("k", "bands"), "k")
+    sized = space.table(sized, "across")
+    right = sized.select("band", "value", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("bands").alias("bands2"))
     fits = (F.col("k") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    cross = sized.join(right, ["band", "value"]).where(fits).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
+    # a pair is met once, in the first band that it shares
+    once = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) == F.col("band") + 1
+    cross = sized.join(right, ["band", "value"]).where(fits & once).select(F.col("k").alias("a"), F.col("k2").alias("b"))
     cross = space.table(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     edges = space.table(edges.unionAll(verify(cross, "cross")), "edges")
     comps = components(edges, space, "second")
