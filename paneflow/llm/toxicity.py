@@ -7,17 +7,19 @@ evidence exceeds it; what remains is a small table that is broadcast.
 
 Labelled rows are dealt over SHARDS tasks. Each task runs through its rows from
 the shared state, and the states of the tasks that met a coordinate are averaged
-with one aggregate, ROUNDS times. At most MAX_TRAIN labelled rows are learned from,
-chosen by a seeded hash: the one bound, a parameter.
+with one aggregate, ROUNDS times. At most MAX_TRAIN labelled ids, about, are learned
+from, chosen by a seeded hash: the one bound, a parameter.
 
-Null and empty texts get the score of the bias alone; ids repeat freely; labels
-that are null are left out, an id with several labels counts as toxic if one
+Null and empty texts get the score of the bias alone; ids repeat freely, and each
+different text of a labelled id is learned from once; labels that are null are left out, an id with several labels counts as toxic if one
 says so; with no label of either class the score is the share of toxic rows (0.5
 without any).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,27 +83,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(y, at, shard, mark): labelled, not held-out rows with their coordinates, about MAX_TRAIN at most."""
+    """(y, at, shard, mark): labelled, not held-out rows with their coordinates, of about MAX_TRAIN ids at most."""
     key, mark = F.col(id_col), F.xxhash64(F.col("key"), F.lit(SEED))
     known = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.max("y").alias("y"))
     share = MAX_TRAIN / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)))
+    mark = F.xxhash64("key", "text", F.lit(SEED))
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known), "key")
-    rows = rows.groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                at = [x.astype("<i4").tobytes() for x in row_features(texts)]
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_pydict({"mark": part.column("mark"), "y": part.column("y"), "at": pa.array(at, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"mark": part.column("mark"), "y": part.column("y"), "at": pa.array([pack(x) for x in row_features(texts)], pa.binary())})
 
     found = rows.select(mark.alias("mark"), "y", "text").mapInArrow(task, "mark long, y int, at binary")
+    # repeated rows are one; coordinates, not texts, are shuffled
+    found = found.groupBy("mark").agg(F.max("y").alias("y"), F.first("at").alias("at"))
     return found.withColumn("shard", F.pmod("mark", F.lit(SHARDS)))
 
 
+def pack(at: np.ndarray) -> bytes:
+    """Sorted coordinates as compressed differences."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype="<u4"), dtype=np.int64)
+
+
 def _pass_from(state):
     """One pass over a shard's rows from the broadcast state; the coordinates that it met."""
 
@@ -109,7 +121,7 @@ def _pass_from(state):
         z, n = (x.copy() for x in state.value)
         before = n.copy()
         group = group.sort_by("mark")
-        at = [np.frombuffer(x, dtype="<i4") for x in group.column("at").to_pylist()]
+        at = [unpack(x) for x in group.column("at").to_pylist()]
         learn(z, n, at, group.column("y").to_numpy())
         met = np.flatnonzero(n != before)
         return pa.table({"at": pa.array(met, pa.int32()), "z": z[met], "n": n[met]})
@@ -129,7 +141,6 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
-
         merged = rows.groupBy("shard").applyInArrow(_pass_from(state), "at int, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         at = merged.column("at").to_numpy()
         z[at], n[at] = merged.column("z").to_numpy(), merged.column("n").to_numpy()
