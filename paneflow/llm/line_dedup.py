@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import BROADCAST_ROWS, Workspace, session_conf, text_chunks
+from paneflow.llm.common import Workspace, session_conf, text_chunks
 from paneflow.llm.wordhash import SPACE, buffers, mix, runs, span_hash
 
 SPAN, MEAN, LONG = 2, 3, 20
@@ -87,10 +87,9 @@ def _with_lines(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     """``rows`` with ``lines``, the first lines of their chunks in the written ``listed`` (doc_id, mark, line)."""
     grouped = listed.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     grouped = grouped.withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"})
-    # the lists together hold as many numbers as ``listed`` has rows
-    grouped = F.broadcast(grouped) if listed.count() <= BROADCAST_ROWS else grouped.hint("merge")
+    # the lists grow with the documents: both sides are dealt by row at every size
     same = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("mark") == F.col("mark2"))
-    return rows.join(grouped, same, how).drop("doc_id2", "mark2")
+    return rows.join(grouped.hint("merge"), same, how).drop("doc_id2", "mark2")
 
 
 def _pull(rows: DataFrame, kind: str) -> DataFrame:
@@ -116,8 +115,7 @@ def repeats(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col:
     rows, kind = _keyed(docs, id_col, text_col), dict(docs.dtypes)[id_col]
     found = space.table(_find(rows, kind), "found")
     often = space.table(found.groupBy("h").count().where("count > 1").select("h"), "often")
-    n = often.count()
-    again = found.join(F.broadcast(often) if n <= BROADCAST_ROWS else often.hint("merge"), "h")
+    again = found.join(often.hint("merge"), "h")
     again = space.table(again.select("doc_id", "mark", "line"), "again")
     pulled = space.table(_pull(_with_lines(rows, again, "inner"), kind), "pulled")
     place = F.struct("doc_id", "mark", "line")
