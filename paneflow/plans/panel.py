@@ -1,6 +1,8 @@
-"""Queries over the driver's tables, each with its DuckDB twin."""
+"""All panel queries and their DuckDB twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from paneflow.plans import evaluation, features, graphs, profiles, targets  # noqa: F401
+from paneflow.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
