@@ -82,9 +82,12 @@ def topk_gain(rows: DataFrame, percents: tuple[int, ...], key: str) -> DataFrame
     among = F.row_number().over(Window.partitionBy("p").orderBy(key))
     ranked = rows.where("p is not null").withColumn("p", F.round("p", SCORE_DIGITS)).withColumn("among", among).join(F.broadcast(better), "p")
     place = F.col("before") + F.col("among")
-    total = rows.where("p is not null").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
-    grid = total.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percent") / 100)))
-    hits = ranked.select("y", place.alias("place")).join(F.broadcast(grid), F.col("place") <= F.col("k")).groupBy("percent", "k", "positives").agg(F.sum("y").alias("hits"))
+    known = rows.where("p is not null")
+    n, positives = known.agg(F.count("*")).scalar(), known.agg(F.sum("y")).scalar()
+    sizes = [F.greatest(F.lit(1), F.floor(n * F.lit(q) / 100)).cast("long") for q in percents]
+    found = ranked.select("y", place.alias("place")).agg(*(F.coalesce(F.sum(F.when(F.col("place") <= k, F.col("y"))), F.lit(0)).alias(f"h{q}") for q, k in zip(percents, sizes, strict=True)))
+    items = F.array(*(F.struct(F.lit(q).alias("percent"), k.alias("k"), F.col(f"h{q}").alias("hits"), positives.alias("positives")) for q, k in zip(percents, sizes, strict=True)))
+    hits = found.select(F.explode(items).alias("x")).select("x.*")
     gain = F.try_divide(F.col("hits").cast("double"), F.col("positives").cast("double"))
     return hits.select("percent", "k", gain.alias("gain"), (gain / (F.col("percent") / 100.0)).alias("lift"))
 

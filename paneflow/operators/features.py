@@ -78,7 +78,8 @@ def scaled(parts: DataFrame, stats: DataFrame, column: str, fold: int, log: bool
     """Rows with ``scaled``: log1p, imputed and standardised by the statistics of ``fold``."""
     x = F.col(column).cast("double")
     x = F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0)))) if log else x
-    rows = parts.crossJoin(F.broadcast(stats.where(F.col("fold") == fold).drop("fold")))
+    own = stats.where(F.col("fold") == fold).withColumnRenamed("fold", "_fold")
+    rows = parts.withColumn("_fold", F.lit(fold)).join(F.broadcast(own), "_fold").drop("_fold")
     return rows.withColumn("scaled", (F.coalesce(x, F.col("median")) - F.col("mean")) / F.col("sd")).drop("median", "mean", "sd", "missing_share", "indicator")
 
 

@@ -62,6 +62,6 @@ def holdout(rows: DataFrame, block: str, key: str, share: float = 0.18, seed: in
 def closest_block(rows: DataFrame, block: str, share: float = 0.18) -> DataFrame:
     """The block whose size is nearest to ``share`` of all rows."""
     sizes = rows.groupBy(block).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    gap = F.abs(F.col("n") - F.lit(share) * F.col("total"))
-    return sizes.crossJoin(F.broadcast(total)).orderBy(F.round(gap, 6), block).limit(1).select(block, "n")
+    total = sizes.agg(F.sum("n")).scalar()
+    gap = F.abs(F.col("n") - F.lit(share) * total)
+    return sizes.withColumn("gap", gap).orderBy(F.round("gap", 6), block).limit(1).select(block, "n")

@@ -92,11 +92,10 @@ def drop_edges(edges: DataFrame, share: float = 0.2, seed: int = 19) -> DataFram
 
 def morans_i(edges: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     """n, w, morans_i with binary weights over directed edges."""
-    mean = nodes.agg(F.avg(value).alias("m"))
-    z = nodes.crossJoin(F.broadcast(mean)).select("entity", (F.col(value) - F.col("m")).alias("z"))
-    scale = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    z = nodes.select("entity", (F.col(value) - nodes.agg(F.avg(value)).scalar()).alias("z"))
+    n, zz = z.agg(F.count("*")).scalar(), z.agg(F.sum(F.col("z") * F.col("z"))).scalar()
     cross = with_ends(edges, z, "z").agg(F.count("*").alias("w"), F.sum(F.col("z_src") * F.col("z_dst")).alias("zij"))
-    return scale.crossJoin(F.broadcast(cross)).select("n", "w", F.try_divide(F.col("n") * F.col("zij"), F.col("w") * F.col("zz")).alias("morans_i"))
+    return cross.select(n.alias("n"), "w", F.try_divide(n * F.col("zij"), F.col("w") * zz).alias("morans_i"))
 
 
 def concordance(pairs: DataFrame, nodes: DataFrame, value: str, bands: tuple[float, ...], least: int = 50) -> DataFrame:

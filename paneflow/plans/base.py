@@ -19,13 +19,14 @@ RELATIONS = {
     "folds": "SELECT entity, n, ((row_number() OVER (PARTITION BY n, salt ORDER BY entity) - 1 + salt) % 8)::INT AS fold FROM (SELECT entity, count(*) AS n, (((entity % 1000003) * 48285 + 55433) % 1000003) % 64 AS salt FROM targets GROUP BY entity)",
     "scored": "SELECT t.event, t.entity, t.t1a AS y, e.score AS p, f.fold, e.segment, e.nation FROM targets t JOIN ents e USING (entity) JOIN folds f USING (entity)",
     "pairs": "SELECT a.entity AS src, b.entity AS dst, 2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS dist_km FROM ents a JOIN ents b ON a.entity <> b.entity AND abs(a.lat - b.lat) < 0.5",
+    "pairs_far": "SELECT a.entity AS src, b.entity AS dst, 2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS dist_km FROM ents a JOIN ents b ON a.entity <> b.entity AND abs(a.lat - b.lat) < 2.5",
     "near": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist_km, 6), dst) AS place FROM pairs WHERE dist_km <= 40) WHERE place <= 8",
     "edges": "SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(dist_km) AS dist_km FROM near GROUP BY ALL",
-    "both": "SELECT src, dst, dist_km FROM edges UNION ALL SELECT dst, src, dist_km FROM edges",
+    "twoway": "SELECT src, dst, dist_km FROM edges UNION ALL SELECT dst, src, dist_km FROM edges",
     "blocks": "SELECT entity, region AS block FROM ents",
     "bysc": "SELECT fold, p, sum(y)::BIGINT AS n1, sum(1 - y)::BIGINT AS n0 FROM scored GROUP BY ALL",
 }
-NEEDS = {"flagged": ("cells", "thr"), "targets": ("flagged",), "folds": ("targets",), "scored": ("targets", "ents", "folds"), "pairs": ("ents",), "near": ("pairs",), "edges": ("near",), "both": ("edges",), "blocks": ("ents",), "bysc": ("scored",)}
+NEEDS = {"flagged": ("cells", "thr"), "targets": ("flagged",), "folds": ("targets",), "scored": ("targets", "ents", "folds"), "pairs": ("ents",), "pairs_far": ("ents",), "near": ("pairs",), "edges": ("near",), "twoway": ("edges",), "blocks": ("ents",), "bysc": ("scored",)}
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -77,8 +77,8 @@ def distinct_rows(spark, sf_dir):
 @query("SELECT event_type AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
 def value_counts(spark, sf_dir):
     rows = panel.scan(spark, sf_dir, "events", "event_type")
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("value", "n", rounded(F.col("n") / F.col("total")).alias("share"))
+    total = rows.agg(F.count("*")).scalar()
+    return rows.groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n")).select("value", "n", rounded(F.col("n") / total).alias("share"))
 
 
 def _counted(table: str, c: str) -> str:

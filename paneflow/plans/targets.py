@@ -67,10 +67,10 @@ def target_prevalence(spark, sf_dir):
 
 @query("SELECT analyte, count(*) AS measured, round(count(*) / (SELECT count(*) FROM orders), 6) AS measured_share, round(avg(y), 6) AS prevalence, round(avg(naive), 6) AS naive_prevalence, round(avg(hq), 6) AS mean_hazard FROM flagged GROUP BY analyte", "flagged")
 def label_prevalence(spark, sf_dir):
-    total = panel.events(spark, sf_dir).agg(F.count("*").alias("total"))
+    total = panel.events(spark, sf_dir).agg(F.count("*")).scalar()
     rows = targets.flagged_cells(panel.cells(spark, sf_dir)).groupBy("analyte").agg(F.count("*").alias("measured"), F.avg("y").alias("p"), F.avg("naive").alias("q"), F.avg("hq").alias("h"))
-    share = rounded(F.col("measured") / F.col("total"))
-    return rows.crossJoin(F.broadcast(total)).select("analyte", "measured", share.alias("measured_share"), rounded(F.col("p")).alias("prevalence"), rounded(F.col("q")).alias("naive_prevalence"), rounded(F.col("h")).alias("mean_hazard"))
+    share = rounded(F.col("measured") / total)
+    return rows.select("analyte", "measured", share.alias("measured_share"), rounded(F.col("p")).alias("prevalence"), rounded(F.col("q")).alias("naive_prevalence"), rounded(F.col("h")).alias("mean_hazard"))
 
 
 @query("SELECT o_orderkey AS event, a.analyte, coalesce(f.y, 0) AS y, (f.y IS NOT NULL)::INT AS measured FROM orders CROSS JOIN thr a LEFT JOIN flagged f ON f.event = o_orderkey AND f.analyte = a.analyte", "flagged")

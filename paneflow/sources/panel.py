@@ -62,10 +62,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, lat, lon, segment, nation, region, score: a position and a score in [0, 1] for every customer."""
     customer = scan(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     nation = scan(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
-    bounds = customer.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    low, high = customer.agg(F.min("c_acctbal")).scalar(), customer.agg(F.max("c_acctbal")).scalar()
     key = F.col("c_custkey")
     lat = F.lit(32.5) + F.pmod(key * 7919, F.lit(9500)).cast("double") / 1000
     lon = F.lit(-124.0) + F.pmod(key * 104729, F.lit(10000)).cast("double") / 1000
-    score = F.round((F.col("c_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)
-    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(bounds))
+    score = F.round((F.col("c_acctbal") - low) / (high - low), 6)
+    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(key.alias("entity"), lat.alias("lat"), lon.alias("lon"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), score.alias("score"))
