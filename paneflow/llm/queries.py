@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneflow.llm import decontaminate, line_dedup, lm, media, mixing, near_dedup, secrets, tokens, toxicity, warc
+from paneflow.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    scored = lm.score(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", (F.round("log_score", 4) + F.lit(0.0)).alias("log_score"), (F.round("mean_log_score", 6) + F.lit(0.0)).alias("mean_log_score"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +77,3 @@ QUERIES = {
     "op9_tokens": op9_tokens,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES: dict[str, str] = {}
