@@ -65,7 +65,7 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, key, pairs, first): the pairs of each document by partition, and with the first, its first word."""
+    """(part, pairs, keys): the pairs of some documents that go to one partition, with the key of each pair's document."""
 
     def task(batches):
         for batch in batches:
@@ -76,15 +76,15 @@ def dealt_pairs(rows: DataFrame, parts: int) -> DataFrame:
                 pair = ((w[:-1] << np.uint64(32)) | w[1:])[same]
                 part = (mix(pair) % np.uint64(parts)).astype(np.int64)
                 doc = row[:-1][same] if len(row) else row
-                order = np.lexsort((doc, part))
-                pair, group = pair[order].astype(np.int64), part[order] * len(texts) + doc[order]
-                cuts = np.flatnonzero(np.diff(group, prepend=-1))
-                at = group[cuts]
-                keys = batch.column("key").slice(first, last - first)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(pair)), pa.int32()), pa.array(pair))
-                yield pa.RecordBatch.from_arrays([pa.array(at // len(texts), pa.int32()), keys.take(pa.array(at % len(texts))), lists], names=["part", "key", "pairs"])
+                order = np.argsort(part, kind="stable")  # documents stay together
+                part = part[order]
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = pa.array(np.append(cuts, len(part)), pa.int32())
+                keys = batch.column("key").slice(first, last - first).take(pa.array(doc[order]))
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(pair[order].astype(np.int64)), keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), *lists], names=["part", "pairs", "keys"])
 
-    return rows.mapInArrow(task, "part int, key long, pairs array<long>")
+    return rows.mapInArrow(task, "part int, pairs array<long>, keys array<long>")
 
 
 def doc_words(rows: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     with session_conf(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
         # the filter and the key are on both sides, so that both read the one exchange
         dealt = dealt_pairs(rows.select("key", "text"), parts).where("part is not null").repartition(parts, "part")
-        each = dealt.select("part", "key", F.explode("pairs").alias("pair"))
+        each = dealt.select("part", F.inline(F.arrays_zip("pairs", "keys"))).withColumnsRenamed({"pairs": "pair", "keys": "key"})
         table = each.groupBy("part", "pair").agg(F.count("*").alias("c"), F.min("key").alias("some_key"))
         table = table.where((F.col("c") >= LEAST) & F.col("some_key").isNotNull()).drop("some_key")
         scored = each.join(table.hint("shuffle_hash"), ["part", "pair"], "left")
