@@ -139,6 +139,8 @@ def mix_plan(docs: DataFrame, max_epochs: float = 3.0, **names) -> DataFrame:
 
 def mix(docs: DataFrame, max_epochs: float = 3.0, **names) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, its columns unchanged."""
-    rows = mixed_rows(docs, max_epochs, **names)
+    # the row goes along as one struct: its columns clash with nothing
+    needed = dict.fromkeys([names.get("id_col", "doc_id"), names.get("text_col", "text"), names.get("source_col", "source")])
+    rows = mixed_rows(docs.select(*needed, F.struct(*(F.col(c) for c in docs.columns)).alias("_row")), max_epochs, **names)
     times = F.explode(F.array_repeat(F.lit(0), (F.col("_whole") + F.col("_extra")).cast("int"))).alias("_copy")
-    return rows.select(*(F.col(c) for c in docs.columns), times).drop("_copy")
+    return rows.select("_row", times).select("_row.*")
