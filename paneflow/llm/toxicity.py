@@ -6,8 +6,8 @@ coordinate has its own rate, and the L1 term leaves a weight at zero until its
 evidence exceeds it; what remains is a small table that is broadcast.
 
 Labelled rows are dealt over SHARDS tasks. Each task runs through its rows from
-the shared state, and the states of the tasks that met a coordinate are averaged
-with one aggregate, ROUNDS times. At most MAX_TRAIN labelled ids, about, are learned
+the shared state, and where tasks met a coordinate their states are averaged,
+ROUNDS times; a state has a fixed size. At most MAX_TRAIN labelled ids, about, are learned
 from, chosen by a seeded hash: the one bound, a parameter.
 
 Null and empty texts get the score of the bias alone; ids repeat freely, and each
@@ -124,7 +124,7 @@ def _pass_from(state):
         at = [unpack(x) for x in group.column("at").to_pylist()]
         learn(z, n, at, group.column("y").to_numpy())
         met = np.flatnonzero(n != before)
-        return pa.table({"at": pa.array(met, pa.int32()), "z": z[met], "n": n[met]})
+        return pa.table({"state": pa.array([np.stack([met, z[met], n[met]]).tobytes()], pa.binary())})
 
     return one_pass
 
@@ -141,9 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
-        merged = rows.groupBy("shard").applyInArrow(_pass_from(state), "at int, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        at = merged.column("at").to_numpy()
-        z[at], n[at] = merged.column("z").to_numpy(), merged.column("n").to_numpy()
+        # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
+        sums = np.zeros((3, len(z)))
+        for (held,) in rows.groupBy("shard").applyInArrow(_pass_from(state), "state binary").toLocalIterator():
+            at, z_new, n_new = np.frombuffer(bytes(held)).reshape(3, -1)
+            at = at.astype(np.int64)
+            sums[0, at] += 1
+            sums[1, at] += z_new
+            sums[2, at] += n_new
+        met = np.flatnonzero(sums[0])
+        z[met], n[met] = sums[1:, met] / sums[0, met]
         state.unpersist()
     w = weights_of(z, n)[:-1]
     at = np.flatnonzero(w)
