@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Text bytes that one numpy pass works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """Per row: doc_id, n_shingles, component_id, kept, mark (xxhash64 of the text)."""
     space = Workspace(docs.sparkSession, "near")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = space.table(sign(docs, n), "signed")
+    with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        signed = space.table(sign(docs, n), "signed")
     # equal sets: partial aggregates, so a class of any size is cheap
     some = signed.where(F.col("n_shingles") > 0)
     classes = some.groupBy("k").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"))
