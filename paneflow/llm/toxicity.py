@@ -123,8 +123,8 @@ def _pass_from(state):
         group = group.sort_by("mark")
         at = [unpack(x) for x in group.column("at").to_pylist()]
         learn(z, n, at, group.column("y").to_numpy())
-        met = np.flatnonzero(n != before)
-        return pa.table({"state": pa.array([np.stack([met, z[met], n[met]]).tobytes()], pa.binary())})
+        met = np.flatnonzero(n != before)  # 2**BITS at most, so exact as a 32-bit float too
+        return pa.table({"state": pa.array([zlib.compress(np.stack([met, z[met], n[met]]).astype("<f4").tobytes(), 1)], pa.binary())})
 
     return one_pass
 
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
         # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
         sums = np.zeros((3, len(z)))
         for (held,) in rows.groupBy("shard").applyInArrow(_pass_from(state), "state binary").toLocalIterator():
-            at, z_new, n_new = np.frombuffer(bytes(held)).reshape(3, -1)
+            at, z_new, n_new = np.frombuffer(zlib.decompress(held), dtype="<f4").reshape(3, -1)
             at = at.astype(np.int64)
             sums[0, at] += 1
             sums[1, at] += z_new
