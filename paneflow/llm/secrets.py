@@ -8,9 +8,10 @@ where the complementary parts stand within SCOPE code points of each other:
 * ``token`` beside an identifier (access, ident) in the scope,
 * ``endpoint`` beside both an identifier and a secret in the scope.
 
-The parts are interval-joined: spans are dealt by row and by the bucket of their
-start, secrets into the neighbouring buckets too, so the join is an equi-join and a
-row with many parts never forms all pairs beyond a scope.
+The parts are interval-joined: spans are dealt by row and by every bucket that they
+touch, the completing parts with their scope, so the join is an equi-join and a row
+with many parts never forms all pairs beyond a scope. A pair meets in the first
+bucket that both stand in.
 
 Positions are code points, ends exclusive. A pattern's matches are leftmost and
 do not overlap within their kind. Null texts count as empty; repeated rows each
@@ -74,14 +75,14 @@ def _linked(found: DataFrame) -> DataFrame:
     """(doc_id, mark, weak): the weak spans with their complementary parts in scope."""
     each = found.select("doc_id", "mark", F.explode(F.concat("base", "weak")).alias("span")).distinct()
     each = each.select("doc_id", "mark", "span", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("span.kind") + 1).alias("kind"))
-    bucket = F.floor(F.col("start") / SCOPE)
+    low, high = F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)
     # what a span is, and which of them it may complete
     parts = each.withColumn("part", F.when(F.col("kind").isin("access", "ident"), "identifier").when(F.col("kind") == "endpoint", "endpoint").otherwise("secret"))
-    weak = parts.where(F.col("kind").isin(*KINDS[3:])).withColumn("bucket", bucket)
+    weak = parts.where(F.col("kind").isin(*KINDS[3:])).withColumn("low", low).withColumn("bucket", F.explode(F.sequence("low", high)))
     # a long span reaches over buckets: it stands in each that it or its scope touches
-    reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
-    near = parts.where("part <> 'endpoint'").select("doc_id", "mark", F.col("part").alias("part2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(reach).alias("bucket"))
-    same = weak["doc_id"].eqNullSafe(near["doc_id"]) & (weak["mark"] == near["mark"]) & (weak["bucket"] == near["bucket"])
+    reach = F.sequence(low - 1, high + 1)
+    near = parts.where("part <> 'endpoint'").select("doc_id", "mark", F.col("part").alias("part2"), F.col("start").alias("start2"), F.col("end").alias("end2"), (low - 1).alias("low2"), F.explode(reach).alias("bucket"))
+    same = weak["doc_id"].eqNullSafe(near["doc_id"]) & (weak["mark"] == near["mark"]) & (weak["bucket"] == near["bucket"]) & (weak["bucket"] == F.greatest("low", "low2"))
     gap = F.greatest(F.col("start") - F.col("end2"), F.col("start2") - F.col("end"))
     met = weak.join(near, same & (gap <= SCOPE) & (F.col("part") != F.col("part2"))).select(weak["doc_id"], weak["mark"], "span", "kind", "part2")
     whole = met.groupBy("doc_id", "mark", "span", "kind").agg(F.count_distinct("part2").alias("parts"))

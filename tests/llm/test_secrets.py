@@ -63,6 +63,19 @@ def test_odd_rows(spark):
     assert check(spark, []) == []
 
 
+def test_long_weak_spans_on_both_sides(spark):
+    secret, rows = "password:hunter2hunter2", []
+    for length in (80, 150, 400):
+        url, token = "jdbc:pg://" + "h" * (length - 10), "Q7" * (length // 2)
+        for gap in (*range(1, 201, 13), 199, 200, 201):
+            pad = " " * gap
+            for lead in (0, 57, 123):
+                for weak, part in ((url, "login:bob " + secret), (token, "login:bob")):
+                    rows += [" " * lead + weak + pad + part, " " * lead + part + pad + weak]
+    got = check(spark, list(enumerate(rows)))
+    assert sum("endpoint" in r[5] for r in got) > 100 and sum("token:" in r[5] for r in got) > 100
+
+
 def test_documents(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
