@@ -6,8 +6,16 @@ A line of at least LONG words is a chunk of its own. Chunks of at least two line
 or LONG words are *heavy*; where the same heavy chunk stands at several places,
 every place but the first (by id, then text hash, then line) is removed.
 
-Chunks are found by their 64-bit hash first, so only rows of numbers are shuffled;
-the bytes of those whose hash occurs again are then compared as group keys.
+Chunks miss short passages over several lines, so with ``passage`` words given the
+*windows* are compared too: from each line on, and back from each line, the fewest
+lines that hold so many words. Any repeated run of lines of so many words is the
+union of the windows inside it, whatever stands around it and however it is laid
+out. A window that overlaps the first one of its kind in the same text (a run of
+one line) is no repeat of it. Windows neither begin nor end with an empty line.
+
+Pieces are found by their 64-bit hash first, so only rows of numbers are shuffled;
+of those whose hash occurs again the bytes of chunks and the SHA-256 digests of
+windows, which overlap, are then compared as group keys.
 
 Null texts stay null and empty texts empty, both without chunks. Repeated rows are
 alike, so both keep a first chunk; a null id comes first. An empty table gives none.
@@ -15,6 +23,8 @@ alike, so both keep a first chunk; a null id comes first. An empty table gives n
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +34,13 @@ from paneflow.llm.common import Workspace, session_conf, text_chunks
 from paneflow.llm.wordhash import SPACE, buffers, mix, runs, span_hash
 
 SPAN, MEAN, LONG = 2, 3, 20
+#: Words of a passage that is found however its lines are laid out.
+PASSAGE = 50
+_WINDOW = np.uint64(0xA0761D6478BD642F)
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """All heavy chunks: (row, first line, lines, first byte, end byte in the row, hash), in order."""
+def _lines(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(bytes, row offsets, row, first byte, end byte, words of each line, first line of each row)."""
     data, offs = buffers(texts)
     n_rows = len(offs) - 1
     ends = np.flatnonzero(data == 0x0A)
@@ -41,9 +54,18 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     starts = np.empty_like(stops)
     starts[1:] = stops[:-1] + 1
     starts[first_line] = offs[:-1]
-    h = span_hash(data, starts, stops)
     heads, _ = runs(~SPACE[data], offs)
     words = np.searchsorted(heads, stops) - np.searchsorted(heads, starts)
+    return data, offs, rows, starts, stops, words, first_line
+
+
+def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """All heavy chunks: (row, first line, lines, first byte, end byte in the row, hash), in order."""
+    return _chunks(*_lines(texts))
+
+
+def _chunks(data, offs, rows, starts, stops, words, first_line) -> tuple[np.ndarray, ...]:
+    h = span_hash(data, starts, stops)
     rolled = h.copy()
     for back in range(1, SPAN):
         rolled[back:] = mix(rolled[back:] * np.uint64(0x9FB21C651E98DF25) + h[:-back])
@@ -66,82 +88,128 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return row, start_line - first_line[row], size, a - offs[row], b - offs[row], span_hash(data, a, b).astype(np.int64)
 
 
+def _windows(data, offs, rows, starts, stops, words, first_line, passage: int) -> tuple[np.ndarray, ...]:
+    """The windows of at least ``passage`` words, as :func:`chunks` gives chunks."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    some = np.flatnonzero(words > 0)
+    # the fewest lines from a line on, and back from a line
+    last = np.searchsorted(total, total[some] + passage, "left") - 1
+    head = np.searchsorted(total, total[some + 1] - passage, "right") - 1
+    fits, back = last < len(rows), head >= 0
+    begin = np.concatenate([some[fits], head[back]])
+    end = np.concatenate([last[fits], some[back]])
+    inside = rows[begin] == rows[end]
+    # a window of both kinds stands once
+    pairs = np.unique(np.stack([begin[inside], end[inside]]), axis=1) if inside.any() else np.zeros((2, 0), np.int64)
+    begin, end = pairs
+    row = rows[begin]
+    a, b = starts[begin], stops[end]
+    return row, begin - first_line[row], end - begin + 1, a - offs[row], b - offs[row], (span_hash(data, a, b) ^ _WINDOW).astype(np.int64)
+
+
+def pieces(texts: pa.Array, passage: int) -> tuple[np.ndarray, ...]:
+    """Chunks and, if ``passage``, windows: as :func:`chunks`, then whether a window, and each row's first piece; a row's pieces stand together by first line."""
+    held = _lines(texts)
+    found = _chunks(*held)
+    n = len(found[0])
+    if passage:
+        found = tuple(map(np.concatenate, zip(found, _windows(*held, passage), strict=True)))
+    window = np.arange(len(found[0])) >= n
+    order = np.lexsort((found[2], window, found[1], found[0]))
+    found = tuple(x[order] for x in found)
+    return *found, window[order], np.searchsorted(found[0], np.arange(len(texts)))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
-def _find(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, mark, line, h) of every heavy chunk."""
+def _find(rows: DataFrame, kind: str, passage: int) -> DataFrame:
+    """(doc_id, mark, at, h) of every piece; ``at`` is its place among those of its row."""
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                row, line, _, _, _, h = chunks(texts)
+                row, _, _, _, _, h, _, heads = pieces(texts, passage)
+                at = np.arange(len(row)) - heads[row]
                 part = batch.slice(first, last - first).select(["doc_id", "mark"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(line, pa.int32()), pa.array(h)], names=["doc_id", "mark", "line", "h"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(h)], names=["doc_id", "mark", "at", "h"])
 
-    return rows.mapInArrow(task, f"doc_id {kind}, mark long, line int, h long")
+    return rows.mapInArrow(task, f"doc_id {kind}, mark long, at int, h long")
 
 
-def _with_lines(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
-    """``rows`` with ``lines``, the first lines of their chunks in the written ``listed`` (doc_id, mark, line)."""
-    grouped = listed.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+def _with_pieces(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """``rows`` with ``ats``, the places of their pieces in the written ``listed`` (doc_id, mark, at)."""
+    grouped = listed.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     grouped = grouped.withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"})
     # the lists grow with the documents: both sides are dealt by row at every size
     same = F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("mark") == F.col("mark2"))
     return rows.join(grouped.hint("merge"), same, how).drop("doc_id2", "mark2")
 
 
-def _pull(rows: DataFrame, kind: str) -> DataFrame:
-    """The bytes of the listed chunks: (doc_id, mark, line, h, bytes)."""
+def _listed(part: pa.RecordBatch, heads: np.ndarray) -> np.ndarray:
+    """The indexes among all pieces of those in the rows' ``ats``."""
+    lists = part.column("ats").fill_null([]) if part.column("ats").null_count else part.column("ats")
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(heads, n) + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pull(rows: DataFrame, kind: str, passage: int) -> DataFrame:
+    """The listed pieces: (doc_id, mark, at, line, size, h, bytes); the bytes of a window are its digest."""
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
                 part = batch.slice(first, last - first)
-                wanted = [set(x) for x in part.column("lines").to_pylist()]
-                row, line, _, a, b, h = chunks(texts)
-                at = [i for i, (r, x) in enumerate(zip(row, line, strict=True)) if x in wanted[r]]
+                row, line, size, a, b, h, window, heads = pieces(texts, passage)
+                at = _listed(part, heads)
+                row = row[at]
                 data, offs = buffers(texts)
-                pieces = [data[offs[row[i]] + a[i] : offs[row[i]] + b[i]].tobytes() for i in at]
-                keys = part.select(["doc_id", "mark"]).take(pa.array(row[at], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(line[at], pa.int32()), pa.array(h[at], pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "mark", "line", "h", "bytes"])
+                cut = [data[x:y].tobytes() for x, y in zip(offs[row] + a[at], offs[row] + b[at], strict=True)]
+                cut = [hashlib.sha256(x).digest() if w else x for x, w in zip(cut, window[at], strict=True)]
+                keys = part.select(["doc_id", "mark"]).take(pa.array(row, pa.int64()))
+                numbers = [pa.array(x, pa.int32()) for x in (at - heads[row], line[at], size[at])]
+                yield pa.RecordBatch.from_arrays([*keys.columns, *numbers, pa.array(h[at], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "mark", "at", "line", "size", "h", "bytes"])
 
-    return rows.mapInArrow(task, f"doc_id {kind}, mark long, line int, h long, bytes binary")
+    return rows.mapInArrow(task, f"doc_id {kind}, mark long, at int, line int, size int, h long, bytes binary")
 
 
-def repeats(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written (doc_id, mark, line): first lines of the chunks to remove; mark is xxhash64 of the text."""
+def repeats(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
+    """The written (doc_id, mark, at): the pieces to remove; mark is xxhash64 of the text."""
     rows, kind = _keyed(docs, id_col, text_col), dict(docs.dtypes)[id_col]
-    found = space.table(_find(rows, kind), "found")
+    found = space.table(_find(rows, kind, passage), "found")
     often = space.table(found.groupBy("h").count().where("count > 1").select("h"), "often")
     again = found.join(often.hint("merge"), "h")
-    again = space.table(again.select("doc_id", "mark", "line"), "again")
-    pulled = space.table(_pull(_with_lines(rows, again, "inner"), kind), "pulled")
+    again = space.table(again.select("doc_id", "mark", "at"), "again")
+    pulled = space.table(_pull(_with_pieces(rows, again, "inner"), kind, passage), "pulled")
     place = F.struct("doc_id", "mark", "line")
     equal = pulled.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    removed = pulled.join(equal, ["h", "bytes"]).where(place != F.col("first")).select("doc_id", "mark", "line").distinct()
-    out = space.table(removed, "removed")
+    # what overlaps the first place is no repeat of it
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    removed = pulled.join(equal, ["h", "bytes"]).where(~own | (F.col("line") >= F.col("first.line") + F.col("size")))
+    out = space.table(removed.select("doc_id", "mark", "at").distinct(), "removed")
     for name in ("found", "often", "again", "pulled"):
         space.drop(name)
     return out
 
 
-def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text (what stays), n_lines, removed_lines, spans (first-last of each removed chunk, comma-joined)."""
-    rows = _with_lines(_keyed(docs, id_col, text_col), removed, "left")
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
+    """Per row: doc_id, text (what stays), n_lines, removed_lines, spans (first-last of each removed piece, overlapping ones as one, comma-joined)."""
+    rows = _with_pieces(_keyed(docs, id_col, text_col), removed, "left")
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
                 part = batch.slice(first, last - first)
                 known = part.column("text").is_valid().to_pylist()
-                wanted = [set(x or ()) for x in part.column("lines").to_pylist()]
-                row, line, size, _, _, _ = chunks(texts)
-                gone: list[list[tuple[int, int]]] = [[] for _ in wanted]
-                for r, x, n in zip(row.tolist(), line.tolist(), size.tolist(), strict=True):
-                    if x in wanted[r]:
-                        gone[r].append((x, n))
+                row, line, size, _, _, _, _, heads = pieces(texts, passage)
+                at = _listed(part, heads)
+                gone: list[list[tuple[int, int]]] = [[] for _ in known]
+                for r, x, n in zip(row[at].tolist(), line[at].tolist(), size[at].tolist(), strict=True):
+                    if gone[r] and x < sum(gone[r][-1]):
+                        x, n = gone[r][-1][0], max(sum(gone[r][-1]), x + n) - gone[r][-1][0]
+                        gone[r].pop()
+                    gone[r].append((x, n))
                 kept, n_lines = [], []
                 for text, ok, spans in zip(texts.to_pylist(), known, gone, strict=True):
                     lines = text.split("\n")
@@ -157,9 +225,9 @@ def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_co
     return rows.mapInArrow(task, f"doc_id {dict(docs.dtypes)[id_col]}, text string, n_lines long, removed_lines long, spans string")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
     """:func:`repeats`, then :func:`without`."""
     space = Workspace(docs.sparkSession, "lines")
     with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        removed = repeats(docs, space, id_col, text_col)
-    return without(docs, removed, id_col, text_col)
+        removed = repeats(docs, space, id_col, text_col, passage)
+    return without(docs, removed, id_col, text_col, passage)

@@ -37,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents"), passage=line_dedup.PASSAGE)
     return kept.select("doc_id", "n_lines", "removed_lines", "spans", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -61,3 +61,44 @@ def test_repeated_passages(spark):
 
 def test_documents(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def covered(rows, least):
+    """The lines of all later places of runs of at least ``least`` words, by brute force."""
+    seen, out = set(), {}
+    for k, t in sorted(rows):
+        lines = t.split("\n")
+        gone = out.setdefault(k, set())
+        for i in range(len(lines)):
+            words = 0
+            for j in range(i, len(lines)):
+                words += len(lines[j].split())
+                if words >= least:
+                    if "\n".join(lines[i : j + 1]) in seen:
+                        gone.update(range(i, j + 1))
+                    else:
+                        break
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                seen.add("\n".join(lines[i : j + 1]))
+    return out
+
+
+def test_passages_over_short_lines(spark):
+    rows, want = [], {}
+    for k, (n, words) in enumerate([(3, 18), (4, 14), (5, 12), (6, 10), (7, 8), (8, 7), (10, 5), (10, 6), (3, 20)]):
+        for copy in range(2):
+            own = [f"own {k} {copy} {i} and {i * 7}" for i in range(5)]
+            lines = [" ".join(f"p{k}w{i}x{j}" for j in range(words)) for i in range(n)]
+            rows.append((10 * k + copy, "\n".join(own[: 2 + copy] + lines + own[3:])))
+        want[10 * k + 1] = set(range(3, 3 + n))
+    assert {k: v for k, v in covered(rows, line_dedup.PASSAGE).items() if v} == {k: v for k, v in want.items()}
+    rows += [(500, "z\n" * 300 + "end"), (501, "start\n" + "z\n" * 120 + "stop"), (502, "no passage"), (503, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup(docs, passage=line_dedup.PASSAGE).collect()}
+    for k, text in rows[:18]:
+        lines = text.split("\n")
+        assert got[k].text == "\n".join(x for i, x in enumerate(lines) if i not in want.get(k, set()))
+        assert got[k].removed_lines == len(want.get(k, ()))
+    assert got[500].text.split("\n").count("z") == line_dedup.PASSAGE and got[501].text == "start\nstop"
+    assert got[502].text == "no passage" and got[503].text is None
