@@ -4,7 +4,10 @@ Texts become tokens: runs of letters, and runs of digits (with inner points and
 commas). Two views are matched against the benchmark in windows of WINDOW
 tokens: the plain one (lower-cased tokens), and the template one, where numbers
 and number words, units, and names (capitalised inside a sentence) are replaced
-by typed placeholders. Template windows need at least LITERALS other tokens.
+by typed placeholders. Template windows need at least LITERALS other tokens. Other
+capitalised words (openers of texts, sentences and quotes) may be names or not:
+their windows are looked up in both forms, and two of them match as the same
+literal, or as names if the item's one stands for one value throughout.
 
 The benchmark's windows are a hash index that is broadcast, in blocks of
 BLOCK_TOKENS tokens at most, so its size is bounded whatever the benchmark's;
@@ -44,7 +47,7 @@ _INNER[[0x2C, 0x2E]] = True
 #: Bytes after which, and a space, a capital letter does not begin a sentence.
 _WITHIN = _LETTER | _DIGIT
 _WITHIN[[0x2C, 0x3B]] = True
-_SLOT = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65], dtype=np.uint64)  # literal, number, unit, name
+_SLOT = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65, 0x6E616D65], dtype=np.uint64)  # literal, number, unit, name, opener
 
 
 def _hashes(listed: list[str]) -> np.ndarray:
@@ -80,25 +83,50 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[short[_in(_UNIT_HASH, h[short])]] = 2
     upper = np.flatnonzero((kind == 0) & (raw[starts] >= 0x41) & (raw[starts] <= 0x5A)) if n else starts
     first = np.repeat(offs[:-1], np.diff(bounds))[upper]
+    kind[upper] = 4
     upper = upper[starts[upper] - first >= 2]
     at = starts[upper]
     kind[upper[(raw[at - 1] == 0x20) & _WITHIN[raw[at - 2]]]] = 3
     return h, kind, bounds
 
 
+def _held(marked: np.ndarray) -> np.ndarray:
+    """How many of each window's tokens are marked."""
+    upto = np.concatenate([[0], np.cumsum(marked)])
+    return upto[WINDOW:] - upto[:-WINDOW]
+
+
+def _alike(h, kind, h2, kind2) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the aligned tokens match, which of them as slots)."""
+    typed = (kind == kind2) & (kind > 0) & (kind < 4)
+    alike = typed | ((h == h2) & (kind % 4 == 0) & (kind2 % 4 == 0))
+    names = (kind >= 3) & (kind2 >= 3)
+    wild = names & ~alike
+    if wild.any():
+        # an opener is a name only if it stands for one value
+        pairs = np.unique(np.stack([h[names], h2[names]]), axis=1)
+        value, n = np.unique(pairs[0], return_counts=True)
+        wild &= ~np.isin(h, value[n > 1])
+    return alike | wild, typed | wild
+
+
 def _windows(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows inside rows, and their first tokens; view 0 is plain, 1 the template."""
     if len(h) < WINDOW:
         return h[:0], np.zeros(0, dtype=np.int64)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     good = row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :]
-    if view:
-        slots = np.concatenate([[0], np.cumsum(kind > 0)])
-        held = slots[WINDOW:] - slots[:-WINDOW]
-        good &= (held > 0) & (held <= WINDOW - LITERALS)
-        h = np.where(kind > 0, _SLOT[kind], h)
-    at = np.flatnonzero(good)
-    return combine(h, WINDOW)[at], at
+    if not view:
+        at = np.flatnonzero(good)
+        return combine(h, WINDOW)[at], at
+    forms = []
+    openers = _held(kind == 4)
+    # openers as literals, then as names
+    for slot, some in (((kind > 0) & (kind < 4), good), (kind > 0, good & (openers > 0))):
+        held = _held(slot)
+        at = np.flatnonzero(some & (held > 0) & (held <= WINDOW - LITERALS))
+        forms.append((combine(np.where(slot, _SLOT[kind], h), WINDOW)[at], at))
+    return tuple(map(np.concatenate, zip(*forms, strict=True)))
 
 
 class Index:
@@ -161,7 +189,7 @@ class Index:
             a, b = self.bounds[i], self.bounds[i + 1]
             lo, hi = max(a, bounds[r] - shift), min(b, bounds[r + 1] - shift)
             mine, theirs = np.arange(lo, hi), np.arange(lo + shift, hi + shift)
-            alike = (self.kind[mine] == kind[theirs]) & ((self.kind[mine] > 0) | (self.h[mine] == h[theirs]))
+            alike, slots = _alike(self.h[mine], self.kind[mine], h[theirs], kind[theirs])
             if len(alike) < WINDOW:
                 continue
             ok = np.concatenate([[0], np.cumsum(alike)])
@@ -170,7 +198,7 @@ class Index:
             if share < SHARE:
                 continue
             inside = np.convolve(full, np.ones(WINDOW, dtype=int)) > 0
-            slot = inside & (self.kind[mine] > 0)
+            slot = inside & slots
             pairs = np.unique(np.stack([self.h[mine][slot], h[theirs][slot]]), axis=1)
             if len(np.unique(pairs[0])) < pairs.shape[1]:
                 continue

@@ -46,3 +46,14 @@ def test_documents(spark, sf_dir):
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in items.collect() if plain(b.text) in plain(d.text)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()}
     assert want and want <= got and len(got - want) <= len(want)
+
+
+NAMED = "Natalia sold 48 clips in April. Betty sold 12 clips in May. Natalia paid 5 dollars. How many clips were left?"
+
+
+def test_sentences_that_open_with_names(spark):
+    other = "Martin sold 77 clips in June. Clara sold 31 clips in July. Martin paid 9 dollars. How many clips were left?"
+    unlike = "Martin sold 77 clips in June. Then nobody wanted any more. Clara walked home and slept. How many nights were left?"
+    docs, items = tables(spark, [other, f'He read: "{other}" and left', "pad " * 20 + "\n" + other, unlike], [(1, NAMED)])
+    found = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
+    assert sorted(found) == [0, 1, 2] and all(r.template_share == 1.0 for r in found.values())
