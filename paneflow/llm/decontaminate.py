@@ -7,15 +7,17 @@ and number words, units, and names (capitalised inside a sentence) are replaced
 by typed placeholders. Template windows need at least LITERALS other tokens. Other
 capitalised words (openers of texts, sentences and quotes) may be names or not:
 their windows are looked up in both forms, and two of them match as the same
-literal, or as names if the item's one stands for one value throughout.
+literal, or as names if the item's one stands for one value throughout. A run of
+numbers, units or names is one slot of the template, so its length is free.
 
 The benchmark's windows are a hash index that is broadcast, in blocks of
 BLOCK_TOKENS tokens at most, so its size is bounded whatever the benchmark's;
 each block is one pass over the documents.
 
 A pair is reported if in the plain view the document holds at least SHARE of the
-item's distinct windows, or in the template view along one alignment at least
-SHARE of them and the slots agree there: each slot value of the item stands for
+item's distinct windows, or in the template view along one alignment, or several
+that follow on each other with shifts at most DRIFT tokens apart, at least SHARE
+of them and the slots agree there: each slot value of the item stands for
 one value of the document wherever it occurs (a re-parameterised question).
 
 Null and empty texts match nothing; items of under WINDOW tokens have no window
@@ -24,15 +26,18 @@ and match nothing; repeated rows are each reported.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneflow.llm.common import text_chunks
-from paneflow.llm.wordhash import LOWER, buffers, combine, runs, span_hash
+from paneflow.llm.wordhash import LOWER, buffers, combine, mix, runs, span_hash
 
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
+DRIFT = 8
 BLOCK_TOKENS = 1_000_000
 # Words that count as numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
@@ -90,6 +95,39 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, kind, bounds
 
 
+def collapse(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens with each run of numbers, units or names in a row as one, hashed over the whole run."""
+    if not len(h):
+        return h, kind, bounds
+    keep = np.ones(len(h), dtype=bool)
+    keep[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 0) | (kind[1:] == 4)
+    keep[bounds[:-1][bounds[:-1] < len(h)]] = True
+    heads = np.flatnonzero(keep)
+    place = np.arange(len(h)) - np.repeat(heads, np.diff(np.append(heads, len(h))))
+    parts = np.where(keep, h, mix(h + place.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+    return np.add.reduceat(parts, heads), kind[heads], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def _chain(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most pairs (q, p) in which both rise strictly."""
+    order = np.lexsort((-p, q))
+    q, p = q[order].tolist(), p[order].tolist()
+    tails: list[int] = []
+    ends: list[int] = []
+    before = []
+    for k, x in enumerate(p):
+        at = bisect.bisect_left(tails, x)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1] = [x]
+        ends[at : at + 1] = [k]
+    chosen, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chosen.append(k)
+        k = before[k]
+    chosen.reverse()
+    return np.array([q[k] for k in chosen], dtype=np.int64), np.array([p[k] for k in chosen], dtype=np.int64)
+
+
 def _held(marked: np.ndarray) -> np.ndarray:
     """How many of each window's tokens are marked."""
     upto = np.concatenate([[0], np.cumsum(marked)])
@@ -111,7 +149,7 @@ def _alike(h, kind, h2, kind2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows inside rows, and their first tokens; view 0 is plain, 1 the template."""
+    """Hashes of the windows inside rows, and their first tokens; view 0 is plain, 1 the template, 2 its windows without a slot."""
     if len(h) < WINDOW:
         return h[:0], np.zeros(0, dtype=np.int64)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -119,6 +157,9 @@ def _windows(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, view: int) ->
     if not view:
         at = np.flatnonzero(good)
         return combine(h, WINDOW)[at], at
+    if view == 2:
+        at = np.flatnonzero(good & (_held((kind > 0) & (kind < 4)) == 0))
+        return combine(h, WINDOW)[at], at
     forms = []
     openers = _held(kind == 4)
     # openers as literals, then as names
@@ -135,20 +176,22 @@ class Index:
     def __init__(self, item_ids: list, texts: list):
         self.items = item_ids
         self.h, self.kind, self.bounds = canonical(pa.array([t or "" for t in texts], pa.large_string()))
+        self.template = collapse(self.h, self.kind, self.bounds)
         self.views = []
-        for view in (0, 1):
-            keys, at = _windows(self.h, self.kind, self.bounds, view)
+        for view in (0, 1, 2):
+            tokens = self.template if view else (self.h, self.kind, self.bounds)
+            keys, at = _windows(*tokens, view)
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
-            item = np.searchsorted(self.bounds, at, side="right") - 1
+            item = np.searchsorted(tokens[2], at, side="right") - 1
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[keys >> np.uint64(44)] = True
             self.views.append((keys, at, item, sieve))
-        # distinct plain windows, and all positions, of each item
+        # distinct plain windows, and all positions of the template, of each item
         keys, _, item, _ = self.views[0]
         pairs = np.unique(np.stack([item.astype(np.uint64), keys]), axis=1) if len(keys) else np.zeros((2, 0), np.uint64)
         self.distinct = np.bincount(pairs[0].astype(np.int64), minlength=len(texts))
-        self.places = np.maximum(0, np.diff(self.bounds) - WINDOW + 1)
+        self.places = np.maximum(0, np.diff(self.template[2]) - WINDOW + 1)
 
     def _hits(self, h, kind, bounds, view):
         """(token of the document, index entry) of all equal windows."""
@@ -174,6 +217,7 @@ class Index:
             for r, i, c in zip(*pair, n, strict=True):
                 if (share := c / self.distinct[i]) >= SHARE:
                     found[int(r), int(i)] = [float(share), 0.0, 0, 0]
+        h, kind, bounds = collapse(h, kind, bounds)
         p, e = self._hits(h, kind, bounds, 1)
         if len(p):
             self._template(h, kind, bounds, p, e, found)
@@ -183,28 +227,52 @@ class Index:
         _, at, item, _ = self.views[1]
         q, it = at[e], item[e]
         row = np.searchsorted(bounds, p, side="right") - 1
-        # one alignment: the same row, item and distance; plain windows without a slot count too
-        lines = np.unique(np.stack([row, it, p - q]), axis=1)
-        for r, i, shift in lines.T:
-            a, b = self.bounds[i], self.bounds[i + 1]
-            lo, hi = max(a, bounds[r] - shift), min(b, bounds[r + 1] - shift)
-            mine, theirs = np.arange(lo, hi), np.arange(lo + shift, hi + shift)
-            alike, slots = _alike(self.h[mine], self.kind[mine], h[theirs], kind[theirs])
-            if len(alike) < WINDOW:
-                continue
-            ok = np.concatenate([[0], np.cumsum(alike)])
-            full = ok[WINDOW:] - ok[:-WINDOW] == WINDOW
-            share = full.sum() / self.places[i]
-            if share < SHARE:
-                continue
-            inside = np.convolve(full, np.ones(WINDOW, dtype=int)) > 0
-            slot = inside & slots
-            pairs = np.unique(np.stack([self.h[mine][slot], h[theirs][slot]]), axis=1)
-            if len(np.unique(pairs[0])) < pairs.shape[1]:
-                continue
-            have = found.setdefault((int(r), int(i)), [0.0, 0.0, 0, 0])
-            if share > have[1]:
-                have[1:] = [float(share), int(slot.sum()), int((pairs[0] != pairs[1]).sum())]
+        # windows without a slot show further alignments of those pairs
+        p2, e2 = self._hits(h, kind, bounds, 2)
+        row2, it2 = np.searchsorted(bounds, p2, side="right") - 1, self.views[2][2][e2]
+        n = len(self.places)
+        some = np.isin(row2 * n + it2, row * n + it)
+        row, it = np.concatenate([row, row2[some]]), np.concatenate([it, it2[some]])
+        shift = np.concatenate([p - q, p2[some] - self.views[2][1][e2[some]]])
+        # one alignment: the same row, item and distance
+        lines = np.unique(np.stack([row, it, shift]), axis=1)
+        apart = np.any(lines[:2, 1:] != lines[:2, :-1], axis=0) | (np.diff(lines[2]) > DRIFT)
+        for group in np.split(lines, np.flatnonzero(apart) + 1, axis=1):
+            r, i = int(group[0, 0]), int(group[1, 0])
+            full = [self._full(h, kind, bounds, r, i, s) for s in group[2]]
+            best = None
+            for s, x in zip(group[2], full, strict=True):
+                best = max(filter(None, (best, self._share(h, kind, i, x, x + s))), default=None)
+            if best is None and len(full) > 1 and sum(map(len, full)) >= SHARE * self.places[i]:
+                best = self._share(h, kind, i, *_chain(np.concatenate(full), np.concatenate([x + s for s, x in zip(group[2], full, strict=True)])))
+            if best:
+                have = found.setdefault((r, i), [0.0, 0.0, 0, 0])
+                if best[0] > have[1]:
+                    have[1:] = best
+
+    def _full(self, h, kind, bounds, r, i, shift) -> np.ndarray:
+        """First tokens in the item of the windows that match along one alignment."""
+        own, types, places = self.template
+        lo, hi = max(places[i], bounds[r] - shift), min(places[i + 1], bounds[r + 1] - shift)
+        if hi - lo < WINDOW:
+            return np.zeros(0, dtype=np.int64)
+        alike, _ = _alike(own[lo:hi], types[lo:hi], h[lo + shift : hi + shift], kind[lo + shift : hi + shift])
+        return lo + np.flatnonzero(_held(alike) == WINDOW)
+
+    def _share(self, h, kind, i, q, p) -> tuple[float, int, int] | None:
+        """(share, slots, changed slots) of the matching windows from q and p on, if enough and consistent."""
+        share = len(q) / self.places[i]
+        if not len(q) or share < SHARE:
+            return None
+        own, types, _ = self.template
+        step = np.arange(WINDOW)
+        mine, at = np.unique(q[:, None] + step, return_index=True)
+        theirs = (p[:, None] + step).ravel()[at]
+        _, slot = _alike(own[mine], types[mine], h[theirs], kind[theirs])
+        pairs = np.unique(np.stack([own[mine][slot], h[theirs][slot]]), axis=1)
+        if len(np.unique(pairs[0])) < pairs.shape[1]:
+            return None
+        return float(share), int(slot.sum()), int((pairs[0] != pairs[1]).sum())
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):

@@ -57,3 +57,14 @@ def test_sentences_that_open_with_names(spark):
     docs, items = tables(spark, [other, f'He read: "{other}" and left', "pad " * 20 + "\n" + other, unlike], [(1, NAMED)])
     found = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
     assert sorted(found) == [0, 1, 2] and all(r.template_share == 1.0 for r in found.values())
+
+
+def test_slot_values_of_other_lengths(spark):
+    item = "At the village fair Albert sold 12 jars of plum jam to the baker, who later asked whether Berta could bring 5 more baskets of ripe cherries before the market closed for the winter"
+    slots = item.replace("12", "twenty five").replace("Albert", "Mary Ann").replace("5", "3/4")
+    words = item.replace("plum jam", "very sweet plum jam").replace("bring 5", "perhaps still bring 9")
+    mixed = "At the village fair " + item[-60:] + " and so on " + item[20:50]
+    docs, items = tables(spark, ["so " + slots + " again", "so " + words.replace("12", "30"), mixed], [(1, item)])
+    found = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
+    assert sorted(found) == [0, 1]
+    assert found[0].template_share == 1.0 and found[0].changed_slots >= 3 and found[1].template_share >= 0.5
