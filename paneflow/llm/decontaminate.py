@@ -15,13 +15,13 @@ BLOCK_TOKENS tokens at most, so its size is bounded whatever the benchmark's;
 each block is one pass over the documents.
 
 A pair is reported if in the plain view the document holds at least SHARE of the
-item's distinct windows, or in the template view along one alignment, or several
+item's distinct windows or a verbatim run of RUN tokens of it, or in the template view along one alignment, or several
 that follow on each other with shifts at most DRIFT tokens apart, at least SHARE
 of them and the slots agree there: each slot value of the item stands for
 one value of the document wherever it occurs (a re-parameterised question).
 
-Null and empty texts match nothing; items of under WINDOW tokens have no window
-and match nothing; repeated rows are each reported.
+Items of under WINDOW tokens are one whole plain window. Null texts, empty texts and
+items without a token match nothing; repeated rows are each reported.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from paneflow.llm.common import text_chunks
 from paneflow.llm.wordhash import LOWER, buffers, combine, mix, runs, span_hash
 
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
-DRIFT = 8
+DRIFT, RUN = 8, 13
 BLOCK_TOKENS = 1_000_000
 # Words that count as numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
@@ -193,6 +193,27 @@ class Index:
         self.distinct = np.bincount(pairs[0].astype(np.int64), minlength=len(texts))
         self.places = np.maximum(0, np.diff(self.template[2]) - WINDOW + 1)
 
+        # items of fewer tokens than a window, by their number of tokens
+        n = np.diff(self.bounds)
+        self.short = []
+        for k in range(1, WINDOW):
+            if len(some := np.flatnonzero(n == k)):
+                keys = combine(self.h, k)[self.bounds[some]]
+                order = np.argsort(keys, kind="stable")
+                self.short.append((k, keys[order], some[order]))
+
+    def _short(self, h, bounds, found) -> None:
+        """The rows that hold a short item as a whole."""
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for k, keys, item in self.short:
+            w = combine(h, k)
+            p = np.flatnonzero(_in(keys, w) & (row[: len(w)] == row[k - 1 :])) if len(w) else np.zeros(0, dtype=np.int64)
+            lo = np.searchsorted(keys, w[p], "left")
+            n = np.searchsorted(keys, w[p], "right") - lo
+            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            for r, i in np.unique(np.stack([np.repeat(row[p], n), item[entry]]), axis=1).T:
+                found[int(r), int(i)] = [1.0, 0.0, 0, 0]
+
     def _hits(self, h, kind, bounds, view):
         """(token of the document, index entry) of all equal windows."""
         keys, at, item, sieve = self.views[view]
@@ -214,9 +235,16 @@ class Index:
             row = np.searchsorted(bounds, p, side="right") - 1
             seen = np.unique(np.stack([row.astype(np.uint64), item[e].astype(np.uint64), keys[e]]), axis=1)
             pair, n = np.unique(seen[:2].astype(np.int64), axis=1, return_counts=True)
+            # verbatim runs: windows that follow on each other along one alignment
+            q = self.views[0][1][e]
+            a, b, d, at = (x[np.lexsort((p, p - q, item[e], row))] for x in (row, item[e], p - q, p))
+            new = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(d) != 0) | (np.diff(at) != 1)))
+            long = new[np.diff(np.append(new, len(at))) + WINDOW - 1 >= RUN]
+            copied = set(zip(a[long].tolist(), b[long].tolist(), strict=True))
             for r, i, c in zip(*pair, n, strict=True):
-                if (share := c / self.distinct[i]) >= SHARE:
+                if (share := c / self.distinct[i]) >= SHARE or (int(r), int(i)) in copied:
                     found[int(r), int(i)] = [float(share), 0.0, 0, 0]
+        self._short(h, bounds, found)
         h, kind, bounds = collapse(h, kind, bounds)
         p, e = self._hits(h, kind, bounds, 1)
         if len(p):

@@ -68,3 +68,12 @@ def test_slot_values_of_other_lengths(spark):
     found = {r.doc_id: r for r in decontaminate.find(docs, items).collect()}
     assert sorted(found) == [0, 1]
     assert found[0].template_share == 1.0 and found[0].changed_slots >= 3 and found[1].template_share >= 0.5
+
+
+def test_verbatim_runs_and_short_items(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    run, less = " ".join(words[100:113]), " ".join(words[100:112])
+    docs, items = tables(spark, [f"x {run} y", f"x {less} y", "say Too short now", "too long short", "alone", None], [(1, " ".join(words)), (2, "too short"), (3, "alone"), (4, " . "), (5, "too short")])
+    found = {(r.doc_id, r.item_id): r.plain_share for r in decontaminate.find(docs, items).collect()}
+    assert sorted(found) == [(0, 1), (2, 2), (2, 5), (4, 3)] and 0 < found[0, 1] < 0.5 and found[2, 2] == 1.0
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 3, 5]
