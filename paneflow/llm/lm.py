@@ -5,8 +5,7 @@ at least LEAST times scores count(pair) / count(first word), any other BACKOFF *
 count(second word) / words; the first word of a text has no pair and scores
 count(word) / words. A document's score is the sum of the logarithms.
 
-Each word is a HASH_BITS-bit hash and a pair one 64-bit number, so no text is
-shuffled. One pass deals the pairs of all documents to partitions by their hash;
+Each word is a 64-bit hash and a pair two of them, so no text is shuffled. One pass deals the pairs of all documents to partitions by their hash;
 there they are counted, and the same dealt pairs are joined to that count table,
 without another exchange. Word counts are first summed inside a task. What a row
 then needs is the count of one word: those of the HEAD most frequent words are
@@ -29,17 +28,11 @@ from paneflow.llm.common import Workspace, session_conf, text_chunks
 from paneflow.llm.wordhash import mix, row_of, words
 
 LEAST, BACKOFF = 2, 0.4
-HASH_BITS = 32
 HEAD = 200_000
 #: Pairs in one partition of the dealt table, about.
 PER_PART = 3_000_000
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    h, bounds = words(texts)
-    return h >> np.uint64(64 - HASH_BITS), bounds
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(w, n) over all rows; a task sums its own words first."""
 
@@ -47,7 +40,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             for _, _, texts in text_chunks(batch, "text"):
-                w, n = np.unique(_words(texts)[0], return_counts=True)
+                w, n = np.unique(words(texts)[0], return_counts=True)
                 held.append((w, n))
                 if len(held) == 16:
                     held = [_summed(held)]
@@ -65,26 +58,26 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, pairs, keys): the pairs of some documents that go to one partition, with the key of each pair's document."""
+    """(part, firsts, seconds, keys): the pairs of some documents that go to one partition, with the key of each pair's document."""
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text", 1 << 20):
-                w, bounds = _words(texts)
+                w, bounds = words(texts)
                 row = row_of(bounds)
                 same = row[:-1] == row[1:] if len(row) else np.zeros(0, dtype=bool)
-                pair = ((w[:-1] << np.uint64(32)) | w[1:])[same]
-                part = (mix(pair) % np.uint64(parts)).astype(np.int64)
+                v, w = w[:-1][same], w[1:][same]
+                part = (mix(v * np.uint64(0x9FB21C651E98DF25) + w) % np.uint64(parts)).astype(np.int64)
                 doc = row[:-1][same] if len(row) else row
                 order = np.argsort(part, kind="stable")  # documents stay together
                 part = part[order]
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 ends = pa.array(np.append(cuts, len(part)), pa.int32())
                 keys = batch.column("key").slice(first, last - first).take(pa.array(doc[order]))
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(pair[order].astype(np.int64)), keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), *lists], names=["part", "pairs", "keys"])
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(v[order].astype(np.int64)), pa.array(w[order].astype(np.int64)), keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), *lists], names=["part", "firsts", "seconds", "keys"])
 
-    return rows.mapInArrow(task, "part int, pairs array<long>, keys array<long>")
+    return rows.mapInArrow(task, "part int, firsts array<long>, seconds array<long>, keys array<long>")
 
 
 def doc_words(rows: DataFrame) -> DataFrame:
@@ -93,9 +86,9 @@ def doc_words(rows: DataFrame) -> DataFrame:
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                w, bounds = _words(texts)
+                w, bounds = words(texts)
                 n = np.diff(bounds)
-                head = pa.array(np.append(w, 0)[bounds[:-1]].astype(np.int64), mask=n == 0)
+                head = pa.array(np.append(w, np.uint64(0))[bounds[:-1]].astype(np.int64), mask=n == 0)
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n.astype(np.int64)), head], names=["doc_id", "key", "n_words", "w"])
 
@@ -117,12 +110,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     with session_conf(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
         # the filter and the key are on both sides, so that both read the one exchange
         dealt = dealt_pairs(rows.select("key", "text"), parts).where("part is not null").repartition(parts, "part")
-        each = dealt.select("part", F.inline(F.arrays_zip("pairs", "keys"))).withColumnsRenamed({"pairs": "pair", "keys": "key"})
-        table = each.groupBy("part", "pair").agg(F.count("*").alias("c"), F.min("key").alias("some_key"))
+        each = dealt.select("part", F.inline(F.arrays_zip("firsts", "seconds", "keys"))).withColumnsRenamed({"firsts": "v", "seconds": "w", "keys": "key"})
+        table = each.groupBy("part", "v", "w").agg(F.count("*").alias("c"), F.min("key").alias("some_key"))
         table = table.where((F.col("c") >= LEAST) & F.col("some_key").isNotNull()).drop("some_key")
-        scored = each.join(table.hint("shuffle_hash"), ["part", "pair"], "left")
+        scored = each.join(table.hint("shuffle_hash"), ["part", "v", "w"], "left")
         seen = F.col("c").isNotNull()
-        word = F.when(seen, F.shiftrightunsigned("pair", 32)).otherwise(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
+        word = F.when(seen, F.col("v")).otherwise(F.col("w"))
         base = F.when(seen, F.ln(F.col("c").cast("double"))).otherwise(F.lit(float(np.log(BACKOFF / max(1, total)))))
         scored = scored.select("key", word.alias("w"), F.when(seen, -1).otherwise(1).alias("sign"), base.alias("base"))
         known = scored.join(F.broadcast(head), "w", "left")

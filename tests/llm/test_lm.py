@@ -45,3 +45,19 @@ def test_documents(spark, sf_dir):
 def test_words_beyond_the_head(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 50)
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") < 1500).collect()])
+
+
+def test_words_that_share_half_a_hash(spark):
+    import numpy as np
+    import pyarrow as pa
+    from paneflow.llm import wordhash
+
+    # two words of equal upper 32 bits by the birthday bound
+    listed = [f"{a}{b}" for a in range(1000) for b in "abcdefghijklmnopqrstuvwxyz"]
+    listed = [f"{w}{i}" for w in listed for i in range(10)]
+    h, _ = wordhash.words(pa.array([" ".join(listed)], pa.large_string()))
+    top = h >> np.uint64(32)
+    order = np.argsort(top, kind="stable")
+    same = np.flatnonzero(top[order][1:] == top[order][:-1])
+    one, two = next((listed[order[k]], listed[order[k + 1]]) for k in same if h[order[k]] != h[order[k + 1]])
+    check(spark, [(1, f"{one} x {one} y {one}"), (2, f"z {two}"), (3, f"{one} x"), (4, f"{two} x")])
