@@ -107,6 +107,12 @@ def bootstrap_auc(rows: DataFrame, entity: str, replicates: int = 20) -> DataFra
     return wins.groupBy("replicate").agg(F.try_divide(F.sum("wins").cast("double"), (2 * F.sum("n1") * F.sum("n0")).cast("double")).alias("auc"))
 
 
+def bootstrap_interval(rows: DataFrame, entity: str, replicates: int = 300) -> DataFrame:
+    """replicates, low, high: the 2.5 and 97.5 percentiles of the replicates' AUC."""
+    auc = bootstrap_auc(rows, entity, replicates)
+    return auc.agg(F.count("auc").alias("replicates"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"))
+
+
 def corrected_t(folds: DataFrame, a: str, b: str, test_to_train: float) -> DataFrame:
     """n_folds, mean_gain, t: paired differences with the variance corrected for overlapping training sets."""
     d = F.col(a) - F.col(b)

@@ -113,3 +113,14 @@ def test_stream_counts_equal_batch(spark, sf_dir, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.table("counts").collect()}
     want = {(r.start, r.event_type): r.n for r in batch.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_bootstrap_interval(spark):
+    import numpy as np
+    from paneflow.operators import evaluate
+
+    docs = spark.createDataFrame([(i // 2, (i * 7919 % 101) / 101, int(i * 7919 % 101 + i % 60 > 80)) for i in range(200)], "entity long, p double, y int")
+    auc = [r.auc for r in evaluate.bootstrap_auc(docs, "entity", 300).collect()]
+    got = evaluate.bootstrap_interval(docs, "entity").first()
+    assert got.replicates == 300 and got.low < got.high
+    assert np.allclose([got.low, got.high], np.percentile(auc, [2.5, 97.5]))
