@@ -12,7 +12,9 @@ of the counts before it, so a global position is base + offset. ``read_tokens``
 memory-maps the files again.
 
 Null texts count as empty (the end id alone), null ids come first, repeated ids
-are ordered by their texts; an empty table gives no file.
+are ordered by their texts; an empty table gives no file. Very long texts are cut
+and encoded in parts of SEGMENT characters with the same ids. Other columns are
+not read, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -31,19 +33,35 @@ from pyspark.sql import functions as F
 
 from paneflow.llm.common import Workspace, text_chunks
 
-#: Pieces whose ids a worker process remembers from task to task (some 300 MB); then it starts anew.
-MEMO = 1_200_000
-_ODD = re.compile(r"\s | \s|\x01")
+#: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
+MEMO_BYTES = 32 << 20
+#: Characters of the longest piece that is remembered, and of the text that is cut into pieces at a time.
+SHORT, SEGMENT = 64, 1 << 20
+#: Bytes of one remembered piece besides its characters and ids.
+_OVERHEAD = 200
+# any two white-space characters in a row, or one other than space and line feed: such texts are cut at fewer places
+_ODD = re.compile(r"\s\s|[^\S \n]|\x01")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 MANIFEST = "part int, path string, documents long, tokens long"
 
 
+def segments(text: str):
+    """A long text in parts of about SEGMENT characters, cut where a piece begins anyway."""
+    at = 0
+    while len(text) - at > SEGMENT and (found := _BETWEEN.search(text, at + SEGMENT)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of whole texts as bytes, through a tokenizers file.
 
     A byte-level pre-tokenizer always starts a piece at a single space between
-    two other characters and around a single line feed between two others. Texts
-    are cut there, and each distinct piece is encoded once.
+    two other characters, and around a single line feed whose neighbours are not
+    white space of any kind. Texts are cut there, and each distinct piece is
+    encoded once. Two generations of short pieces are kept: when the younger one is
+    full, it becomes the older one, so frequent pieces stay.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -53,26 +71,46 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.kind).tobytes()
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _cut(self, text: str) -> list[str]:
         if _ODD.search(text):
             return _BETWEEN.split(text)
-        if "\n\n" in text or text[:1] == "\n" or text[-1:] == "\n":
-            return text.replace(" ", "\x01 ").split("\x01")
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= SHORT:
+            self.young[piece] = ids
+            self.held += len(piece) + len(ids) + _OVERHEAD
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
         cut = [self._cut(t) for t in texts]
-        fresh = list(set().union(*cut).difference(memo))
+        need = set().union(*cut)
+        known: dict[str, bytes] = {}
+        fresh = []
+        for piece in need:
+            ids = self.young.get(piece)
+            if ids is None and (ids := self.old.get(piece)) is not None:
+                self._keep(piece, ids)
+            if ids is None:
+                fresh.append(piece)
+            else:
+                known[piece] = ids
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             for piece, got in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                memo[piece] = np.array(got.ids, dtype=self.kind).tobytes()
-        return [b"".join(map(memo.__getitem__, pieces)) + self.end for pieces in cut]
+                known[piece] = ids = np.array(got.ids, dtype=self.kind).tobytes()
+                self._keep(piece, ids)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if max(map(len, texts), default=0) <= SEGMENT:
+            return [ids + self.end for ids in self._encode(texts)]
+        return [b"".join(self._encode([part])[0] for part in segments(t)) + self.end for t in texts]
 
 
 @cache

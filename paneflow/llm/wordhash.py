@@ -17,6 +17,8 @@ LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = {1: np.ones(1, dtype=np.uint64), -1: np.ones(1, dtype=np.uint64)}
+#: Powers kept between calls; those of a longer text are made anew.
+_KEPT = 1 << 21
 
 
 def _power(n: int, sign: int) -> np.ndarray:
@@ -27,7 +29,9 @@ def _power(n: int, sign: int) -> np.ndarray:
         base = _BASE if sign == 1 else pow(_BASE, -1, 1 << 64)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
-        _powers[sign] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if size <= _KEPT:
+            _powers[sign] = have
     return have
 
 

@@ -41,3 +41,26 @@ def test_empty_table(spark, model):
 
 def test_documents(spark, sf_dir, model):
     check(spark, model, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def test_every_white_space_between_pieces(model):
+    """Seeded fuzzing: 60,000 strings over all white space of Unicode and Python."""
+    rng = np.random.default_rng(9)
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()] + ["\u200b", "\ufeff", "\u180e", "\x01"]
+    signs = [*spaces, *" " * 20, *"\n" * 20, *"aB1.'" * 4, "'s", "'ll", "é", "漢", "😀", "\u0301", "<|endoftext|>"]
+    encode = tokens.Encoder(byte_bpe(), 2)
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(1, 9))) for _ in range(60_000)]
+    want = [np.array([*x.ids, 2], encode.kind).tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
+    got = [ids for i in range(0, len(texts), 1000) for ids in encode(texts[i : i + 1000])]
+    assert [t for t, x, y in zip(texts, want, got, strict=True) if x != y] == []
+
+
+def test_memory_of_pieces_is_bounded(model, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "SEGMENT", 500)
+    encode = tokens.Encoder(byte_bpe(), 2)
+    texts = [" ".join(f"w{i * j % 997}" for j in range(300)) + "x" * 200 for i in range(40)]
+    for text in texts:
+        assert np.frombuffer(encode([text])[0], encode.kind).tolist() == [*model.encode(text, add_special_tokens=False).ids, 2]
+    assert max(map(len, encode.young)) <= tokens.SHORT
+    assert len(encode.young) + len(encode.old) < 800
