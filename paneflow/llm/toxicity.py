@@ -5,15 +5,18 @@ left out) of the whole text. Training keeps per-coordinate sums z and n, so each
 coordinate has its own rate, and the L1 term leaves a weight at zero until its
 evidence exceeds it; what remains is a small table that is broadcast.
 
-Labelled rows are dealt over SHARDS tasks. Each task runs through its rows from
-the shared state, and where tasks met a coordinate their states are averaged,
-ROUNDS times; a state has a fixed size. At most MAX_TRAIN labelled ids, about, are learned
-from, chosen by a seeded hash: the one bound, a parameter.
+Labelled rows are dealt over tasks of about PER_SHARD rows, at least one. Each task
+runs through its rows from the shared state, and where tasks met a coordinate their
+states are averaged, ROUNDS times; a state has a fixed size. The bias starts at the
+logarithm of the classes' odds, so what has no evidence scores as the base rate. At
+most MAX_TRAIN labelled ids, about, are learned from, chosen by a seeded hash: the
+one bound, a parameter.
 
 Null and empty texts get the score of the bias alone; ids repeat freely, and each
 different text of a labelled id is learned from once; labels that are null are left out, an id with several labels counts as toxic if one
 says so; with no label of either class the score is the share of toxic rows (0.5
-without any).
+without any). Very long texts are scored whole, one at a time; a column that has the
+name of the score is replaced, all others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from paneflow.llm.wordhash import mix, row_of, words
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
-SHARDS, ROUNDS, MAX_TRAIN, SEED = 4, 4, 16_000, 5
+PER_SHARD, ROUNDS, MAX_TRAIN, SEED = 4_000, 4, 16_000, 5
 THRESHOLD = 0.3
 _KINDS = ((0, 0x51ED270B), (1, 0x2545F491), (2, 0x6C8E9CF5))
 
@@ -64,16 +67,21 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def learn(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> None:
-    """One pass over rows, in place. The last coordinate is the bias, without L1."""
+def bias_of(z: np.ndarray, n: np.ndarray, prior: float) -> float:
+    """The bias: the last coordinate, without L1, beside the prior log-odds."""
+    return float(prior - z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2))
+
+
+def learn(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, prior: float = 0.0) -> None:
+    """One pass over rows, in place."""
     for at, y in zip(rows, labels, strict=True):
         w = weights_of(z[at], n[at])
-        bias = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
+        bias = bias_of(z, n, prior)
         g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
         root = np.sqrt(n[at])
         z[at] += g - (np.sqrt(n[at] + g * g) - root) / ALPHA * w
         n[at] += g * g
-        z[-1] += g - (np.sqrt(n[-1] + g * g) - np.sqrt(n[-1])) / ALPHA * bias
+        z[-1] += g - (np.sqrt(n[-1] + g * g) - np.sqrt(n[-1])) / ALPHA * (bias - prior)
         n[-1] += g * g
 
 
@@ -83,7 +91,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(y, at, shard, mark): labelled, not held-out rows with their coordinates, of about MAX_TRAIN ids at most."""
+    """(mark, y, at): labelled, not held-out rows with their coordinates, of about MAX_TRAIN ids at most."""
     key, mark = F.col(id_col), F.xxhash64(F.col("key"), F.lit(SEED))
     known = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.max("y").alias("y"))
@@ -101,8 +109,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = rows.select(mark.alias("mark"), "y", "text").mapInArrow(task, "mark long, y int, at binary")
     # repeated rows are one; coordinates, not texts, are shuffled
-    found = found.groupBy("mark").agg(F.max("y").alias("y"), F.first("at").alias("at"))
-    return found.withColumn("shard", F.pmod("mark", F.lit(SHARDS)))
+    return found.groupBy("mark").agg(F.max("y").alias("y"), F.first("at").alias("at"))
 
 
 def pack(at: np.ndarray) -> bytes:
@@ -114,7 +121,7 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype="<u4"), dtype=np.int64)
 
 
-def _pass_from(state):
+def _pass_from(state, prior: float):
     """One pass over a shard's rows from the broadcast state; the coordinates that it met."""
 
     def one_pass(group: pa.Table) -> pa.Table:
@@ -122,7 +129,7 @@ def _pass_from(state):
         before = n.copy()
         group = group.sort_by("mark")
         at = [unpack(x) for x in group.column("at").to_pylist()]
-        learn(z, n, at, group.column("y").to_numpy())
+        learn(z, n, at, group.column("y").to_numpy(), prior)
         met = np.flatnonzero(n != before)  # 2**BITS at most, so exact as a 32-bit float too
         return pa.table({"state": pa.array([zlib.compress(np.stack([met, z[met], n[met]]).astype("<f4").tobytes(), 1)], pa.binary())})
 
@@ -139,11 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
         share = n_toxic / n_rows if n_rows else 0.5
         return np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    prior = float(np.log(n_toxic / (n_rows - n_toxic)))
+    rows = rows.withColumn("shard", F.pmod("mark", F.lit(-(-n_rows // PER_SHARD))))
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
         # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
         sums = np.zeros((3, len(z)))
-        for (held,) in rows.groupBy("shard").applyInArrow(_pass_from(state), "state binary").toLocalIterator():
+        for (held,) in rows.groupBy("shard").applyInArrow(_pass_from(state, prior), "state binary").toLocalIterator():
             at, z_new, n_new = np.frombuffer(zlib.decompress(held), dtype="<f4").reshape(3, -1)
             at = at.astype(np.int64)
             sums[0, at] += 1
@@ -154,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
         state.unpersist()
     w = weights_of(z, n)[:-1]
     at = np.flatnonzero(w)
-    return at, w[at], float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2))
+    return at, w[at], bias_of(z, n, prior)
 
 
 def score_rows(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -168,8 +177,8 @@ def score_rows(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score", keep_text: bool = True, below: float | None = None) -> DataFrame:
-    """``docs`` with ``score_col`` (replaced if there); with ``below``, only rows that score less."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str | None = "score", keep_text: bool = True, below: float | None = None) -> DataFrame:
+    """``docs`` with ``score_col`` (replaced if there; none if None); with ``below``, only rows that score less."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != score_col and (keep_text or c != text_col)]
 
@@ -180,9 +189,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
         for batch in batches:
             for first, last, texts in text_chunks(batch, text_col):
                 got = score_rows(texts, weights, bias)
-                part = batch.slice(first, last - first).select(others)
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*others, score_col])
+                out = batch.slice(first, last - first).select(others)
+                if score_col is not None:
+                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(got)], names=[*others, score_col])
                 yield out if below is None else out.filter(pa.array(got < below))
 
-    schema = docs.select(*others).withColumn(score_col, F.lit(0.0)).schema
-    return docs.drop(score_col).mapInArrow(task, schema)
+    schema = docs.select(*others).schema
+    if score_col is not None:
+        schema.add(score_col, "double", False)
+        docs = docs.drop(score_col)
+    return docs.mapInArrow(task, schema)
