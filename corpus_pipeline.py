@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, below=toxicity.THRESHOLD, score_col="_score").drop("_score").select(*docs.columns)
+    return toxicity.score(docs, model, below=toxicity.THRESHOLD, score_col=None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
