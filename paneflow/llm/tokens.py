@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from paneflow.llm.common import Workspace, text_chunks
 
 #: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 56 << 20
 #: Characters of the longest piece that is remembered, and of the text that is cut into pieces at a time.
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.
@@ -70,6 +71,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end_id], dtype=self.kind).tobytes()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -80,32 +82,25 @@ class Encoder:
             return _BETWEEN.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
-    def _keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= SHORT:
-            self.young[piece] = ids
-            self.held += len(piece) + len(ids) + _OVERHEAD
-
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.held > MEMO_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
         cut = [self._cut(t) for t in texts]
-        need = set().union(*cut)
-        known: dict[str, bytes] = {}
-        fresh = []
-        for piece in need:
-            ids = self.young.get(piece)
-            if ids is None and (ids := self.old.get(piece)) is not None:
-                self._keep(piece, ids)
-            if ids is None:
-                fresh.append(piece)
-            else:
-                known[piece] = ids
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for piece, got in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
-                known[piece] = ids = np.array(got.ids, dtype=self.kind).tobytes()
-                self._keep(piece, ids)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        fresh = set().union(*cut).difference(young)
+        back = fresh.intersection(old)
+        young.update(zip(back, map(old.__getitem__, back), strict=True))
+        some = list(fresh.difference(back))
+        for i in range(0, len(some), 4096):
+            part = some[i : i + 4096]
+            found = self.model.encode_batch_fast(part, add_special_tokens=False)
+            young.update(zip(part, (array(self.code, x.ids).tobytes() for x in found), strict=True))
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
+        self.held += len(fresh) * _OVERHEAD + 2 * sum(map(len, fresh))
+        for piece in fresh:
+            if len(piece) > SHORT:
+                del young[piece]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if max(map(len, texts), default=0) <= SEGMENT:
