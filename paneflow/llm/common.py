@@ -14,9 +14,11 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Batches that Spark hands to the text passes are bounded by its own setting of bytes
+# (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set otherwise) besides rows.
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Text bytes that one numpy pass works on.
@@ -24,12 +26,17 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set where it is unset."""
+    """The folder in spark.checkpoint.dir; on a local master a temporary one is set where it is unset.
+
+    A cluster without that setting is refused: its executors share no temporary folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="paneflow-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -61,6 +68,11 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_struct(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that their names clash with nothing."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 @contextlib.contextmanager
 def session_conf(spark: SparkSession, values: dict[str, str]):
     """Session settings for the actions inside; the old ones come back."""

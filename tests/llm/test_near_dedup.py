@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,51 @@ def test_pruning_bound():
 
     for n, m in zip(range(20, 201, 20), need, strict=True):
         assert sum(comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(m)) < 1e-4
+
+
+def _changed(base, rng, share):
+    """A copy of ``base`` with single words replaced, so that about ``share`` of its word pairs are new."""
+    out = list(base)
+    for i in rng.choice(len(base), max(1, int(share * len(base) / 2)), replace=False):
+        out[i] = f"x{rng.integers(1 << 40)}"
+    return out
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """600 copies, most of them too far from the base and from each other to be linked, some linked with one other only."""
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(110)]
+    copies = [_changed(base, rng, s) for s in rng.uniform(0.05, 0.35, 540)]
+    copies += [_changed(copies[i], rng, 0.08) for i in range(0, 540, 9)]
+    rows = [(i, " ".join(c)) for i, c in enumerate(copies)]
+    docs = spark.createDataFrame([(*r, "en", None, None) for r in rows], SCHEMA)
+    got = near_dedup.near_duplicates(docs, 2).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = brute(rows, 2, 80)
+    assert sorted(map(tuple, got)) == want and 50 < len({r[2] for r in want}) < 600
+
+
+def test_sets_over_the_threshold_meet_in_a_prefix():
+    """Every pair that reaches the threshold has a common key whose places leave room for it."""
+    rng = np.random.default_rng(11)
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 90))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.12], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        if not same or 100 * same < 80 * (len(x) + len(y) - same):
+            continue
+        count = lambda s: 2 + (s % np.uint64(5)).astype(np.uint8)
+        (kx, px, sx), (ky, py, sy) = (near_dedup.prefix_keys(s, count(s), 80) for s in (x, y))
+        need = near_dedup.least_overlap(len(x), len(y), 80)
+        pairs = [(i, j) for i in range(len(kx)) for j in np.flatnonzero(ky == kx[i]) if 1 + min(len(x) - 1 - px[i], len(y) - 1 - py[j]) >= need]
+        assert any({int(sx[i]), int(sy[j])} in ({0, 1}, {2}) for i, j in pairs)
+        met += 1
+    assert met > 100
+
+
+def test_internal_names_as_extra_columns(spark):
+    names = ["_id", "_mark", "id", "mark", "id2", "mark2", "row", "first", "k", "c", "v", "comp", "a.b", "text2"]
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id long, text string").select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    kept = near_dedup.keep_one(docs, 2)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", *names), (3, None, *names)]
