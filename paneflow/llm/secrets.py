@@ -15,7 +15,10 @@ bucket that both stand in.
 
 Positions are code points, ends exclusive. A pattern's matches are leftmost and
 do not overlap within their kind. Null texts count as empty; repeated rows each
-get the same answer; an empty table gives nothing.
+get the same answer; an empty table gives nothing. Very long texts are scanned whole,
+in time that grows with their length and little more with their matches. Spans that
+start together are listed by kind. Only the id and the text are read, so the names of
+other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -35,34 +38,48 @@ HEX = r"[0-9a-f]{16,}"
 IDENT = r"""(?i:access_?key_?id|client_?id|user_?name|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 TOKEN = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|ftp|ssh|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
+PATTERNS = (ASSIGN, ACCESS, HEX, IDENT, TOKEN, ENDPOINT)
+#: Matches whose places are summed at a time.
+BLOCK = 256
 #: All kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "ident", "token", "endpoint")
 BASE = KINDS[:3]
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end) of all matches: the text between matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # the running sums of both lengths are kept as one struct per match
-    start = F.struct(F.array().cast(_SPAN).alias("out"), F.lit(0).alias("at"))
+def _running(lengths: Column, kind: int) -> Column:
+    """Spans from (between, found) lengths: their running sums, first inside blocks of BLOCK matches, then over the blocks.
+
+    An array that grows by one element is copied each time; so neither kind of array is long.
+    """
+    one = F.struct(F.array().cast(_SPAN).alias("out"), F.lit(0).alias("at"))
+    all_ = F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), F.lit(0).alias("at"))
 
     def step(held: Column, pair: Column) -> Column:
-        begin = held["at"] + F.length(pair["between"])
-        end = begin + F.length(pair["found"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(F.array_append(held["out"], span).alias("out"), end.alias("at"))
+        begin = held["at"] + pair["between"]
+        end = begin + pair["found"]
+        return F.struct(F.array_append(held["out"], F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"), end.alias("at"))
+
+    def join(held: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + held["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + held["at"]).alias("end")))
+        return F.struct(F.array_append(held["out"], moved).alias("out"), (held["at"] + block["at"]).alias("at"))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(lengths, i, BLOCK), one, step))
+    return F.flatten(F.aggregate(blocks, all_, join, lambda held: held["out"]))
+
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("between"), found.alias("found"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda held: held["out"])).otherwise(F.array().cast(_SPAN))
+def spans(text: Column, found: Column, pattern: str, kind: int) -> Column:
+    """(start, kind, end) of the matches ``found`` of a pattern: the text between matches gives their places."""
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("between"), found.alias("found"))
+    lengths = F.transform(pairs, lambda p: F.struct(F.length(p["between"]).alias("between"), F.length(p["found"]).alias("found")))
+    return F.when(F.size(found) > 0, _running(lengths, kind)).otherwise(F.array().cast(_SPAN))
 
 
-def _assign(text: Column) -> Column:
-    """Matches of ASSIGN whose value is long enough; the short ones still take their place."""
-    every = spans(text, ASSIGN, 0)
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    return F.transform(F.filter(F.arrays_zip(every.alias("span"), values.alias("value")), lambda x: F.length(x["value"]) >= ASSIGN_LEAST), lambda x: x["span"])
+def _long_enough(every: Column, found: Column) -> Column:
+    """Spans of ASSIGN whose value has ASSIGN_LEAST characters; the short ones have taken their place."""
+    value = lambda x: F.regexp_extract(x["found"], ASSIGN, 1)
+    return F.transform(F.filter(F.arrays_zip(every.alias("span"), found.alias("found")), lambda x: F.length(value(x)) >= ASSIGN_LEAST), lambda x: x["span"])
 
 
 def _listed(found: Column) -> Column:
@@ -94,9 +111,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: doc_id, base and linked, arrays of (start, kind, end); a kind is a place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    base = F.concat(_assign(F.col("text")), spans(F.col("text"), ACCESS, 1), spans(F.col("text"), HEX, 2))
-    weak = F.concat(spans(F.col("text"), IDENT, 3), spans(F.col("text"), TOKEN, 4), spans(F.col("text"), ENDPOINT, 5))
-    found = Workspace(docs.sparkSession, "secrets").table(rows.select("doc_id", "mark", base.alias("base"), weak.alias("weak")), "found")
+    # a pattern's matches are a column of their own, so that each passes over the text once for them, and once more for what is between if there are any
+    matched = rows.select("*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(PATTERNS)))
+    every = matched.select("*", *(spans(F.col("text"), F.col(f"m{k}"), p, k).alias(f"s{k}") for k, p in enumerate(PATTERNS)))
+    base = F.concat(_long_enough(F.col("s0"), F.col("m0")), "s1", "s2")
+    found = Workspace(docs.sparkSession, "secrets").table(every.select("doc_id", "mark", base.alias("base"), F.concat("s3", "s4", "s5").alias("weak")), "found")
     linked = _linked(found).withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"})
     joined = found.join(linked, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("mark") == F.col("mark2")), "left")
     return joined.select("doc_id", "base", F.coalesce("linked", F.array().cast(_SPAN)).alias("linked"))

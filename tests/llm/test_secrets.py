@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from paneflow.llm import secrets
 
@@ -83,3 +84,14 @@ def test_documents(spark, sf_dir):
 def test_plan_is_native(spark, sf_dir):
     plan = secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(40_000)) + " login: bob token=abcdefghijklmnop"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.find(docs.limit(0)).collect()
+    begun = time.perf_counter()
+    got = secrets.find(docs).select("base", "linked").first()
+    assert time.perf_counter() - begun < 10
+    want = [(m.start(), 2, m.end()) for m in PATTERNS["hex"].finditer(text) if m.end() - m.start() >= 16]
+    assert len(want) == 40_000 and sorted(tuple(x) for x in got.base if x.kind == 2) == want
