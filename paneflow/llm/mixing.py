@@ -6,13 +6,19 @@ others by weight until no source is above its cap. A source whose target is r
 times its size repeats every document floor(r) times, and a seeded choice of
 documents that holds the fraction r - floor(r) of its size once more.
 
-The choice orders a source's documents by a seeded 64-bit hash and takes those
-below a cut. The cut is found from sums over hash bins (partial aggregates, so a
-source with a third of all rows is no hot task) and an ordering inside one bin.
-Up to FILLS documents that fit best into what is then left are added.
-
-Null texts have size 0, the null source is a source of its own and comes last,
-repeated rows are taken alike, an empty table gives an empty mix.
+The choice goes through a source's documents in the order of a seeded 64-bit hash and
+takes each that fits into what is left of the quota. That is done in passes over the
+whole source at once: the documents that fit are taken up to a cut, the first that no
+longer fits is passed over, and the next pass goes on behind the cut with those that fit
+now, until what is left is below TOLERANCE of the quota, or nothing fits. A cut is found
+from sums over hash bins, refined inside the one bin that holds it until few documents
+are left there, so neither a source with a third of all rows nor its size makes a hot
+task. Equal rows (one hash) are taken together or not at all.
+
+Null texts have size 0 and are never taken, as are other texts without words; the null
+source is a source of its own and comes last; an empty table gives an empty mix. Very
+long texts are only counted. Extra columns may have any names: a row is carried as one
+struct.
 """
 
 from __future__ import annotations
@@ -20,14 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, join_checked
+from paneflow.llm.common import Workspace, as_struct, join_checked
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash bins per source. The one bin that the cut falls into is ordered in one task.
-BINS = 1024
+#: Bits of the hash by which bins are refined at a time, and the rows of a bin that one task orders.
+BIN_BITS, BIN_ROWS = 10, 50_000
 SEED = 20
-#: Documents that may fill what is left of a source's quota, one after the other.
-FILLS = 3
+#: What may be left of a source's quota, as a share of it.
+TOLERANCE = 0.001
+_CUTS = "array<struct<after:bigint,upto:bigint,fits:bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -57,59 +64,89 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return capped.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight"))).drop("cap")
 
 
-def _source_plan(rows: DataFrame, space: Workspace, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
-    """One written row per source of the written rows (_source, _size, _mark)."""
+def _placed(sources: DataFrame, space: Workspace) -> DataFrame:
+    """The written ``sources`` with ``place``, their rank by code point, null last: ranges are ranked apart, and the ranges' sizes are summed."""
     low = F.col("_source").isNull()
+    # the upper bits of this id are the partition, the lower 33 the place inside it
+    ranged = sources.repartitionByRange(low, "_source").sortWithinPartitions(low, "_source").withColumn("_at", F.monotonically_increasing_id())
+    ranged = space.table(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33))
+    base, at = {}, 0
+    for r in sorted(ranged.groupBy("_part").count().collect(), key=lambda r: r._part):  # one row per partition
+        base[r._part], at = at, at + r["count"]
+    bases = space.spark.createDataFrame([*base.items()], "_part long, _base long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(bases), "_part").withColumn("place", F.col("_base") + inside).drop("_part", "_base", "_at")
+
+
+def _bin(level: int) -> Column:
+    """The first ``level`` * BIN_BITS bits of the mark, in the order of the marks."""
+    return F.shiftrightunsigned(F.col("_mark").bitwiseXOR(F.lit(-(1 << 63))), 64 - level * BIN_BITS)
+
+
+def _cut(fitting: DataFrame, quotas: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(_source, upto, past, got) of the ``fitting`` documents (_source, _size, _mark) and the written ``quotas`` (_source, left).
+
+    Those up to the mark ``upto`` (null: none) stay within ``left`` and sum up to ``got``; ``past`` is the first that does not fit.
+    """
+    open_, done, level = quotas.select("_source", "left", F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("edge")), None, 0
+    rows = fitting
+    while True:
+        level += 1
+        bins = rows.groupBy("_source", _bin(level).alias("bin")).agg(F.sum("_size").alias("held"), F.count("*").alias("rows"))
+        run = Window.partitionBy("_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = _by_source(space.table(bins, f"{name}-bins{level}").withColumn("sum", F.sum("held").over(run)), open_)
+        bins = bins.withColumn("sum", F.col("sum") + F.col("below"))
+        # the bin in which the quota is passed; without one all that fits is taken
+        edges = bins.where((F.col("sum") > F.col("left")) & (F.col("sum") - F.col("held") <= F.col("left")))
+        edges = space.table(edges.select("_source", "left", (F.col("sum") - F.col("held")).alias("below"), F.col("bin").alias("edge"), "rows"), f"{name}-edges{level}")
+        most = edges.agg(F.max("rows")).first()[0]
+        open_ = edges.drop("rows")
+        if most is None or most <= BIN_ROWS or (level + 1) * BIN_BITS > 63:
+            break
+        rows = _by_source(fitting, open_.select("_source", "edge")).where(_bin(level) == F.col("edge")).drop("edge")
+    ordered = Window.partitionBy("_source").orderBy("_mark").rangeBetween(Window.unboundedPreceding, 0)
+    inside = _by_source(fitting, open_).where(_bin(level) == F.col("edge")).withColumn("sum", F.col("below") + F.sum("_size").over(ordered))
+    fits = F.col("sum") <= F.col("left")
+    inside = inside.groupBy("_source").agg(F.max(F.when(fits, F.col("_mark"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("most"), F.min(F.when(~fits, F.col("_mark"))).alias("past"))
+    inside = space.table(inside, f"{name}-inside")
+    # below the edge everything is taken: up to the last mark of the bin before it
+    first = F.shiftleft(F.col("edge"), 64 - level * BIN_BITS).bitwiseXOR(F.lit(-(1 << 63)))
+    cut = _by_source(open_, inside).select("_source", F.coalesce("last", F.when(F.col("edge") > 0, first - 1)).alias("upto"), "past", F.coalesce("most", "below").alias("got"))
+    whole = _by_source(_by_source(quotas.select("_source"), open_.select("_source"), "left_anti"), space.table(fitting.groupBy("_source").agg(F.sum("_size").alias("got")), f"{name}-whole"))
+    end = F.lit((1 << 63) - 1)
+    return space.table(cut.unionByName(whole.select("_source", end.alias("upto"), end.alias("past"), "got")), name)
+
+
+def _source_plan(rows: DataFrame, space: Workspace, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
+    """One written row per source of the written rows (_source, _size, _mark), with ``_cuts``: what each pass takes."""
     sums = space.table(rows.groupBy("_source").agg(F.sum("_size").alias("source_size")), "sums")
-    # one row per source; their order needs one task, whatever the number of documents
-    place = F.row_number().over(Window.orderBy(low, "_source")) - 1
     listed = F.array(*map(F.lit, weights))
-    sources = space.table(sums.withColumn("weight", F.element_at(listed, (place % len(weights) + 1).cast("int"))), "weights")
-    sources = water_fill(sources, max_epochs)
+    sources = _placed(sums, space).withColumn("weight", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    sources = water_fill(space.table(sources, "weights"), max_epochs)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     quota = F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))
     sources = space.table(sources.withColumn("_whole", F.floor(ratio + 1e-9)).withColumn("_quota", quota), "targets")
-    bins = space.table(rows.groupBy("_source", _bin().alias("_bin")).agg(F.sum("_size").alias("held")), "bins")
-    run = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    edges = space.table(
-        _by_source(bins.withColumn("upto", F.sum("held").over(run)), sources.select("_source", "_quota"))
-        .where((F.col("upto") > F.col("_quota")) & (F.col("upto") - F.col("held") <= F.col("_quota")))
-        .select("_source", F.col("_bin").alias("_edge"), (F.col("upto") - F.col("held")).alias("_below"), "_quota"),
-        "edges",
-    )
-    # inside the edge bin: the last mark up to which the documents fit
-    ordered = Window.partitionBy("_source").orderBy("_mark").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = space.table(
-        _by_source(rows, edges)
-        .where(_bin() == F.col("_edge"))
-        .withColumn("upto", F.col("_below") + F.sum("_size").over(ordered))
-        .where(F.col("upto") <= F.col("_quota"))
-        .groupBy("_source")
-        .agg(F.max("_mark").alias("_last"), F.max("upto").alias("_got")),
-        "cuts",
-    )
-    known = _by_source(_by_source(sources, edges.drop("_quota"), "left"), cuts, "left")
-    left = F.col("_quota") - F.coalesce("_got", "_below", "source_size")
-    known = space.table(known.withColumn("_left", left).withColumn("_fill", F.array().cast("array<bigint>")), "fill0")
-    for k in range(1, FILLS + 1):
-        fits = (_extra() == 0) & (F.col("_size") > 0) & (F.col("_size") <= F.col("_left"))
-        best = _by_source(rows, known).where(fits).groupBy("_source").agg(F.max(F.struct("_size", "_mark")).alias("best"))
-        more = _by_source(known, space.table(best, f"best{k}"), "left")
-        known = more.withColumn("_left", F.col("_left") - F.coalesce("best._size", F.lit(0)))
-        known = known.withColumn("_fill", F.array_compact(F.array_append("_fill", F.col("best._mark")))).drop("best")
-        known = space.table(known, f"fill{k}")
-    return known.drop("weight", "_left", "_got", "_below")
-
-
-def _bin() -> Column:
-    return F.floor(F.col("_mark") / F.lit(2.0**64 / BINS)).cast("int")
+    state = sources.select("_source", "_quota", F.floor("_quota").alias("left"), F.lit(None).cast("long").alias("after"), F.array().cast(_CUTS).alias("_cuts"))
+    state, turn = space.table(state, "state0"), 0
+    while True:
+        turn += 1
+        going = state.where((F.col("left") > 0) & (F.col("left") > TOLERANCE * F.col("_quota")) & (F.coalesce("after", F.lit(0)) < (1 << 63) - 1))
+        behind = F.col("after").isNull() | (F.col("_mark") > F.col("after"))
+        fitting = _by_source(rows, going.select("_source", "left", "after")).where(behind & (F.col("_size") > 0) & (F.col("_size") <= F.col("left"))).select("_source", "_size", "_mark")
+        cuts = _cut(fitting, going.select("_source", "left"), space, f"cut{turn}")
+        if not cuts.limit(1).count():
+            return _by_source(sources.drop("weight", "_quota"), state.select("_source", "_cuts"))
+        new = F.struct("after", "upto", F.col("left").alias("fits"))
+        state = _by_source(state, cuts, "left").withColumn("_cuts", F.when(F.col("upto").isNotNull(), F.array_append("_cuts", new)).otherwise(F.col("_cuts")))
+        state = state.withColumn("left", F.col("left") - F.coalesce("got", F.lit(0))).withColumn("after", F.coalesce("past", F.lit((1 << 63) - 1)))
+        state = space.table(state.drop("upto", "past", "got"), f"state{turn}")
 
 
 def _extra() -> Column:
-    """1 where the fractional repetition takes a row."""
-    inside = (_bin() < F.col("_edge")) | ((_bin() == F.col("_edge")) & (F.col("_mark") <= F.coalesce("_last", F.lit(-(2**63)))))
-    # without an edge the quota holds the whole source
-    return F.when(F.col("_edge").isNull(), F.col("_quota") > 0).otherwise(inside | F.array_contains("_fill", F.col("_mark"))).cast("long")
+    """1 where the fractional repetition takes a row: one of the passes does."""
+    mark = F.col("_mark")
+    taken = F.exists("_cuts", lambda c: (c["after"].isNull() | (mark > c["after"])) & (mark <= c["upto"]) & (F.col("_size") <= c["fits"]))
+    return (taken & (F.col("_size") > 0)).cast("long")
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -127,7 +164,7 @@ def mixed_rows(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, id_co
     marked = docs.withColumn("_source", F.col(source_col)).withColumn("_size", word_count(F.col(text_col))).withColumn("_mark", F.xxhash64(id_col, "_size", F.lit(seed)))
     rows = space.table(marked.select("_source", "_size", "_mark"), "sizes")
     plan = _source_plan(rows, space, max_epochs, weights)
-    return _by_source(marked, plan).withColumn("_extra", _extra())
+    return _by_source(marked, plan).withColumn("_extra", _extra()).withColumn("_whole", F.when(F.col("_size") > 0, F.col("_whole")).otherwise(0)).drop("_cuts")
 
 
 def mix_plan(docs: DataFrame, max_epochs: float = 3.0, **names) -> DataFrame:
@@ -141,6 +178,6 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, **names) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, its columns unchanged."""
     # the row goes along as one struct: its columns clash with nothing
     needed = dict.fromkeys([names.get("id_col", "doc_id"), names.get("text_col", "text"), names.get("source_col", "source")])
-    rows = mixed_rows(docs.select(*needed, F.struct(*(F.col(c) for c in docs.columns)).alias("_row")), max_epochs, **names)
+    rows = mixed_rows(docs.select(*needed, as_struct(docs).alias("_row")), max_epochs, **names)
     times = F.explode(F.array_repeat(F.lit(0), (F.col("_whole") + F.col("_extra")).cast("int"))).alias("_copy")
     return rows.select("_row", times).select("_row.*")

@@ -35,6 +35,7 @@ def check(spark, rows):
         assert 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
     mixed = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert all(mixed[r.doc_id] == 0 for r in got if not r.size and sum(x[0] == r.doc_id for x in rows) == 1)
     for r in got:
         if r.size and r.doc_id is not None and sum(x[0] == r.doc_id for x in rows) == 1:
             assert mixed[r.doc_id] * r.size == r.taken
@@ -54,6 +55,19 @@ def test_odd_rows_and_caps(spark):
     assert mixing.mix_plan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_a_quota_is_filled_behind_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 4)
+    rows = [(i, "w " * (i % 7 + 1), "s" if i % 3 else "t") for i in range(600)]
+    rows += [(1000 + i, "long " * 700, "s") for i in range(3)] + [(2000, "five of them here now", "t")] * 200 + [(3000 + i, "x " * 40, "u") for i in range(400)]
+    want, taken = check(spark, rows)
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in want.items() if t < 3 * 10**9), (want, taken)
+
+
+def test_many_sources_are_ranked_by_code_point(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i * 37 % 501}" if i % 50 else None) for i in range(1503)]
+    check(spark, rows)
+
+
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 5, "w")], SCHEMA).withColumn("target", F.lit("mine"))
     assert mixing.mix(docs).columns == docs.columns
