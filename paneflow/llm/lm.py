@@ -1,134 +1,171 @@
-"""Stupid-backoff language-model scores as joins (operator 7).
-
-The model is a bigram one with counts over all documents. A word pair that occurs
-at least LEAST times scores count(pair) / count(first word), any other BACKOFF *
-count(second word) / words; the first word of a text has no pair and scores
-count(word) / words. A document's score is the sum of the logarithms.
-
-Each word is a 64-bit hash and a pair two of them, so no text is shuffled. One pass deals the pairs of all documents to partitions by their hash;
-there they are counted, and the same dealt pairs are joined to that count table,
-without another exchange. Word counts are first summed inside a task. What a row
-then needs is the count of one word: those of the HEAD most frequent words are
-broadcast (a fixed number of rows), the rest is joined by word after summing per
-document.
+"""Stupid-backoff language-model scores by exchanged n-gram counts (operator 7).
+
+With counts over all documents, a word scores count(n-gram) / count(its context)
+if the longest n-gram that ends with it, of at most ``order`` words, occurs at
+least ``least`` times; else BACKOFF times the score with one word less; a single
+word scores count / words. The first words of a text have shorter n-grams only,
+which costs no backoff. A document's score is the sum of the logarithms.
+
+The steps are a count table, a join and a sum, on packed rows:
+
+1. One pass writes the texts as *blocks* of about BLOCK_BYTES: the distinct words'
+   64-bit hashes, and the text as places among them. Nothing later reads a text.
+2. Each block sends every distinct n-gram that it has, with its count, to one of
+   many partitions by ranges of the n-gram's hash. An n-gram is sent once per
+   block, however often it occurs, so none makes a partition hot.
+3. A partition adds the counts up and answers each block, in the same order.
+4. A block joined to its answers knows the counts at each of its words, and sums
+   the scores per document.
+
+An n-gram is named by a 64-bit hash of its words' whole 64-bit hashes. Scoring the
+texts that the model counts, an n-gram seen once is the text's own, so ``least`` is
+2 by default; 1 is the plain formula. With ``corpus`` given, the counts come from
+there instead; a word that it lacks counts as once seen.
 
 Null and empty texts have no words: score 0, mean null. Words are runs of
 characters other than space and 0x09-0x0D, A-Z lower-cased. Repeated rows count
-and are scored each; an empty table gives nothing.
+and are scored each; ids may be null or repeat; a very long text is a block of its
+own; only the id and the text are read, so the names of other columns clash with
+nothing. An empty table gives nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, session_conf, text_chunks
-from paneflow.llm.wordhash import mix, row_of, words
+from paneflow.llm.common import Workspace, text_chunks
+from paneflow.llm.wordhash import combine, row_of, words
 
-LEAST, BACKOFF = 2, 0.4
-HEAD = 200_000
-#: Pairs in one partition of the dealt table, about.
+LEAST, BACKOFF, ORDER = 2, 0.4, 2
+BLOCK_BYTES = 4 << 20
+#: Words of the corpus per partition of the count tables, times the order: the n-grams there are at most as many.
 PER_PART = 3_000_000
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(w, n) over all rows; a task sums its own words first."""
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, so that the exchange's compression finds the empty ones."""
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide.T).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, ids, sizes, vocab, places): the texts of ``rows`` (doc_id, text) as words' places among the block's distinct words."""
 
     def task(batches):
-        held = []
+        n = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for _, _, texts in text_chunks(batch, "text"):
-                w, n = np.unique(words(texts)[0], return_counts=True)
-                held.append((w, n))
-                if len(held) == 16:
-                    held = [_summed(held)]
-        if held:
-            w, n = _summed(held)
-            for i in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_pydict({"w": pa.array(w[i : i + 100_000].astype(np.int64)), "n": pa.array(n[i : i + 100_000])})
+            for first, last, texts in text_chunks(batch, "text", BLOCK_BYTES):
+                h, bounds = words(texts)
+                vocab, places = np.unique(h, return_inverse=True)
+                ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column("doc_id").slice(first, last - first))
+                sizes = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), pa.array(np.diff(bounds), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([n]), ids, sizes, pa.array([vocab.tobytes()]), pa.array([places.astype("<i4").tobytes()])], names=["block", "ids", "sizes", "vocab", "places"])
+                n += 1
 
-    return rows.select("text").mapInArrow(task, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(task, f"block long, ids array<{dict(rows.dtypes)['doc_id']}>, sizes array<long>, vocab binary, places binary")
 
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    w, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-    return w, np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(w)).astype(np.int64)
+def ngrams(vocab: bytes, places: bytes, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length 1 ... order: (last words of the n-grams inside texts, their hashes)."""
+    h = np.frombuffer(vocab, dtype=np.uint64)[np.frombuffer(places, dtype="<i4")]
+    row, out = row_of(np.concatenate([[0], np.cumsum(sizes)])), []
+    for n in range(1, order + 1):
+        inside = np.flatnonzero(row[: max(0, len(h) - n + 1)] == row[n - 1 :])
+        out.append((inside + n - 1, combine(h, n)[inside] if n > 1 else h[inside]))
+    return out
 
 
-def dealt_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, firsts, seconds, keys): the pairs of some documents that go to one partition, with the key of each pair's document."""
+def _asked(held: DataFrame, parts: int, order: int, counted: bool, answered: bool) -> DataFrame:
+    """(part, block, n, grams, counts): the distinct n-grams of each block by ranges of their hash."""
 
     def task(batches):
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text", 1 << 20):
-                w, bounds = words(texts)
-                row = row_of(bounds)
-                same = row[:-1] == row[1:] if len(row) else np.zeros(0, dtype=bool)
-                v, w = w[:-1][same], w[1:][same]
-                part = (mix(v * np.uint64(0x9FB21C651E98DF25) + w) % np.uint64(parts)).astype(np.int64)
-                doc = row[:-1][same] if len(row) else row
-                order = np.argsort(part, kind="stable")  # documents stay together
-                part = part[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = pa.array(np.append(cuts, len(part)), pa.int32())
-                keys = batch.column("key").slice(first, last - first).take(pa.array(doc[order]))
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(v[order].astype(np.int64)), pa.array(w[order].astype(np.int64)), keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), *lists], names=["part", "firsts", "seconds", "keys"])
-
-    return rows.mapInArrow(task, "part int, firsts array<long>, seconds array<long>, keys array<long>")
-
-
-def doc_words(rows: DataFrame) -> DataFrame:
-    """(key, n_words, w): the number of words and the first word of each row."""
+            for row in batch.to_pylist():
+                for n, (_, grams) in enumerate(ngrams(row["vocab"], row["places"], np.array(row["sizes"], dtype=np.int64), order), 1):
+                    grams, counts = np.unique(grams, return_counts=True)
+                    part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                    ends = np.append(cuts[1:], len(part))[: len(cuts)]
+                    found = [(int(part[a]), row["block"] if answered else None, n, pack(np.diff(grams[a:b], prepend=np.uint64(0))), pack(counts[a:b] if counted else counts[a:b] * 0)) for a, b in zip(cuts, ends, strict=True)]
+                    if found:
+                        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["part", "block", "n", "grams", "counts"])
 
-    def task(batches):
-        for batch in batches:
-            for first, last, texts in text_chunks(batch, "text"):
-                w, bounds = words(texts)
-                n = np.diff(bounds)
-                head = pa.array(np.append(w, np.uint64(0))[bounds[:-1]].astype(np.int64), mask=n == 0)
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n.astype(np.int64)), head], names=["doc_id", "key", "n_words", "w"])
+    return held.select("block", "sizes", "vocab", "places").mapInArrow(task, "part int, block long, n int, grams binary, counts binary")
 
-    return rows.mapInArrow(task, f"doc_id {dict(rows.dtypes)['doc_id']}, key long, n_words long, w long")
 
+def _answers(asked: DataFrame, parts: int) -> DataFrame:
+    """(part, block, n, counts): the counts over all blocks, for each block in the order of its n-grams."""
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def task(batches):
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for part, block, n, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "n", "grams", "counts")), strict=True):
+                held.setdefault((part, n), []).append((block, np.cumsum(unpack(grams), dtype=np.uint64), unpack(counts)))
+        for (part, n), found in sorted(held.items()):
+            _, at = np.unique(np.concatenate([g for _, g, _ in found]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([c for _, _, c in found]))  # below 2**53, so exact
+            end = 0
+            for block, grams, _ in found:
+                begin, end = end, end + len(grams)
+                if block is not None:
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "n": pa.array([n], pa.int32()), "counts": [pack(total[at[begin:end]])]})
+
+    return asked.repartitionById(parts, "part").mapInArrow(task, "part int, block long, n int, counts binary")
+
+
+def log_scores(found: list[tuple[np.ndarray, np.ndarray]], total: float, size: int, least: int) -> np.ndarray:
+    """The logarithm of each word's score, from (last words, counts) of the n-grams per length."""
+    score, before = np.zeros(size), np.zeros(size)
+    for n, (at, counts) in enumerate(found, 1):
+        if n == 1:
+            score[at] = np.log(np.maximum(counts, 1) / total)
+        else:
+            seen = (counts >= least) & (counts > 0)
+            score[at[~seen]] += np.log(BACKOFF)
+            score[at[seen]] = np.log(counts[seen] / before[at[seen] - 1])
+        before = np.zeros(size)
+        before[at] = counts
+    return score
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least: int = LEAST, corpus: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, n_words, log_score, mean_log_score."""
-    space = Workspace(docs.sparkSession, "lm")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    counts = space.table(word_counts(rows), "words")
-    lengths = space.table(doc_words(rows), "lengths")
-    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    head = space.table(counts.orderBy(F.desc("n"), "w").limit(HEAD), "head")
-
-    conf = docs.sparkSession.conf
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), total // PER_PART + 1)
-    # both sides below are dealt by ``part``: their join needs no exchange of its own
-    with session_conf(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        # the filter and the key are on both sides, so that both read the one exchange
-        dealt = dealt_pairs(rows.select("key", "text"), parts).where("part is not null").repartition(parts, "part")
-        each = dealt.select("part", F.inline(F.arrays_zip("firsts", "seconds", "keys"))).withColumnsRenamed({"firsts": "v", "seconds": "w", "keys": "key"})
-        table = each.groupBy("part", "v", "w").agg(F.count("*").alias("c"), F.min("key").alias("some_key"))
-        table = table.where((F.col("c") >= LEAST) & F.col("some_key").isNotNull()).drop("some_key")
-        scored = each.join(table.hint("shuffle_hash"), ["part", "v", "w"], "left")
-        seen = F.col("c").isNotNull()
-        word = F.when(seen, F.col("v")).otherwise(F.col("w"))
-        base = F.when(seen, F.ln(F.col("c").cast("double"))).otherwise(F.lit(float(np.log(BACKOFF / max(1, total)))))
-        scored = scored.select("key", word.alias("w"), F.when(seen, -1).otherwise(1).alias("sign"), base.alias("base"))
-        known = scored.join(F.broadcast(head), "w", "left")
-        told = F.col("n").isNotNull()
-        value = F.col("base") + F.when(told, F.col("sign") * F.ln(F.col("n").cast("double"))).otherwise(0.0)
-        summed = known.select("key", F.when(~told, F.col("w")).alias("w"), F.when(told, 0).otherwise(F.col("sign")).alias("sign"), value.alias("value"))
-        summed = space.table(summed.groupBy("key", "w").agg(F.sum("sign").alias("sign"), F.sum("value").alias("value")), "summed")
-    first = lengths.where("w is not null").select("key", "w", F.lit(1).cast("long").alias("sign"), F.lit(-float(np.log(max(1, total)))).alias("value"))
-    rest = summed.unionByName(first).join(counts, "w", "left")
-    log = F.when(F.col("w").isNull(), 0.0).otherwise(F.col("sign") * F.ln(F.col("n").cast("double")))
-    by_doc = rest.groupBy("key").agg(F.sum(F.col("value") + log).alias("log_score"))
-    # rows of one key are equal rows, and each of them has added to the sum
-    copies = lengths.groupBy("key").agg(F.count("*").alias("copies"))
-    by_doc = space.table(by_doc.join(copies, "key").select("key", (F.col("log_score") / F.col("copies")).alias("log_score")), "scores")
-    out = lengths.join(by_doc, "key", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0)))
+    space, kind = Workspace(docs.sparkSession, "lm"), dict(docs.dtypes)[id_col]
+    columns = F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+    held = space.table(blocks(docs.select(*columns)), "blocks")
+    model = held if corpus is None else space.table(blocks(corpus.select(F.lit(None).cast(kind).alias("doc_id"), columns[1])), "corpus")
+    size = F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    total = int(model.agg(size).first()[0])
+    asking = total if corpus is None else total + int(held.agg(size).first()[0])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), asking * order // PER_PART + 1)
+    asked = _asked(held, parts, order, corpus is None, True)
+    if corpus is not None:
+        asked = asked.unionAll(_asked(model, parts, order, True, False))
+    answers = space.table(_answers(asked, parts), "answers")
+
+    def sums(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        sizes = np.array(row["sizes"], dtype=np.int64)
+        told = right.sort_by([("n", "ascending"), ("part", "ascending")])
+        lengths, packed = told.column("n").to_pylist(), told.column("counts").to_pylist()
+        found = []
+        for n, (at, grams) in enumerate(ngrams(row["vocab"], row["places"], sizes, order), 1):
+            counts = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(x) for k, x in zip(lengths, packed, strict=True) if k == n)])
+            found.append((at, counts[np.unique(grams, return_inverse=True)[1]].astype(np.float64)))
+        by_word = log_scores(found, max(1, total), int(sizes.sum()), least)
+        by_doc = np.bincount(row_of(np.concatenate([[0], np.cumsum(sizes)])), by_word, minlength=len(sizes)).astype(np.float64)
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(sizes), pa.array(by_doc)], names=["doc_id", "n_words", "log_score"])
+
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sums, f"doc_id {kind}, n_words long, log_score double")
     return out.select("doc_id", "n_words", "log_score", F.try_divide("log_score", F.col("n_words").cast("double")).alias("mean_log_score"))

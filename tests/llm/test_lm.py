@@ -2,6 +2,8 @@ import re
 from collections import Counter
 from math import isclose, log
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paneflow.llm import lm
@@ -9,24 +11,34 @@ from paneflow.llm import lm
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows):
-    texts = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
-    uni = Counter(w for t in texts for w in t)
-    bi = Counter(p for t in texts for p in zip(t, t[1:], strict=False))
-    n = sum(uni.values())
+def split(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(rows, order=lm.ORDER, least=lm.LEAST, corpus=None):
+    seen = [split(t) for _, t in (rows if corpus is None else corpus)]
+    count = Counter(tuple(t[i : i + n]) for n in range(1, order + 1) for t in seen for i in range(len(t) - n + 1))
+    total = max(1, sum(map(len, seen)))
+
+    def back_off(gram):
+        if len(gram) == 1:
+            return log(max(1, count[gram]) / total)
+        if count[gram] >= max(1, least):
+            return log(count[gram] / count[gram[:-1]])
+        return log(lm.BACKOFF) + back_off(gram[1:])
+
     out = []
-    for (k, _), t in zip(rows, texts, strict=True):
-        s = log(uni[t[0]] / n) if t else 0.0
-        for a, b in zip(t, t[1:], strict=False):
-            s += log(bi[a, b] / uni[a]) if bi[a, b] >= lm.LEAST else log(lm.BACKOFF * uni[b] / n)
+    for k, text in rows:
+        t = split(text)
+        s = sum(back_off(tuple(t[max(0, i - order + 1) : i + 1])) for i in range(len(t)))
         out.append((k, len(t), s, s / len(t) if t else None))
     return sorted(out, key=str)
 
 
-def check(spark, rows):
-    docs = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, key int, w string")
-    got = sorted(map(tuple, lm.score(docs).collect()), key=str)
-    want = brute(rows)
+def check(spark, rows, corpus=None, **choice):
+    make = lambda some: spark.createDataFrame([(*r, 1, "clash") for r in some], "doc_id long, text string, key int, w string")
+    got = sorted(map(tuple, lm.score(make(rows), corpus=None if corpus is None else make(corpus), **choice).collect()), key=str)
+    want = brute(rows, corpus=corpus, **choice)
     by = lambda r: (str(r[0]), r[1], round(r[2], 6))
     for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
         assert g[:2] == w[:2] and isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9)
@@ -42,13 +54,25 @@ def test_documents(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
 
-def test_words_beyond_the_head(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD", 50)
-    check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") < 1500).collect()])
+@pytest.mark.parametrize("choice", [{"order": 3}, {"order": 3, "least": 1}, {"order": 1}, {"order": 4, "least": 3}])
+def test_orders_in_small_blocks(spark, sf_dir, monkeypatch, choice):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 5_000)
+    monkeypatch.setattr(lm, "PER_PART", 3_000)
+    check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") < 1500).collect()], **choice)
+
+
+def test_another_corpus(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") < 1500).collect()]
+    check(spark, [*rows[:30], (7, None), (8, "unheard-of words the in")], corpus=[*rows[20:], (None, None)], order=3, least=1)
+    check(spark, rows[:3], corpus=[], order=2)
+
+
+def test_planes():
+    x = np.array([0, 1, 255, 256, (1 << 64) - 1], dtype=np.uint64)
+    assert (lm.unpack(lm.pack(x)) == x).all() and len(lm.unpack(lm.pack(x[:0]))) == 0
 
 
 def test_words_that_share_half_a_hash(spark):
-    import numpy as np
     import pyarrow as pa
     from paneflow.llm import wordhash
 
