@@ -10,7 +10,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Text bytes that one numpy pass works on.
 CHUNK_BYTES = 1 << 20
+_BLOCK = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,3 +113,34 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         held += int(n)
     if first < len(texts):
         yield first, len(texts), texts.slice(first)
+
+
+def slot_counts(rows: DataFrame, slots_of, bits: int) -> np.ndarray:
+    """How often each of 2**``bits`` slots occurs, up to 255: a fixed number of bytes, whatever the rows are.
+
+    ``slots_of`` gives the slots of one Arrow batch, as an array. Tasks count apart and
+    send their counts in blocks, which are added up before they reach the driver.
+    """
+
+    def count(batches):
+        held = np.zeros(1 << bits, dtype=np.uint8)
+        for batch in batches:
+            at, times = np.unique(slots_of(batch), return_counts=True)
+            held[at] = np.minimum(held[at] + times, 255)
+        for k, block in enumerate(held.reshape(-1, _BLOCK)):
+            if block.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(block.tobytes(), 1)]})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, held in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                sums[k] = np.minimum(sums.get(k, 0) + np.frombuffer(zlib.decompress(held), dtype=np.uint8).astype(np.int64), 255)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
+
+    schema = "block int, held binary"
+    out = np.zeros((1 << bits) // _BLOCK * _BLOCK, dtype=np.uint8).reshape(-1, _BLOCK)
+    for k, held in rows.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[k] = np.frombuffer(zlib.decompress(held), dtype=np.uint8)
+    return out.reshape(-1)

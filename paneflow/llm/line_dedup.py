@@ -13,12 +13,15 @@ union of the windows inside it, whatever stands around it and however it is laid
 out. A window that overlaps the first one of its kind in the same text (a run of
 one line) is no repeat of it. Windows neither begin nor end with an empty line.
 
-Pieces are found by their 64-bit hash first, so only rows of numbers are shuffled;
-of those whose hash occurs again the bytes of chunks and the SHA-256 digests of
-windows, which overlap, are then compared as group keys.
+A first pass only counts the 64-bit hashes of all pieces in a fixed number of slots.
+A second one hands on the pieces whose slot occurs again, the bytes of chunks and the
+SHA-256 digests of windows, which overlap; these are compared as group keys, whole. The
+texts themselves are shuffled once, to meet the places that are removed.
 
 Null texts stay null and empty texts empty, both without chunks. Repeated rows are
-alike, so both keep a first chunk; a null id comes first. An empty table gives none.
+alike, so both keep a first chunk; a null id comes first. Ties of a place are the same
+place. Very long texts are cut into lines one at a time. Only the id and the text are
+read, so the names of other columns clash with nothing. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, session_conf, text_chunks
+from paneflow.llm.common import Workspace, session_conf, slot_counts, text_chunks
 from paneflow.llm.wordhash import SPACE, buffers, mix, runs, span_hash
 
 SPAN, MEAN, LONG = 2, 3, 20
 #: Words of a passage that is found however its lines are laid out.
 PASSAGE = 50
+#: Slots (2**SLOT_BITS bytes, broadcast) in which the hashes of pieces are counted.
+SLOT_BITS = 24
 _WINDOW = np.uint64(0xA0761D6478BD642F)
 
 
@@ -124,20 +129,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
-def _find(rows: DataFrame, kind: str, passage: int) -> DataFrame:
-    """(doc_id, mark, at, h) of every piece; ``at`` is its place among those of its row."""
-
-    def task(batches):
-        for batch in batches:
-            for first, last, texts in text_chunks(batch, "text"):
-                row, _, _, _, _, h, _, heads = pieces(texts, passage)
-                at = np.arange(len(row)) - heads[row]
-                part = batch.slice(first, last - first).select(["doc_id", "mark"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(h)], names=["doc_id", "mark", "at", "h"])
-
-    return rows.mapInArrow(task, f"doc_id {kind}, mark long, at int, h long")
-
-
 def _with_pieces(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     """``rows`` with ``ats``, the places of their pieces in the written ``listed`` (doc_id, mark, at)."""
     grouped = listed.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("at")).alias("ats"))
@@ -154,41 +145,48 @@ def _listed(part: pa.RecordBatch, heads: np.ndarray) -> np.ndarray:
     return np.repeat(heads, n) + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pull(rows: DataFrame, kind: str, passage: int) -> DataFrame:
-    """The listed pieces: (doc_id, mark, at, line, size, h, bytes); the bytes of a window are its digest."""
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _pull(rows: DataFrame, kind: str, passage: int, sieve) -> DataFrame:
+    """The pieces in slots that occur again: (doc_id, mark, at, line, size, h, digest, bytes); a window has a digest only."""
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                part = batch.slice(first, last - first)
                 row, line, size, a, b, h, window, heads = pieces(texts, passage)
-                at = _listed(part, heads)
-                row = row[at]
+                some = np.flatnonzero(sieve.value[_slots(h)])
+                row = row[some]
                 data, offs = buffers(texts)
-                cut = [data[x:y].tobytes() for x, y in zip(offs[row] + a[at], offs[row] + b[at], strict=True)]
-                cut = [hashlib.sha256(x).digest() if w else x for x, w in zip(cut, window[at], strict=True)]
-                keys = part.select(["doc_id", "mark"]).take(pa.array(row, pa.int64()))
-                numbers = [pa.array(x, pa.int32()) for x in (at - heads[row], line[at], size[at])]
-                yield pa.RecordBatch.from_arrays([*keys.columns, *numbers, pa.array(h[at], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "mark", "at", "line", "size", "h", "bytes"])
+                cut = [data[x:y].tobytes() for x, y in zip(offs[row] + a[some], offs[row] + b[some], strict=True)]
+                digests = [hashlib.sha256(x).digest() for x in cut]
+                cut = [b"" if w else x for x, w in zip(cut, window[some], strict=True)]
+                keys = batch.slice(first, last - first).select(["doc_id", "mark"]).take(pa.array(row, pa.int64()))
+                numbers = [pa.array(x, pa.int32()) for x in (some - heads[row], line[some], size[some])]
+                yield pa.RecordBatch.from_arrays([*keys.columns, *numbers, pa.array(h[some], pa.int64()), pa.array(digests, pa.binary()), pa.array(cut, pa.binary())], names=["doc_id", "mark", "at", "line", "size", "h", "digest", "bytes"])
 
-    return rows.mapInArrow(task, f"doc_id {kind}, mark long, at int, line int, size int, h long, bytes binary")
+    return rows.mapInArrow(task, f"doc_id {kind}, mark long, at int, line int, size int, h long, digest binary, bytes binary")
 
 
 def repeats(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
     """The written (doc_id, mark, at): the pieces to remove; mark is xxhash64 of the text."""
     rows, kind = _keyed(docs, id_col, text_col), dict(docs.dtypes)[id_col]
-    found = space.table(_find(rows, kind, passage), "found")
-    often = space.table(found.groupBy("h").count().where("count > 1").select("h"), "often")
-    again = found.join(often.hint("merge"), "h")
-    again = space.table(again.select("doc_id", "mark", "at"), "again")
-    pulled = space.table(_pull(_with_pieces(rows, again, "inner"), kind, passage), "pulled")
+
+    def slots(batch):
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(pieces(texts, passage)[5]) for _, _, texts in text_chunks(batch, "text"))])
+
+    sieve = docs.sparkSession.sparkContext.broadcast(slot_counts(rows.select("text"), slots, SLOT_BITS) > 1)
+    pulled = space.table(_pull(rows, kind, passage, sieve), "pulled")
     place = F.struct("doc_id", "mark", "line")
-    equal = pulled.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # partial aggregates, so a chunk that stands everywhere is no hot group; equal digests are equal bytes from here on
+    equal = pulled.groupBy("h", "digest", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    equal = space.table(equal.select("h", "digest", "first"), "equal")
     # what overlaps the first place is no repeat of it
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    removed = pulled.join(equal, ["h", "bytes"]).where(~own | (F.col("line") >= F.col("first.line") + F.col("size")))
+    removed = pulled.drop("bytes").join(equal.hint("merge"), ["h", "digest"]).where(~own | (F.col("line") >= F.col("first.line") + F.col("size")))
     out = space.table(removed.select("doc_id", "mark", "at").distinct(), "removed")
-    for name in ("found", "often", "again", "pulled"):
+    for name in ("pulled", "equal"):
         space.drop(name)
     return out
 

@@ -35,7 +35,6 @@ carries a row as one struct. An empty table gives nothing.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from functools import cache
 from math import lgamma
 
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, as_struct, join_checked, session_conf, text_chunks
+from paneflow.llm.common import Workspace, as_struct, join_checked, session_conf, slot_counts, text_chunks
 from paneflow.llm.components import components
 from paneflow.llm.wordhash import combine, mix, words
 
@@ -56,7 +55,6 @@ MISS = 1e-6
 BATCH = 20
 #: Counters of shingles (2**SLOT_BITS bytes, broadcast), and the width of size classes, for step 5.
 SLOT_BITS, SIZE_STEP = 22, 1.05
-_BLOCK = 1 << 14
 SIGNED = "doc_id {id}, mark long, n_shingles long, k binary, sketch binary, bands array<long>"
 
 
@@ -207,34 +205,6 @@ def _slots(sets: list[np.ndarray]) -> np.ndarray:
     return (np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _slot_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """How many of the written ``texts`` have a shingle in each of 2**SLOT_BITS slots, up to 255: a fixed number of bytes."""
-
-    def count(batches):
-        held = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-        for batch in batches:
-            for _, _, part in text_chunks(batch, "text"):
-                at, times = np.unique(_slots(row_sets(part, n)), return_counts=True)
-                held[at] = np.minimum(held[at] + times, 255)
-        for k, block in enumerate(held.reshape(-1, _BLOCK)):
-            if block.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(block.tobytes(), 1)]})
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, held in zip(batch.column("block").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                sums[k] = np.minimum(sums.get(k, 0) + np.frombuffer(zlib.decompress(held), dtype=np.uint8).astype(np.int64), 255)
-        for k, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
-
-    schema = "block int, held binary"
-    out = np.zeros((1 << SLOT_BITS) // _BLOCK * _BLOCK, dtype=np.uint8).reshape(-1, _BLOCK)
-    for k, held in texts.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
-        out[k] = np.frombuffer(zlib.decompress(held), dtype=np.uint8)
-    return out.reshape(-1)
-
-
 def prefix_keys(grams: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, side) of the shingles by which a set of ``grams`` can meet others.
 
@@ -262,7 +232,8 @@ def prefix_keys(grams: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
 
 def _across(texts: DataFrame, known: DataFrame, space: Workspace, percent: int, n: int) -> DataFrame:
     """Pairs (a, b) of the classes in the written ``texts`` (c, text) that step 5 lets through; ``known`` has (c, comp)."""
-    counts = space.spark.sparkContext.broadcast(_slot_counts(texts, n))
+    slots = lambda batch: np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(row_sets(part, n)) for _, _, part in text_chunks(batch, "text"))])
+    counts = space.spark.sparkContext.broadcast(slot_counts(texts.select("text"), slots, SLOT_BITS))
 
     def task(batches):
         for batch in batches:
