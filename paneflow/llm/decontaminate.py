@@ -10,9 +10,14 @@ their windows are looked up in both forms, and two of them match as the same
 literal, or as names if the item's one stands for one value throughout. A run of
 numbers, units or names is one slot of the template, so its length is free.
 
-The benchmark's windows are a hash index that is broadcast, in blocks of
-BLOCK_TOKENS tokens at most, so its size is bounded whatever the benchmark's;
-each block is one pass over the documents.
+Documents and items meet by a hash join of windows. An item is dealt by its rarest
+windows only, enough of them that no pair to report can miss all: of n windows of
+which half must match, any n / 2 + 1 contain one (template windows: a quarter, as
+openers may match in two forms); and in every stretch of RUN tokens one more, for
+verbatim runs. So windows that many items share, such as common phrases, are dealt
+by few. A sieve of fixed size holds back windows of the documents that no item is
+dealt by. Each document that has candidates is joined to their texts, and both are
+compared in full.
 
 A pair is reported if in the plain view the document holds at least SHARE of the
 item's distinct windows or a verbatim run of RUN tokens of it, or in the template view along one alignment, or several
@@ -21,7 +26,9 @@ of them and the slots agree there: each slot value of the item stands for
 one value of the document wherever it occurs (a re-parameterised question).
 
 Items of under WINDOW tokens are one whole plain window. Null texts, empty texts and
-items without a token match nothing; repeated rows are each reported.
+items without a token match nothing; repeated rows are each reported; items of equal
+text too. Very long texts are compared whole, one at a time. Extra columns may have
+any names: ``clean`` carries a row as one struct. Empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -33,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import text_chunks
+from paneflow.llm.common import Workspace, as_struct, join_checked, slot_counts, text_chunks
 from paneflow.llm.wordhash import LOWER, buffers, combine, mix, runs, span_hash
 
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
 DRIFT, RUN = 8, 13
-BLOCK_TOKENS = 1_000_000
+#: Slots (2**SIEVE_BITS bytes, broadcast) of the windows by which items are dealt.
+SIEVE_BITS = 24
+_PLAIN, _TEMPLATE, _SHORT = (mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
+FOUND = ("item_id", "plain_share", "template_share", "slots", "changed_slots")
 # Words that count as numbers, and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces oz ton tons ml l liter liters litre litres gallon gallons second seconds sec s minute minutes min hour hours hr day days week weeks month months year years cent cents dollar dollars usd euro euros eur yen percent degree degrees celsius fahrenheit mph kmh hz khz mhz ghz kb mb gb tb watt watts kw volt volts".split()
@@ -171,7 +181,7 @@ def _windows(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, view: int) ->
 
 
 class Index:
-    """Windows of one block of the benchmark, by hash, in both views."""
+    """Windows of some items, by hash, in both views: compares texts with them in full."""
 
     def __init__(self, item_ids: list, texts: list):
         self.items = item_ids
@@ -303,48 +313,158 @@ class Index:
         return float(share), int(slot.sum()), int((pairs[0] != pairs[1]).sum())
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
-    """Indexes over the benchmark, one of bounded size after the other."""
-    held = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    n = -(-int(held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // (4 * BLOCK_TOKENS))
-    for k in range(n):
-        rows = held.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
-        if rows:
-            yield Index([r.item for r in rows], [r.text for r in rows])
+def _plain(h: np.ndarray, bounds: np.ndarray, shorts: range) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first token) of the plain windows inside rows, and of the runs of fewer tokens of the lengths ``shorts``."""
+    keys, places = [], []
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for k in (WINDOW, *shorts):
+        at = np.flatnonzero(row[: max(0, len(h) - k + 1)] == row[k - 1 :])
+        keys.append(mix(combine(h, k)[at] ^ (_PLAIN if k == WINDOW else _SHORT ^ np.uint64(k))))
+        places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
+
 
+def _template(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first token) of the template windows: openers as literals, then as names.
+
+    ``whole`` wants the places alone at which no reading has too many slots, in both forms.
+    """
+    if len(h) < WINDOW:
+        return h[:0], np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    good = row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :]
+    few = _held(kind > 0) <= WINDOW - LITERALS
+    keys, places = [], []
+    for slot, some in (((kind > 0) & (kind < 4), good & few if whole else good & (_held((kind > 0) & (kind < 4)) <= WINDOW - LITERALS)), (kind > 0, good & few & (_held(kind == 4) > 0))):
+        at = np.flatnonzero(some)
+        keys.append(mix(combine(np.where(slot, _SLOT[kind], h), WINDOW)[at] ^ _TEMPLATE))
+        places.append(at)
+    return np.concatenate(keys), np.concatenate(places)
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """The slots of keys among ``size`` of them, a power of 2."""
+    return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def item_keys(text: str, counts: np.ndarray | None) -> np.ndarray:
+    """The keys of an item; with ``counts`` of the slots of all items' keys, those by which it is dealt."""
+    h, kind, bounds = canonical(pa.array([text], pa.large_string()))
+    if len(h) < WINDOW:
+        return _plain(h, bounds, range(len(h), len(h) + 1))[0] if len(h) else h
+    plain, _ = _plain(h, bounds, range(0))
+    form, place = _template(*collapse(h, kind, bounds), True)
+    if counts is None:
+        return np.concatenate([plain, form])
+    dealt = []
+    # plain: of the distinct windows all but half, and the rarest in each run of RUN tokens
+    rank = np.lexsort((plain, counts[_slots(plain, len(counts))]))
+    distinct = plain[rank][np.append(True, plain[rank][1:] != plain[rank][:-1])]
+    dealt.append(distinct[: len(distinct) - int(np.ceil(SHARE * len(distinct))) + 1])
+    order = np.empty(len(plain), dtype=np.int64)
+    order[rank] = np.arange(len(plain))
+    span = RUN - WINDOW + 1
+    if len(order) > span:
+        dealt.append(plain[rank[np.lib.stride_tricks.sliding_window_view(order, span).min(axis=1)]])
+    # template: of the places that can be keyed, all but as many as a quarter of all places leaves
+    places = max(0, len(collapse(h, kind, bounds)[0]) - WINDOW + 1)
+    some, at = np.unique(place, return_inverse=True)
+    often = np.zeros(len(some), dtype=np.int64)
+    np.maximum.at(often, at, counts[_slots(form, len(counts))].astype(np.int64))
+    need = int(np.ceil(SHARE / 2 * places)) - (places - len(some))
+    chosen = np.lexsort((some, often))[: len(some) - max(0, need - 1)]
+    dealt.append(form[np.isin(at, chosen)])
+    return np.unique(np.concatenate(dealt))
+
+
+def _items(benchmark: DataFrame, space: Workspace, item_col: str, text_col: str) -> DataFrame:
+    """The written (number, item, text) of the items with a text."""
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return space.table(rows.withColumn("number", F.monotonically_increasing_id()), "items")
+
+
+def _dealt(items: DataFrame, space: Workspace) -> DataFrame:
+    """The written (key, number): the windows by which each item is dealt."""
+    size = 1 << SIEVE_BITS
+    counts = slot_counts(items.select("text"), lambda batch: np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(np.unique(item_keys(t, None)), size) for t in batch.column("text").to_pylist())]), SIEVE_BITS)
+    held = space.spark.sparkContext.broadcast(counts)
+
+    def task(batches):
+        for batch in batches:
+            keys = [item_keys(t, held.value) for t in batch.column("text").to_pylist()]
+            numbers = np.repeat(batch.column("number").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)), "number": pa.array(numbers, pa.int64())})
+
+    return space.table(items.select("number", "text").mapInArrow(task, "key long, number long"), "dealt")
+
+
+def candidates(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
+    """The written (doc_id, mark, number): documents of ``docs`` (doc_id, mark, text) and items that share a window by which the item is dealt."""
+    dealt = _dealt(items, space)
+    size = 1 << SIEVE_BITS
+    sieve = slot_counts(dealt, lambda batch: _slots(batch.column("key").to_numpy().view(np.uint64), size), SIEVE_BITS) > 0
+    held = space.spark.sparkContext.broadcast(sieve)
+
+    def task(batches):
+        for batch in batches:
+            for first, last, texts in text_chunks(batch, "text"):
+                h, kind, bounds = canonical(texts)
+                short = collapse(h, kind, bounds)
+                found = []
+                for keys, at, ends in ((*_plain(h, bounds, range(1, WINDOW)), bounds), (*_template(*short, False), short[2])):
+                    some = np.flatnonzero(held.value[_slots(keys, size)])
+                    found.append(np.stack([np.searchsorted(ends, at[some], "right").astype(np.uint64) - np.uint64(1), keys[some]]))
+                row, keys = np.unique(np.concatenate(found, axis=1), axis=1)
+                part = batch.slice(first, last - first).select(["doc_id", "mark"]).take(pa.array(row.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.astype(np.int64))], names=["doc_id", "mark", "key"])
+
+    met = space.table(docs.mapInArrow(task, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, key long"), "met")
+    return space.table(join_checked(met, dealt, "key").select("doc_id", "mark", "number").distinct(), "candidates")
+
+
+def _same_row(left: DataFrame, right: DataFrame):
+    return left["doc_id"].eqNullSafe(right["doc_id2"]) & (left["mark"] == right["mark2"])
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """The reported pairs of ``docs`` (doc_id, mark, text), with ``mark``."""
+    space = Workspace(docs.sparkSession, "decontaminate")
+    items = _items(benchmark, space, item_col, item_text)
+    pairs = candidates(docs, items, space)
+    asked = join_checked(pairs, items, "number").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("number", "item", F.col("text").alias("item_text"))).alias("items"))
+    asked = space.table(asked.withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"}), "asked")
+    rows = join_checked(docs, asked, _same_row(docs, asked)).select("doc_id", "mark", "text", "items")
+    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
+
+    def task(batches):
+        for batch in batches:
+            for first, last, texts in text_chunks(batch, "text"):
+                part = batch.slice(first, last - first)
+                wanted = part.column("items").to_pylist()
+                every = {x["number"]: (x["item"], x["item_text"]) for listed in wanted for x in listed}
+                index = Index(list(every), [t for _, t in every.values()])
+                mine = [{x["number"] for x in listed} for listed in wanted]
+                if found := [(r, index.items[i], *x) for r, i, *x in index.find(texts) if index.items[i] in mine[r]]:
+                    row, number, *rest = map(list, zip(*found, strict=True))
+                    ids = part.select(["doc_id", "mark"]).take(pa.array(row))
+                    item = pa.array([every[k][0] for k in number], part.column("items").type.value_type.field("item").type)
+                    yield pa.RecordBatch.from_arrays([*ids.columns, item, pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "mark", *FOUND])
+
+    return rows.mapInArrow(task, f"doc_id {kinds[0]}, mark long, item_id {kinds[1]}, plain_share double, template_share double, slots int, changed_slots int")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *more)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The reported pairs: doc_id, item_id, plain_share, template_share, slots, changed_slots."""
-    spark, out = docs.sparkSession, None
-    fields = f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(benchmark.dtypes)[item_col]}, plain_share double, template_share double, slots int, changed_slots int"
-    for index in blocks(benchmark, item_col):
-        held = spark.sparkContext.broadcast(index)
-
-        def task(batches, held=held):
-            index = held.value
-            for batch in batches:
-                for first, last, texts in text_chunks(batch, "text"):
-                    if found := index.find(texts):
-                        row, item, *rest = map(list, zip(*found, strict=True))
-                        ids = batch.column("doc_id").slice(first, last - first).take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[i] for i in item]), pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "item_id", "plain_share", "template_share", "slots", "changed_slots"])
-
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, fields)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], fields) if out is None else out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    return _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text).drop("mark")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item of the benchmark."""
-    for index in blocks(benchmark, item_col):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def task(batches, held=held):
-            for batch in batches:
-                for first, last, texts in text_chunks(batch, text_col):
-                    keep = np.ones(len(texts), dtype=bool)
-                    keep[[x[0] for x in held.value.find(texts)]] = False
-                    yield batch.slice(first, last - first).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(task, docs.schema)
-    return docs
+    found = _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text).select(F.col("doc_id").alias("doc_id2"), F.col("mark").alias("mark2")).distinct()
+    gone = Workspace(docs.sparkSession, "contaminated").table(found, "rows")
+    rows = _marked(docs, id_col, text_col, as_struct(docs).alias("row")).drop("text")
+    return join_checked(rows, gone, _same_row(rows, gone), "left_anti").select("row.*")

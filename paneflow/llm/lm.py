@@ -59,11 +59,12 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """(block, ids, sizes, vocab, places): the texts of ``rows`` (doc_id, text) as words' places among the block's distinct words."""
+    limit = BLOCK_BYTES
 
     def task(batches):
         n = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text", BLOCK_BYTES):
+            for first, last, texts in text_chunks(batch, "text", limit):
                 h, bounds = words(texts)
                 vocab, places = np.unique(h, return_inverse=True)
                 ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column("doc_id").slice(first, last - first))

@@ -1,6 +1,9 @@
+import random
 import re
 
+import pyarrow as pa
 from paneflow.llm import decontaminate
+from pyspark.sql import functions as F
 
 ITEM = "A farmer named Albert sells 12 apples for 3 dollars at the old market while his neighbour Berta buys 7 pears"
 OTHER = "A farmer named Conrad sells 45 apples for 9 dollars at the old market while his neighbour Dora buys 8 pears"
@@ -31,12 +34,12 @@ def test_inconsistent_slots_are_no_match(spark):
     assert template.get(0, 0) > 0.8 and not template.get(1, 0)
 
 
-def test_empty_tables_and_blocks(spark, monkeypatch):
+def test_empty_tables_and_a_full_sieve(spark, monkeypatch):
     docs, items = tables(spark, [ITEM, "x"], [(1, ITEM), (1, ITEM), (2, None), (3, "too short"), (None, OTHER)])
     assert decontaminate.find(docs.limit(0), items).collect() == []
     assert decontaminate.find(docs, items.limit(0)).collect() == []
     whole = sorted(map(tuple, decontaminate.find(docs, items).collect()), key=str)
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", 14)
     assert sorted(map(tuple, decontaminate.find(docs, items).collect()), key=str) == whole
 
 
@@ -77,3 +80,53 @@ def test_verbatim_runs_and_short_items(spark):
     found = {(r.doc_id, r.item_id): r.plain_share for r in decontaminate.find(docs, items).collect()}
     assert sorted(found) == [(0, 1), (2, 2), (2, 5), (4, 3)] and 0 < found[0, 1] < 0.5 and found[2, 2] == 1.0
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 3, 5]
+
+
+def test_the_join_loses_no_pair(spark):
+    """Each text compared in full with every item, against the join of rare windows."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, held = docs.select("doc_id", "text").collect(), items.collect()
+    texts = pa.array([r.text or "" for r in rows], pa.large_string())
+    every = decontaminate.Index([r.item_id for r in held], [r.text for r in held])
+    want = {(rows[r].doc_id, every.items[i]): tuple(x) for r, i, *x in every.find(texts)}
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.find(docs, items).collect()}
+    assert want and got == want
+
+
+WORDS = "river garden window candle pocket winter market bridge forest letter island mirror basket silver button ladder wagon pillow carpet kettle lantern meadow orchard saddle barrel anchor feather harbour village shadow".split()
+NAMES = "Albert Berta Conrad Dora Emil Frieda Gustav Helene Ingo Johanna Karl Lotte".split()
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Items made of a template with names and numbers; each document holds one with other values, or the words of one in another order."""
+    rng = random.Random(3)
+
+    def item():
+        parts, slots = [], 0
+        for _ in range(rng.randrange(4, 9)):
+            parts += rng.sample(WORDS, rng.randrange(3, 6)) + [f"<{'name' if rng.random() < 0.5 else 'number'}{rng.randrange(3)}>"]
+        return "once " + " ".join(parts) + " then how many are left"
+
+    def fill(template):
+        values = {f"<name{i}>": n for i, n in enumerate(rng.sample(NAMES, 3))} | {f"<number{i}>": str(n) for i, n in enumerate(rng.sample(range(2, 900), 3))}
+        for slot, value in values.items():
+            template = template.replace(slot, value)
+        return template
+
+    templates = [item() for _ in range(120)]
+    items = [(i, fill(t)) for i, t in enumerate(templates)]
+    noise = lambda: " ".join(rng.choices(WORDS, k=60))
+    texts = [f"{noise()} {fill(t)} {noise()}" for t in templates]
+    mixed = [" ".join(rng.sample(fill(t).split(), len(t.split()))) for t in templates]
+    docs, held = tables(spark, texts + mixed, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, held).collect()}
+    assert len({(i, i) for i in range(120)} & got) >= 0.9 * 120
+    assert all(d < 120 and d == i for d, i in got)
+
+
+def test_internal_names_as_extra_columns(spark):
+    names = ["mark", "row", "item", "number", "items", "doc_id2", "mark2", "key", "a.b"]
+    docs = spark.createDataFrame([(1, ITEM), (2, "clean"), (2, "clean"), (None, None)], "doc_id long, text string").select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    held = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
+    kept = decontaminate.clean(docs, held)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "clean", *names)] * 2 + [(None, None, *names)], key=str)
