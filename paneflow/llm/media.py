@@ -11,7 +11,9 @@ features.
 
 A null payload is an empty one, stored as one row of zeros. References whose
 digest is not in the store stay, with null media columns. Null or empty HTML is an
-empty sequence. Repeated rows and ids are each answered; an empty table gives
+empty sequence. Repeated rows and ids are each answered; equal payloads are one
+medium; an empty table gives nothing. Very long texts are encoded and decoded one at a
+time. Only the id and the text are read, so the names of other columns clash with
 nothing.
 """
 

@@ -12,8 +12,10 @@ that carry the digest and length of the payload but not the payload.
 
 A null payload is empty; a null id is in no order, so it never is referred to
 unless no other id has that payload, when all its rows are responses; repeated
-rows of the smallest id are all responses; a null url is written as empty and
-read as null; an empty table gives no file.
+rows of the smallest id are all responses, as ties are; a null url is written as empty
+and read as null; an empty table gives no file. Records are written, inflated and read
+one at a time, so a very long page is held once. Only id, url and html are read, so the
+names of other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, join_checked
+from paneflow.llm.common import Workspace, join_checked, text_chunks
 
 FILES = "path string, records long"
 READ = "id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
@@ -127,12 +129,13 @@ def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
         name = f"whole-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         out, n, engine = None, 0, zlib.compressobj(6, wbits=31)
         for batch in batches:
-            for row in batch.to_pylist():
+            for first, last, _ in text_chunks(batch, "html"):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                payload = b"" if row["refers_to"] is not None else row["html"].encode()
-                out.write(engine.compress(record(row["id"], row["url"], payload, row["digest"], row["size"], row["refers_to"])))
-                n += 1
+                for row in batch.slice(first, last - first).to_pylist():
+                    payload = b"" if row["refers_to"] is not None else row["html"].encode()
+                    out.write(engine.compress(record(row["id"], row["url"], payload, row["digest"], row["size"], row["refers_to"])))
+                    n += 1
         if out is not None:
             out.write(engine.flush())
             out.close()
@@ -181,15 +184,25 @@ def read_archive(files: DataFrame, payloads: bool = False) -> DataFrame:
                 with fs.open_input_stream(f"{name}.idx") as f:
                     places = [line.split("\t")[:2] for line in f.read().decode().splitlines()]
                 with fs.open_input_file(f"{name}.warc.gz") as archive:
-                    for i in range(0, len(places), 500):
-                        found = [_row(parse(zlib.decompress(archive.read_at(int(n), int(at)), wbits=31))) for at, n in places[i : i + 500]]
-                        kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
-                        yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in found], kinds.get(c, pa.string())) for c in columns})
+                    found, held = [], 0
+                    for at, n in places:
+                        found.append(_row(parse(zlib.decompress(archive.read_at(int(n), int(at)), wbits=31)), payloads))
+                        held += found[-1]["payload_bytes"] if payloads else 0
+                        if len(found) >= 500 or held >= STEP:
+                            yield _batch(found, columns)
+                            found, held = [], 0
+                    if found:
+                        yield _batch(found, columns)
 
     return _each_file(files).mapInArrow(task, schema)
 
 
-def _row(got: dict) -> dict:
+def _batch(found: list[dict], columns: list[str]) -> pa.RecordBatch:
+    kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+    return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in found], kinds.get(c, pa.string())) for c in columns})
+
+
+def _row(got: dict, payloads: bool) -> dict:
     revisit = got["warc-type"] == "revisit"
     # a revisit holds no payload: its length and digest are the fields of the record
     size = int(got["http"]["content-length"]) if revisit else len(got["payload"])
@@ -201,7 +214,7 @@ def _row(got: dict) -> dict:
         "refers_to": _key(got.get("warc-refers-to", "")),
         "payload_bytes": size,
         "payload_digest": digest,
-        "payload": None if revisit else got["payload"],
+        "payload": None if revisit or not payloads else got["payload"],
     }
 
 

@@ -6,10 +6,46 @@ from pyspark.sql import functions as F
 from paneflow.llm import media
 
 
+def png_samples(stored):
+    """(width, height, samples, text fields) of an 8-bit greyscale PNG without filters, read by hand."""
+    assert stored[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, packed, fields, size = 8, b"", {}, None
+    while at < len(stored):
+        n, kind = int.from_bytes(stored[at : at + 4]), stored[at + 4 : at + 8]
+        body = stored[at + 8 : at + 8 + n]
+        assert int.from_bytes(stored[at + 8 + n : at + 12 + n]) == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4]), int.from_bytes(body[4:8])
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        elif kind == b"IDAT":
+            packed += body
+        elif kind == b"tEXt":
+            key, value = body.split(b"\0")
+            fields[key] = value
+        at += 12 + n
+    flat = zlib.decompress(packed)
+    lines = [flat[i : i + size[0] + 1] for i in range(0, len(flat), size[0] + 1)]
+    assert len(lines) == size[1] and all(line[0] == 0 for line in lines)
+    return *size, b"".join(line[1:] for line in lines), fields
+
+
+def plain_feature(samples):
+    from math import log2, sqrt
+
+    n = len(samples)
+    mean = sum(samples) / n
+    share = [samples.count(bytes([v])) / n for v in set(samples)]
+    columns = [sum(samples[c::64]) / (n // 64) > mean for c in range(64)]
+    bits = "".join("01"[b] for b in columns)
+    return mean, sqrt(sum((v - mean) ** 2 for v in samples) / n), -sum(p * log2(p) for p in share), f"{int(bits, 2):016x}"
+
+
 def brute(key, text):
     data = (text or "").encode()
     padded = data + b"\0" * (-len(data) % 64) if data else b"\0" * 64
     stored = media.encode(data)
+    width, height, samples, fields = png_samples(stored)
+    assert width == 64 and samples == padded and fields[b"bytes"] == str(len(data)).encode()
     return key, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest()
 
 
@@ -42,6 +78,16 @@ def test_sequence_keeps_order_and_captions(spark):
     assert [tuple(r) for r in shown] == [(0, None, None), (1, 7, "first one"), (2, None, None), (3, None, "second"), (4, None, None)]
 
 
+def test_features_by_hand(spark):
+    texts = ["a", "text " * 40, "\0\x01" * 64, "é😀" * 33, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.text_media(docs).collect():
+        data = texts[r.doc_id].encode()
+        mean, deviation, entropy, columns = plain_feature(data + b"\0" * (-len(data) % 64 if data else 64))
+        got = r.feature.split(";")
+        assert abs(float(got[0]) - mean) < 2e-6 and abs(float(got[1]) - deviation) < 2e-6 and abs(float(got[2]) - entropy) < 2e-6 and got[3] == columns
+
+
 def test_damage_is_found():
     stored = bytearray(media.encode(b"text"))
     stored[-20] ^= 1
