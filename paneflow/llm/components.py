@@ -1,9 +1,9 @@
 """Connected components of an edge table as joins and aggregates.
 
-Every node carries the smallest key known to be reachable. A round takes the
-smallest label among a node and its neighbours and then follows that label to
-its own label, so long chains halve. Each round is a written table; nothing but
-the count of changes reaches the driver.
+In a round every node points to the smallest of itself and its neighbours, and on to
+where that one points; then the edges are drawn between what their ends point to. An
+edge inside one node disappears, equal edges become one, so the table shrinks from
+round to round. Each round is written; only the count of edges reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,28 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace
+from paneflow.llm.common import Workspace, join_checked
 
 
 def components(edges: DataFrame, space: Workspace, name: str = "components") -> DataFrame:
     """(k, comp) for each node of the written ``edges`` (a, b): comp is the smallest key reachable."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = space.table(both.groupBy(F.col("a").alias("k")).agg(F.least("k", F.min("b")).alias("comp")), f"{name}-0")
-    turn = 0
+    labels, turn, kind = None, 0, dict(edges.dtypes)["a"]
     while True:
+        both = edges.select(F.col("a").alias("k"), "b").unionAll(edges.select(F.col("b").alias("k"), F.col("a").alias("b")))
+        near = space.table(both.groupBy("k").agg(F.least("k", F.min("b")).alias("to")), f"{name}-near{turn}")
+        onward = near.select(F.col("k").alias("to"), F.col("to").alias("end"))
+        ends = space.table(join_checked(near, onward, "to").select("k", "end"), f"{name}-ends{turn}")
+        if labels is None:
+            labels = ends.withColumnRenamed("end", "comp")
+        else:
+            moved = join_checked(labels, ends.select(F.col("k").alias("comp"), "end"), "comp", "left")
+            labels = space.table(moved.select("k", F.coalesce("end", "comp").alias("comp")), f"{name}-labels{turn}")
+        drawn = join_checked(edges.select("a", "b"), ends.select(F.col("k").alias("a"), F.col("end").alias("x")), "a")
+        drawn = join_checked(drawn, ends.select(F.col("k").alias("b"), F.col("end").alias("y")), "b")
+        drawn = drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = space.table(drawn.select(F.col("a").cast(kind), F.col("b").cast(kind)), f"{name}-edges{turn}")
         turn += 1
-        to = labels.select(F.col("k").alias("b"), F.col("comp").alias("near"))
-        # a node's own label, its neighbours' labels, and the label of its label
-        near = both.join(to, "b").select(F.col("a").alias("k"), "near")
-        jump = labels.join(labels.select(F.col("k").alias("comp"), F.col("comp").alias("near")), "comp").select("k", "near")
-        least = near.unionAll(jump).groupBy("k").agg(F.min("near").alias("near"))
-        new = space.table(
-            labels.join(least, "k").select("k", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved")),
-            f"{name}-{turn}",
-        )
-        if turn > 1:
-            space.drop(f"{name}-{turn - 1}")
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("k", "comp")
-        if not moved:
+        if not edges.limit(1).count():
             return labels

@@ -4,7 +4,7 @@
    digest of that set, one band hash per BANDS and one byte per MinHash value.
    Rows with equal sets form a class; from here on only classes are compared.
 2. Classes that share a band are candidates. In each bucket every class is paired
-   with two leaders: one by a hash, another in each band, and the class that meets
+   with two leaders: the first by a hash, and the class that meets
    most others. So a bucket gives twice as many pairs as it has rows at most.
 3. A pair's MinHash bytes are compared in batches. With m of n equal the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is dropped as
@@ -274,10 +274,10 @@ class _Verifier:
         return self.space.table(_sketch_test(pairs, self.shapes, self.percent), f"likely-{name}")
 
     def texts(self, met: DataFrame, name: str) -> DataFrame:
-        """The text of one row of each class in ``met`` (c), written."""
+        """The text of one row of each class in ``met`` (c), written; equal rows are each there, which only repeats pairs."""
         need = self.space.table(met.distinct().join(self.shapes.select("c", "first"), "c"), f"need-{name}")
         rows = self.docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("first"), "text")
-        return self.space.table(join_checked(rows, need, "first").dropDuplicates(["c"]).select("c", "text"), f"texts-{name}")
+        return self.space.table(join_checked(rows, need, "first").select("c", "text"), f"texts-{name}")
 
     def exact(self, likely: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         with session_conf(self.space.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     banded = shapes.select("c", F.explode("bands").alias("v"))
     shared = space.table(banded.groupBy("v").count().where("count > 1").select("v"), "shared")
     members = space.table(join_checked(banded, shared, "v"), "members")
-    turn = F.xxhash64("c", "v")
+    turn = F.xxhash64("c", F.lit(SEED))
     buckets = members.groupBy("v").agg(F.count("*").alias("rows"), F.min(F.struct(turn.alias("turn"), "c")).alias("leader"))
     buckets = space.table(buckets.select("v", "rows", F.col("leader.c").alias("leader")), "buckets")
     led = space.table(join_checked(members, buckets, "v"), "led")
