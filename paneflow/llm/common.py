@@ -19,8 +19,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Batches that Spark hands to the text passes are bounded by its own setting of bytes
-# (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set otherwise) besides rows.
+#: Arrow batches of the text passes: at most so many bytes and rows (see small_batches).
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Text bytes that one numpy pass works on.
@@ -49,6 +49,7 @@ class Workspace:
     """A folder of one run below :func:`shared_dir` with its written tables."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -76,6 +77,20 @@ def as_struct(df: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES and BATCH_ROWS where they are larger, and leave it so.
+
+    What the operators return runs later, under the settings of that time; a batch of
+    64 MB, Spark's default, is held several times by each task and its Python worker.
+    """
+    prefix = "spark.sql.execution.arrow."
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(prefix + "maxBytesPerBatch"))
+    if held not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(prefix + "maxBytesPerBatch", str(BATCH_BYTES))
+    if int(spark.conf.get(prefix + "maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(prefix + "maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 @contextlib.contextmanager
 def session_conf(spark: SparkSession, values: dict[str, str]):
     """Session settings for the actions inside; the old ones come back."""
@@ -118,15 +133,16 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
 def slot_counts(rows: DataFrame, slots_of, bits: int) -> np.ndarray:
     """How often each of 2**``bits`` slots occurs, up to 255: a fixed number of bytes, whatever the rows are.
 
-    ``slots_of`` gives the slots of one Arrow batch, as an array. Tasks count apart and
+    ``slots_of`` gives the slots of one Arrow batch, as arrays one after the other. Tasks count apart and
     send their counts in blocks, which are added up before they reach the driver.
     """
 
     def count(batches):
         held = np.zeros(1 << bits, dtype=np.uint8)
         for batch in batches:
-            at, times = np.unique(slots_of(batch), return_counts=True)
-            held[at] = np.minimum(held[at] + times, 255)
+            for found in slots_of(batch):
+                at, times = np.unique(found, return_counts=True)
+                held[at] = np.minimum(held[at] + times, 255)
         for k, block in enumerate(held.reshape(-1, _BLOCK)):
             if block.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "held": [zlib.compress(block.tobytes(), 1)]})

@@ -46,7 +46,7 @@ from paneflow.llm.wordhash import LOWER, buffers, combine, mix, runs, span_hash
 WINDOW, LITERALS, SHARE = 5, 3, 0.5
 DRIFT, RUN = 8, 13
 #: Slots (2**SIEVE_BITS bytes, broadcast) of the windows by which items are dealt.
-SIEVE_BITS = 24
+SIEVE_BITS = 22
 _PLAIN, _TEMPLATE, _SHORT = (mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
 FOUND = ("item_id", "plain_share", "template_share", "slots", "changed_slots")
 # Words that count as numbers, and units.
@@ -386,7 +386,7 @@ def _items(benchmark: DataFrame, space: Workspace, item_col: str, text_col: str)
 def _dealt(items: DataFrame, space: Workspace) -> DataFrame:
     """The written (key, number): the windows by which each item is dealt."""
     size = 1 << SIEVE_BITS
-    counts = slot_counts(items.select("text"), lambda batch: np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(np.unique(item_keys(t, None)), size) for t in batch.column("text").to_pylist())]), SIEVE_BITS)
+    counts = slot_counts(items.select("text"), lambda batch: (_slots(np.unique(item_keys(t, None)), size) for t in batch.column("text").to_pylist()), SIEVE_BITS)
     held = space.spark.sparkContext.broadcast(counts)
 
     def task(batches):
@@ -402,7 +402,7 @@ def candidates(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame
     """The written (doc_id, mark, number): documents of ``docs`` (doc_id, mark, text) and items that share a window by which the item is dealt."""
     dealt = _dealt(items, space)
     size = 1 << SIEVE_BITS
-    sieve = slot_counts(dealt, lambda batch: _slots(batch.column("key").to_numpy().view(np.uint64), size), SIEVE_BITS) > 0
+    sieve = slot_counts(dealt, lambda batch: [_slots(batch.column("key").to_numpy().view(np.uint64), size)], SIEVE_BITS) > 0
     held = space.spark.sparkContext.broadcast(sieve)
 
     def task(batches):

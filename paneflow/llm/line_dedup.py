@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, session_conf, slot_counts, text_chunks
+from paneflow.llm.common import Workspace, slot_counts, text_chunks
 from paneflow.llm.wordhash import SPACE, buffers, mix, runs, span_hash
 
 SPAN, MEAN, LONG = 2, 3, 20
@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, space: Workspace, id_col: str = "doc_id", text_col:
     rows, kind = _keyed(docs, id_col, text_col), dict(docs.dtypes)[id_col]
 
     def slots(batch):
-        return np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(pieces(texts, passage)[5]) for _, _, texts in text_chunks(batch, "text"))])
+        return (_slots(pieces(texts, passage)[5]) for _, _, texts in text_chunks(batch, "text"))
 
     sieve = docs.sparkSession.sparkContext.broadcast(slot_counts(rows.select("text"), slots, SLOT_BITS) > 1)
     pulled = space.table(_pull(rows, kind, passage, sieve), "pulled")
@@ -226,6 +226,5 @@ def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_co
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
     """:func:`repeats`, then :func:`without`."""
     space = Workspace(docs.sparkSession, "lines")
-    with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        removed = repeats(docs, space, id_col, text_col, passage)
+    removed = repeats(docs, space, id_col, text_col, passage)
     return without(docs, removed, id_col, text_col, passage)

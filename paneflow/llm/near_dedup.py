@@ -232,7 +232,10 @@ def prefix_keys(grams: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np
 
 def _across(texts: DataFrame, known: DataFrame, space: Workspace, percent: int, n: int) -> DataFrame:
     """Pairs (a, b) of the classes in the written ``texts`` (c, text) that step 5 lets through; ``known`` has (c, comp)."""
-    slots = lambda batch: np.concatenate([np.zeros(0, dtype=np.int64), *(_slots(row_sets(part, n)) for _, _, part in text_chunks(batch, "text"))])
+
+    def slots(batch):
+        return (_slots(row_sets(part, n)) for _, _, part in text_chunks(batch, "text"))
+
     counts = space.spark.sparkContext.broadcast(slot_counts(texts.select("text"), slots, SLOT_BITS))
 
     def task(batches):
@@ -280,7 +283,7 @@ class _Verifier:
         return self.space.table(join_checked(rows, need, "first").select("c", "text"), f"texts-{name}")
 
     def exact(self, likely: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        with session_conf(self.space.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
+        with session_conf(self.space.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}):
             return self.space.table(_exact_test(likely, texts, self.percent, self.n), f"edges-{name}")
 
 
@@ -288,8 +291,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """Per row: doc_id, n_shingles, component_id, kept, mark (xxhash64 of the text)."""
     space = Workspace(docs.sparkSession, "near")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
-        signed = space.table(sign(docs, n), "signed")
+    signed = space.table(sign(docs, n), "signed")
     # equal sets: partial aggregates, so a class of any size is cheap
     some = signed.where(F.col("n_shingles") > 0).withColumn("first", F.struct("doc_id", "mark"))
     classes = some.groupBy("k").agg(F.min("first").alias("first"), F.min("doc_id").alias("low"))

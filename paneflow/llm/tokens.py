@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from paneflow.llm.common import Workspace, text_chunks
 
 #: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
-MEMO_BYTES = 56 << 20
+MEMO_BYTES = 40 << 20
 #: Characters of the longest piece that is remembered, and of the text that is cut into pieces at a time.
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.

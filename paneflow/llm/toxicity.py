@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, text_chunks
+from paneflow.llm.common import Workspace, small_batches, text_chunks
 from paneflow.llm.wordhash import mix, row_of, words
 
 BITS = 20
@@ -179,6 +179,7 @@ def score_rows(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str | None = "score", keep_text: bool = True, below: float | None = None) -> DataFrame:
     """``docs`` with ``score_col`` (replaced if there; none if None); with ``below``, only rows that score less."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != score_col and (keep_text or c != text_col)]
 
