@@ -74,20 +74,24 @@ def expected_calibration_error(rows: DataFrame, bins: int = 10, *group: str) ->
 def topk_gain(rows: DataFrame, percents: tuple[int, ...], key: str) -> DataFrame:
     """percent, k, gain, lift: share of all positives among the best-scored percent, ties by key.
 
-    Ranks come from counts of better scores plus a rank among equal ones, so no
-    window spans all rows.
+    Sums by score tell at which score each percent is full, and how many rows of that
+    score still belong to it; the key of the last one is an order statistic of those
+    rows, so neither all rows nor those of one score are ranked in one task.
     """
-    n = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    better = by_score(rows).withColumn("before", F.coalesce(F.sum(F.col("n1") + F.col("n0")).over(n), F.lit(0))).select("p", "before")
-    among = F.row_number().over(Window.partitionBy("p").orderBy(key))
-    ranked = rows.where("p is not null").withColumn("p", F.round("p", SCORE_DIGITS)).withColumn("among", among).join(F.broadcast(better), "p")
-    place = F.col("before") + F.col("among")
-    known = rows.where("p is not null")
-    n, positives = known.agg(F.count("*")).scalar(), known.agg(F.sum("y")).scalar()
-    sizes = [F.greatest(F.lit(1), F.floor(n * F.lit(q) / 100)).cast("long") for q in percents]
-    found = ranked.select("y", place.alias("place")).agg(*(F.coalesce(F.sum(F.when(F.col("place") <= k, F.col("y"))), F.lit(0)).alias(f"h{q}") for q, k in zip(percents, sizes, strict=True)))
-    items = F.array(*(F.struct(F.lit(q).alias("percent"), k.alias("k"), F.col(f"h{q}").alias("hits"), positives.alias("positives")) for q, k in zip(percents, sizes, strict=True)))
-    hits = found.select(F.explode(items).alias("x")).select("x.*")
+    from paneflow.operators.quantiles import at_ranks
+
+    scores = by_score(rows)
+    order = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct score
+    upto = scores.withColumns({"upto": F.sum(F.col("n1") + F.col("n0")).over(order), "hits": F.sum("n1").over(order)})
+    n, positives = scores.agg(F.sum(F.col("n1") + F.col("n0"))).scalar(), scores.agg(F.sum("n1")).scalar()
+    each = upto.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("k", F.greatest(F.lit(1), F.floor(n * F.col("percent") / 100)).cast("long"))
+    size = F.col("n1") + F.col("n0")
+    cuts = each.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - size)).select("percent", "k", "p", (F.col("hits") - F.col("n1")).alias("above"), (F.col("k") - F.col("upto") + size - 1).alias("rank"))
+    tied = rows.where("p is not null").select(F.round("p", SCORE_DIGITS).alias("p"), F.col(key).alias("x"), "y").join(F.broadcast(cuts.select("p").distinct()), "p")
+    last = at_ranks(tied.groupBy("p", "x").agg(F.count("*").alias("n")), ["p"], cuts.select("p", F.col("percent").alias("name"), "rank"))
+    last = cuts.join(last.select(F.col("name").alias("percent"), F.col("x").alias("last")), "percent")
+    inside = tied.join(F.broadcast(last.select("percent", "p", "last")), "p").where(F.col("x") <= F.col("last")).groupBy("percent").agg(F.sum("y").alias("among"))
+    hits = last.join(inside, "percent").select("percent", "k", (F.col("above") + F.col("among")).alias("hits"), positives.alias("positives"))
     gain = F.try_divide(F.col("hits").cast("double"), F.col("positives").cast("double"))
     return hits.select("percent", "k", gain.alias("gain"), (gain / (F.col("percent") / 100.0)).alias("lift"))
 

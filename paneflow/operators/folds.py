@@ -55,8 +55,13 @@ def lloyd_blocks(points: DataFrame, seeds: list[tuple[float, float]], rounds: in
 
 
 def holdout(rows: DataFrame, block: str, key: str, share: float = 0.18, seed: int = 11) -> DataFrame:
-    """``rows`` with ``held``: about ``share`` of each block, by a hash of the key alone."""
-    return rows.withColumn("held", bucket_hash(F.col(key), seed) < F.lit(int(share * 1_000_003)))
+    """``rows`` with ``held``: ``share`` of each block, the first keys by hash; at least one row of a block stays out.
+
+    Blocks are small groups of neighbouring entities, so a block is ordered in one task.
+    """
+    order = Window.partitionBy(block).orderBy(bucket_hash(F.col(key), seed), key)
+    least = F.round(F.lit(share) * F.count("*").over(Window.partitionBy(block)))
+    return rows.withColumn("held", F.row_number().over(order) <= least)
 
 
 def closest_block(rows: DataFrame, block: str, share: float = 0.18) -> DataFrame:

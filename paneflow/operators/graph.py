@@ -7,7 +7,7 @@ k; no pair beyond neighbouring cells is formed.
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import cos, floor, radians
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +17,24 @@ from paneflow.functions.expressions import bucket_hash, gaussian_decay, haversin
 KM_PER_DEGREE = 111.19
 
 
-def near_pairs(points: DataFrame, cap_km: float, top_lat: float = 60.0, same: str | None = None) -> DataFrame:
-    """src, dst, dist_km of all ordered pairs within ``cap_km`` (of equal ``same``, never null); points up to ``top_lat``."""
-    dlat, dlon = cap_km / KM_PER_DEGREE * 1.001, cap_km / (KM_PER_DEGREE * cos(radians(top_lat))) * 1.001
+def near_pairs(points: DataFrame, cap_km: float, same: str | None = None) -> DataFrame:
+    """src, dst, dist_km of all ordered pairs within ``cap_km`` (of equal ``same``, never null).
+
+    Cells are as wide as the cap is at the highest latitude there, and meet across the
+    180th meridian. Points beyond 85 degrees are refused: there the cells would be the whole circle.
+    """
+    top_lat = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    if top_lat > 85:
+        raise ValueError(f"neighbours are not searched beyond 85 degrees of latitude: {top_lat}")
+    dlat = cap_km / KM_PER_DEGREE * 1.001
+    around_lat = max(1, floor(360 / (cap_km / (KM_PER_DEGREE * cos(radians(min(89.0, top_lat + dlat)))) * 1.001)))
+    dlon = 360 / around_lat  # a whole number of cells goes around
     extra = [same] if same else []
-    rows = points.select("entity", "lat", "lon", *extra, F.floor(F.col("lat") / dlat).alias("gy"), F.floor(F.col("lon") / dlon).alias("gx"))
+    rows = points.select("entity", "lat", "lon", *extra, F.floor(F.col("lat") / dlat).alias("gy"), F.pmod(F.floor(F.col("lon") / dlon), F.lit(around_lat)).alias("gx"))
     rows = rows.where(F.col(same).isNotNull()) if same else rows
-    around = F.array(*(F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = rows.withColumn("step", F.explode(around)).select(F.col("entity").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *extra, (F.col("gy") + F.col("step.dy")).alias("gy"), (F.col("gx") + F.col("step.dx")).alias("gx"))
+    # with under three cells around, a step must not reach the same cell twice
+    around = F.array(*(F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (range(around_lat) if around_lat < 3 else (-1, 0, 1))))
+    left = rows.withColumn("step", F.explode(around)).select(F.col("entity").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *extra, (F.col("gy") + F.col("step.dy")).alias("gy"), F.pmod(F.col("gx") + F.col("step.dx"), F.lit(around_lat)).alias("gx"))
     right = rows.select(F.col("entity").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *extra, "gy", "gx")
     pairs = left.join(right, ["gy", "gx", *extra]).where(F.col("src") != F.col("dst"))
     return pairs.select("src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("dist_km")).where(F.col("dist_km") <= cap_km)
@@ -117,3 +127,24 @@ def contamination(nearest: DataFrame, blocks: DataFrame, distances: tuple[float,
 def bipartite(cells: DataFrame) -> DataFrame:
     """entity, analyte, n, y: an edge per measured entity and analyte with its majority flag."""
     return cells.groupBy("entity", "analyte").agg(F.count("y").alias("n"), (2 * F.sum("y") >= F.count("y")).cast("int").alias("y"))
+
+
+RELATIONS = ("near", "same_group")
+
+
+def build(points: DataFrame, blocks: DataFrame, relation: str, k: int, cap_km: float, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges both ways inside blocks, audit) of one relation; an unknown one is refused.
+
+    The audit is one row: relation, nodes, undirected, removed, kept, crossing. The last is
+    counted again on what is kept and must be 0.
+    """
+    if relation not in RELATIONS:
+        raise ValueError(f"unknown relation {relation}: one of {', '.join(RELATIONS)}")
+    if (relation == "same_group") != (group is not None):
+        raise ValueError("a group column goes with the relation same_group alone")
+    every = undirected(knn(points, k, cap_km, **({"same": group} if group else {})))
+    kept = cut(every, blocks)
+    ends = with_ends(every, blocks, "block").agg(F.count("*").alias("undirected"), F.count_if(F.col("block_src") != F.col("block_dst")).alias("removed"))
+    again = with_ends(symmetrised(kept), blocks, "block").agg(F.count_if(F.col("block_src") != F.col("block_dst")).alias("crossing"))
+    audit = points.agg(F.count("*").alias("nodes")).crossJoin(ends).crossJoin(again)  # one row each
+    return symmetrised(kept), audit.select(F.lit(relation).alias("relation"), "nodes", "undirected", "removed", (F.col("undirected") - F.col("removed")).alias("kept"), "crossing")

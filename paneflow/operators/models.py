@@ -6,13 +6,20 @@ Spark. Scores of a single-class training slice are its constant.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+import random
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paneflow.functions.expressions import entropy
+from paneflow.operators import evaluate
+from paneflow.operators.features import permuted
+
 
 def _constant(train: DataFrame, label: str) -> float | None:
     """The score of a slice that cannot be fitted, else None."""
@@ -20,21 +27,29 @@ def _constant(train: DataFrame, label: str) -> float | None:
     return None if n and 0 < s < n else (float(s or 0) / n if n else 0.5)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, weight: str | None = None) -> DataFrame:
-    """``test`` with ``p``: a logistic regression on the rows of ``train``."""
+#: Estimators by name: a function of (label, parameters).
+ESTIMATORS = {
+    "lr": lambda label, **given: LogisticRegression(featuresCol="_x", labelCol=label, **({"maxIter": 20, "regParam": 0.01} | given)),
+    "forest": lambda label, **given: RandomForestClassifier(featuresCol="_x", labelCol=label, seed=42, **({"numTrees": 20, "maxDepth": 5} | given)),
+    "boosted": lambda label, **given: GBTClassifier(featuresCol="_x", labelCol=label, seed=42, **({"maxIter": 8, "maxDepth": 3} | given)),
+}
+
+
+def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, weight: str | None = None, kind: str = "lr", **given) -> DataFrame:
+    """``test`` with ``p``: an estimator fitted on the rows of ``train``."""
     if (p := _constant(train, label)) is not None:
         return test.withColumn("p", F.lit(p))
     assemble = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error")
-    model = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=20, regParam=0.01, **({"weightCol": weight} if weight else {})).fit(assemble.transform(train))
+    model = ESTIMATORS[kind](label, **given, **({"weightCol": weight} if weight else {})).fit(assemble.transform(train))
     scored = model.transform(assemble.transform(test))
     return scored.withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str, k: int, fold: str = "fold") -> DataFrame:
+def out_of_fold(rows: DataFrame, features: list[str], label: str, k: int, fold: str = "fold", **given) -> DataFrame:
     """Every row scored by the model of the other folds."""
     out = None
     for f in range(k):
-        part = fit_predict(rows.where(F.col(fold) != f), rows.where(F.col(fold) == f), features, label)
+        part = fit_predict(rows.where(F.col(fold) != f), rows.where(F.col(fold) == f), features, label, **given)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -69,3 +84,119 @@ def components(rows: DataFrame, column: str, k: int) -> DataFrame:
 
     x = rows.withColumn("_x", array_to_vector(F.col(column).cast("array<double>")))
     return PCA(k=k, inputCol="_x", outputCol="_pc").fit(x).transform(x).withColumn("pc", vector_to_array("_pc")).drop("_x", "_pc")
+
+
+def chain(rows: DataFrame, features: list[str], labels: list[str], k: int, key: str = "event") -> DataFrame:
+    """key, label, fold, y, p: each label learns from the earlier ones' out-of-fold scores and from whether they were measured.
+
+    A row without a measured label is scored for the labels behind, but not returned for it.
+    """
+    held, known, out = rows, list(features), None
+    for label in labels:
+        train = held.where(F.col(label).isNotNull())
+        parts = [fit_predict(train.where(F.col("fold") != f), held.where(F.col("fold") == f), known, label) for f in range(k)]
+        held = reduce(DataFrame.unionByName, parts).withColumnRenamed("p", f"p_{label}").withColumn(f"m_{label}", F.col(label).isNotNull().cast("double"))
+        known += [f"p_{label}", f"m_{label}"]
+        part = held.where(F.col(label).isNotNull()).select(key, F.lit(label).alias("label"), "fold", F.col(label).alias("y"), F.col(f"p_{label}").alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ensemble(scores: list[DataFrame], key: str = "event") -> DataFrame:
+    """key, label, fold, y, p: the mean score over several chains."""
+    every = reduce(DataFrame.unionByName, scores)
+    return every.groupBy(key, "label", "fold", "y").agg(F.avg("p").alias("p"))
+
+
+def label_classes(rows: DataFrame, labels: list[str], classes: int = 4) -> list[list[str]]:
+    """Labels by falling prevalence in at most ``classes`` groups of even size: a chain goes from group to group."""
+    ordered = chain_order(rows, labels)
+    size = -(-len(ordered) // classes)
+    return [ordered[i : i + size] for i in range(0, len(ordered), size)]
+
+
+def random_search(rows: DataFrame, features: list[str], label: str, folds: list[int], kind: str, space: dict[str, list], draws: int, seed: int = 42) -> tuple[dict, float]:
+    """The best of some seeded draws of parameters by the mean AUC over ``folds`` (those of one class count as none)."""
+    chosen, best = {}, -1.0
+    rng = random.Random(seed)
+    for _ in range(draws):
+        given = {name: rng.choice(values) for name, values in space.items()}
+        inside = rows.where(F.col("fold").isin(folds))
+        parts = [fit_predict(inside.where(F.col("fold") != f), inside.where(F.col("fold") == f), features, label, kind=kind, **given) for f in folds]
+        scored = reduce(DataFrame.unionByName, parts).select("fold", F.col(label).alias("y"), "p")
+        mean = evaluate.roc_auc(scored, "fold").agg(F.coalesce(F.avg("auc"), F.lit(0.5))).first()[0]
+        if mean > best:
+            chosen, best = given, float(mean)
+    return chosen, best
+
+
+def nested(rows: DataFrame, features: list[str], label: str, k: int, kind: str, space: dict[str, list], draws: int) -> DataFrame:
+    """fold, y, p, threshold, inner_auc: per outer fold, parameters and threshold from the others alone, one refit, one scoring."""
+    out = None
+    for f in range(k):
+        inner = [g for g in range(k) if g != f]
+        given, mean = random_search(rows, features, label, inner, kind, space, draws, seed=42 + f)
+        train = rows.where(F.col("fold") != f)
+        fitted = reduce(DataFrame.unionByName, [fit_predict(train.where(F.col("fold") != g), train.where(F.col("fold") == g), features, label, kind=kind, **given) for g in inner])
+        found = evaluate.threshold_search(fitted.select(F.col(label).alias("y"), "p")).first()
+        part = fit_predict(train, rows.where(F.col("fold") == f), features, label, kind=kind, **given)
+        part = part.select("event", "fold", F.col(label).alias("y"), "p", F.lit(float(found.t)).alias("threshold"), F.lit(mean).alias("inner_auc"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def backbone(rows: DataFrame, features: list[str], label: str, k: int, kinds: tuple[str, ...] = ("lr", "forest", "boosted"), key: str = "event") -> DataFrame:
+    """key, fold, y and one out-of-fold score per estimator: what fusion and stacking share."""
+    out = None
+    for kind in kinds:
+        part = out_of_fold(rows, features, label, k, kind=kind).select(key, "fold", F.col(label).alias("y"), F.col("p").alias(f"p_{kind}"))
+        out = part if out is None else out.join(part.drop("fold", "y"), key)
+    return out
+
+
+def stacked(base: DataFrame, k: int, kinds: tuple[str, ...] = ("lr", "forest", "boosted")) -> DataFrame:
+    """``base`` with meta-features of its scores and ``p``, a logistic regression over them by fold."""
+    ps = [F.col(f"p_{kind}") for kind in kinds]
+    mean = sum(ps[1:], ps[0]) / len(ps)
+    spread = F.sqrt(sum(((p - mean) * (p - mean) for p in ps[1:]), (ps[0] - mean) * (ps[0] - mean)) / len(ps))
+    made = {"mean": mean, "spread": spread, "doubt": sum((entropy(p) for p in ps[1:]), entropy(ps[0])) / len(ps)}
+    made |= {f"gap_{a}_{b}": F.abs(F.col(f"p_{a}") - F.col(f"p_{b}")) for i, a in enumerate(kinds) for b in kinds[i + 1 :]}
+    rows = base.withColumns(made)
+    return out_of_fold(rows, [*(f"p_{kind}" for kind in kinds), *made], "y", k)
+
+
+def platt(scored: DataFrame, k: int) -> DataFrame:
+    """``scored`` (y, p, fold) with ``p_cal``: a one-dimensional logistic regression on the other folds' scores."""
+    rows = scored.withColumnRenamed("p", "raw")
+    return out_of_fold(rows, ["raw"], "y", k, regParam=0.0).withColumnsRenamed({"p": "p_cal", "raw": "p"})
+
+
+def permutation_importance(rows: DataFrame, features: list[str], key: str, predict) -> DataFrame:
+    """name, drop: the AUC of ``predict`` (rows -> rows with y, p) less that with one feature permuted."""
+    arms = [predict(rows).select(F.lit("").alias("name"), "y", "p")]
+    arms += [predict(permuted(rows, c, key)).select(F.lit(c).alias("name"), "y", "p") for c in features]
+    found = evaluate.roc_auc(reduce(DataFrame.unionByName, arms), "name")
+    whole = found.where("name = ''").agg(F.first("auc")).scalar()
+    return found.where("name <> ''").select("name", (whole - F.col("auc")).alias("drop"))
+
+
+def refitted(rows: DataFrame, features: list[str], label: str, low: float = 0.15, high: float = 0.85, key: str = "event") -> DataFrame:
+    """``rows`` with ``p`` of a model refitted on measured rows and on confident pseudo-labels of the others."""
+    first = fit_predict(rows.where(F.col(label).isNotNull()), rows, features, label)
+    sure = pseudo_labels(first, label, low, high).withColumn(label, F.coalesce(label, "pseudo")).where(F.col(label).isNotNull())
+    return fit_predict(sure.select(key, label, *features), rows, features, label)
+
+
+def train_components(train: DataFrame, rows: DataFrame, column: str, share: float = 0.95, most: int = 64) -> DataFrame:
+    """``rows`` with ``pc``: components of the training rows alone, the fewest that hold ``share`` of their variance."""
+    from pyspark.ml.functions import array_to_vector
+
+    vector = lambda df: df.withColumn("_x", array_to_vector(F.col(column).cast("array<double>")))
+    width = train.select(F.size(column)).first()[0]
+    model = PCA(k=min(most, width), inputCol="_x", outputCol="_pc").fit(vector(train))
+    held, k = 0.0, 0
+    for v in model.explainedVariance:
+        held, k = held + v, k + 1
+        if held >= share:
+            break
+    return model.transform(vector(rows)).withColumn("pc", F.slice(vector_to_array("_pc"), 1, k)).drop("_x", "_pc")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneflow.functions.expressions import adjusted_skew, safe_corr
+from paneflow.operators.quantiles import quantiles
 
 
 def _stacked(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
@@ -16,16 +17,24 @@ def _stacked(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     return row.select(F.explode(items).alias("x")).select("x.*")
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, x, n: how often each column holds each number; nulls are left out."""
+    items = F.array(*(F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") + F.lit(0.0)).alias("x")) for c in columns))
+    return df.select(F.explode(items).alias("i")).select("i.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, null_share, distinct, low, median, high, mean, skew, zero_share, negative_share."""
     n, aggs = F.count(F.lit(1)).cast("double"), []
     for c in columns:
         x = F.col(c).cast("double") + F.lit(0.0)
         found = {
-            "null_share": F.try_divide(F.count_if(x.isNull()).cast("double"), n), "distinct": F.count_distinct(x), "low": F.min(x), "median": F.median(x), "high": F.max(x), "mean": F.avg(x),
+            "null_share": F.try_divide(F.count_if(x.isNull()).cast("double"), n), "low": F.min(x), "high": F.max(x), "mean": F.avg(x),
             "skew": adjusted_skew(x), "zero_share": F.try_divide(F.count_if(x == 0).cast("double"), n), "negative_share": F.try_divide(F.count_if(x < 0).cast("double"), n)}
         aggs += [v.alias(f"{c}__{k}") for k, v in found.items()]
-    return _stacked(df.agg(*aggs), columns, list(found))
+    counts = value_counts(df, columns)
+    kinds = counts.groupBy("column").agg(F.count("*").alias("distinct")).join(quantiles(counts, ["column"], {"median": 0.5}), "column")
+    return _stacked(df.agg(*aggs), columns, list(found)).join(F.broadcast(kinds), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def top_share(df: DataFrame, columns: list[str]) -> DataFrame:

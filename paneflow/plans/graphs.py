@@ -88,6 +88,18 @@ def build_multirel_graph(spark, sf_dir):
     return near.withColumn("relation", F.lit("near")).unionByName(same.withColumn("relation", F.lit("same_nation"))).select("relation", "src", "dst")
 
 
+_AUDIT = "SELECT '{r}' AS relation, (SELECT count(*) FROM ents) AS nodes, count(*) AS undirected, coalesce(sum((a.block <> b.block)::INT), 0)::BIGINT AS removed, coalesce(sum((a.block = b.block)::INT), 0)::BIGINT AS kept, 0::BIGINT AS crossing FROM ({e}) JOIN blocks a ON a.entity = src JOIN blocks b ON b.entity = dst"
+_SAME = "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY src ORDER BY round(dist_km, 6), dst) AS place FROM pairs_far p JOIN ents a ON a.entity = src JOIN ents b ON b.entity = dst AND a.nation = b.nation WHERE dist_km <= 200) WHERE place <= 8"
+
+
+@query(_AUDIT.format(r="near", e="SELECT src, dst FROM edges") + " UNION ALL " + _AUDIT.format(r="same_group", e=_SAME), "edges", "pairs_far", "blocks")
+def build_well_graph(spark, sf_dir):
+    points, blocks = _points(spark, sf_dir), _blocks(spark, sf_dir)
+    _, near = graph.build(points, blocks, "near", K, CAP)
+    _, same = graph.build(points, blocks, "same_group", K, 200.0, "nation")
+    return near.unionByName(same)
+
+
 @query("SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY ((((src * 31 + dst) % 1000003) * 48305 + 134623) % 1000003), src) AS r FROM twoway) WHERE r <= 3", "twoway")
 def fanout_cap(spark, sf_dir):
     return graph.fanout(graph.symmetrised(_edges(spark, sf_dir)), 3).select("src", "dst")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneflow.operators import models, targets
+from paneflow.operators import evaluate, models, targets
 from paneflow.plans.base import query
 from paneflow.plans.targets import scored
 from paneflow.sources import panel
@@ -45,3 +45,69 @@ def pseudo_label(spark, sf_dir):
 @query()
 def embedding_pca(spark, sf_dir):
     return models.components(panel.scan(spark, sf_dir, "embeddings"), "embedding", 8).select("vec_id", "label", "pc")
+
+
+@query()
+def classifier_chain(spark, sf_dir):
+    return models.chain(_rows(spark, sf_dir), FEATURES, LABELS, K)
+
+
+@query()
+def ensemble_chains(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return models.ensemble([models.chain(rows, FEATURES, order, K) for order in (LABELS, LABELS[::-1])])
+
+
+@query()
+def frequency_class_chain(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    order = [label for group in models.label_classes(rows, LABELS) for label in group]
+    return models.chain(rows, FEATURES, order, K)
+
+
+@query()
+def oof_backbone(spark, sf_dir):
+    return models.backbone(_rows(spark, sf_dir), FEATURES, "y", K)
+
+
+@query()
+def stacking(spark, sf_dir):
+    base = models.backbone(_rows(spark, sf_dir), FEATURES, "y", K).persist()
+    return models.stacked(base, K).select("event", "fold", "y", "p")
+
+
+@query()
+def random_search(spark, sf_dir):
+    given, mean = models.random_search(_rows(spark, sf_dir), FEATURES, "y", list(range(K)), "lr", {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, 3)
+    return spark.createDataFrame([(k, float(v), mean) for k, v in sorted(given.items())], "parameter string, value double, mean_auc double")
+
+
+@query()
+def nested_cv(spark, sf_dir):
+    return models.nested(_rows(spark, sf_dir), FEATURES, "y", 3, "lr", {"regParam": [0.0, 0.01, 0.1]}, 2)
+
+
+@query()
+def evaluate_model(spark, sf_dir):
+    """Out-of-fold scores, a threshold per label, and the metrics at it."""
+    scores = models.binary_relevance(_rows(spark, sf_dir), FEATURES, LABELS, K)
+    best = evaluate.threshold_search(scores, 81, 0.1, 0.9, "label").select("label", "t")
+    counts = evaluate.confusion(scores.join(F.broadcast(best), "label"), F.col("t"), "label", "t")
+    return evaluate.rates(counts).join(evaluate.roc_auc(scores, "label").select("label", "auc"), "label")
+
+
+@query()
+def platt_calibration(spark, sf_dir):
+    rows = models.out_of_fold(_rows(spark, sf_dir), FEATURES, "y", K).select("event", "fold", "y", "p")
+    return models.platt(rows, K)
+
+
+@query()
+def pseudo_refit(spark, sf_dir):
+    return models.refitted(_rows(spark, sf_dir), FEATURES, "AF", 0.3, 0.5).select("event", "AF", "p")
+
+
+@query()
+def train_pca(spark, sf_dir):
+    rows = panel.scan(spark, sf_dir, "embeddings")
+    return models.train_components(rows.where("vec_id % 5 <> 0"), rows, "embedding").select("vec_id", F.size("pc").alias("components"), "pc")

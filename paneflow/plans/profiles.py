@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paneflow.functions.expressions import rounded, safe_corr
 from paneflow.operators import profiling, targets
+from paneflow.operators.quantiles import quantiles
 from paneflow.plans.base import query
 from paneflow.sources import panel
 
@@ -65,8 +66,10 @@ def first_per_group(spark, sf_dir):
 
 @query("SELECT count(*) AS entities, min(n) AS low, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, max(n) AS high, sum((n > 1)::INT)::BIGINT AS repeated FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def group_size(spark, sf_dir):
-    sizes = panel.events(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("entities"), F.min("n").alias("low"), F.median("n").alias("median"), rounded(F.avg("n")).alias("mean"), F.max("n").alias("high"), F.sum((F.col("n") > 1).cast("int")).alias("repeated"))
+    sizes = panel.events(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    # one row per size from here on
+    c = F.col("c")
+    return sizes.agg(F.sum(c).alias("entities"), F.min("n").alias("low"), F.percentile("n", F.lit(0.5), c).alias("median"), rounded(F.sum(F.col("n") * c) / F.sum(c)).alias("mean"), F.max("n").alias("high"), F.sum(F.when(F.col("n") > 1, c).otherwise(0)).alias("repeated"))
 
 
 @query("SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_rows, sum(n - 1)::BIGINT AS repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
@@ -107,8 +110,10 @@ def duplicate_columns(spark, sf_dir):
 
 @query("SELECT analyte, count(*) AS measured, round(avg(detected::INT), 6) AS detected_share, quantile_cont(value, 0.5) FILTER (WHERE detected) AS median, round(quantile_cont(value, 0.95) FILTER (WHERE detected), 6) AS p95, max(value) AS high FROM flagged GROUP BY analyte", "flagged")
 def analyte_stats(spark, sf_dir):
-    x = F.when(F.col("detected"), F.col("value"))
-    return panel.cells(spark, sf_dir).groupBy("analyte").agg(F.count("*").alias("measured"), rounded(F.avg(F.col("detected").cast("int"))).alias("detected_share"), F.median(x).alias("median"), rounded(F.percentile(x, 0.95)).alias("p95"), F.max("value").alias("high"))
+    cells = panel.cells(spark, sf_dir)
+    counts = cells.where("detected").groupBy("analyte", F.col("value").cast("double").alias("x")).agg(F.count("*").alias("n"))
+    whole = cells.groupBy("analyte").agg(F.count("*").alias("measured"), rounded(F.avg(F.col("detected").cast("int"))).alias("detected_share"), F.max("value").alias("high"))
+    return whole.join(quantiles(counts, ["analyte"], {"median": 0.5, "p95": 0.95}), "analyte", "left").select("analyte", "measured", "detected_share", "median", rounded(F.col("p95")).alias("p95"), "high")
 
 
 @query("SELECT analyte, detected::INT AS detected, count(*) AS n, sum((value = 0)::INT)::BIGINT AS zeros, sum((value > 0)::INT)::BIGINT AS positive FROM cells GROUP BY ALL", "cells")

@@ -158,9 +158,9 @@ def row_kfold(spark, sf_dir):
     return folds.row_folds(rows, "event", "y")
 
 
-@query("SELECT entity, region AS block, ((((entity % 1000003) * 48293 + 87109) % 1000003) < 180000)::INT AS held FROM ents", "ents")
+@query("SELECT entity, nation AS block, (row_number() OVER (PARTITION BY nation ORDER BY ((entity % 1000003) * 48293 + 87109) % 1000003, entity) <= round(0.18::DOUBLE * count(*) OVER (PARTITION BY nation)))::INT AS held FROM ents", "ents")
 def micro_block_holdout(spark, sf_dir):
-    rows = folds.holdout(panel.entities(spark, sf_dir).select("entity", F.col("region").alias("block")), "block", "entity")
+    rows = folds.holdout(panel.entities(spark, sf_dir).select("entity", F.col("nation").alias("block")), "block", "entity")
     return rows.withColumn("held", F.col("held").cast("int"))
 
 
@@ -169,17 +169,30 @@ def block_val_split(spark, sf_dir):
     return folds.closest_block(panel.entities(spark, sf_dir).withColumn("block", F.col("region")), "block")
 
 
-@query()
+def _lloyd_sql(rounds: int = 3) -> str:
+    """The rounds of k-means as relations: centres c0 ... and assignments a0 ..."""
+    parts = ["c0 AS (SELECT i AS block, 34.0::DOUBLE + 2 * (i // 2) AS a, (-122.0)::DOUBLE + 5 * (i % 2) AS b FROM (SELECT unnest(range(8))::INT AS i))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT entity, lat, lon, block FROM (SELECT e.entity, e.lat, e.lon, c.block, row_number() OVER (PARTITION BY e.entity ORDER BY pow(lat - c.a, 2) + pow(lon - c.b, 2), c.block) AS place FROM ents e CROSS JOIN c{r} c) WHERE place = 1)")
+        parts.append(f"c{r + 1} AS (SELECT c.block, coalesce(round(avg(lat), 6), any_value(c.a)) AS a, coalesce(round(avg(lon), 6), any_value(c.b)) AS b FROM c{r} c LEFT JOIN a{r} USING (block) GROUP BY c.block)")
+    return f", {', '.join(parts)} SELECT entity, lat, lon, block FROM a{rounds}"
+
+
+@query(_lloyd_sql(), "ents")
 def spatial_blocks(spark, sf_dir):
     seeds = [(34.0 + 2.0 * (i // 2), -122.0 + 5.0 * (i % 2)) for i in range(8)]
     return folds.lloyd_blocks(panel.entities(spark, sf_dir).select("entity", "lat", "lon"), seeds)
 
 
-@query("SELECT count(*) AS n, (sum((l_quantity IN (-999, -9999, -99, 9999, -1))::INT))::BIGINT AS sentinels, 0::BIGINT AS nans FROM lineitem")
+@query("SELECT count(*) AS n, sum((x IN (-999, -9999, -99, 9999, -1))::INT)::BIGINT AS sentinels, sum(isnan(x)::INT)::BIGINT AS nans, sum((NOT isnan(x))::INT)::BIGINT AS known FROM (SELECT CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE WHEN l_linenumber = 6 THEN -999 ELSE l_quantity END AS x FROM lineitem)")
 def nan_policy(spark, sf_dir):
-    rows = panel.scan(spark, sf_dir, "lineitem", "l_quantity")
-    value = F.col("l_quantity")
-    return rows.agg(F.count("*").alias("n"), F.count_if(value.isin(-999.0, -9999.0, -99.0, 9999.0, -1.0)).alias("sentinels"), F.count_if(F.isnan(value)).alias("nans"))
+    """NaN and sentinels, planted here, as they stand before the scan's rule makes NaN null."""
+    from paneflow.functions.expressions import null_if_nan
+
+    number = F.col("l_linenumber")
+    x = F.when(number == 7, F.lit(float("nan"))).when(number == 6, F.lit(-999.0)).otherwise(F.col("l_quantity").cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(x.alias("x"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("x").isin(-999.0, -9999.0, -99.0, 9999.0, -1.0)).alias("sentinels"), F.count_if(F.isnan("x")).alias("nans"), F.count(null_if_nan(F.col("x"))).alias("known"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
