@@ -8,9 +8,11 @@ read them and no lost executor takes them away.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +116,22 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limi
     return left.join(F.broadcast(right) if n <= limit else right.hint("merge"), on, how)
 
 
+@cache
+def _trim():
+    """The C library's malloc_trim, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Row ranges of a batch with about ``limit`` bytes of text: (first, last, strings), null as empty."""
     texts = pc.fill_null(batch.column(column), "")
@@ -128,6 +146,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         held += int(n)
     if first < len(texts):
         yield first, len(texts), texts.slice(first)
+    give_back()
 
 
 def slot_counts(rows: DataFrame, slots_of, bits: int) -> np.ndarray:

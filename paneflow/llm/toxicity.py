@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paneflow.llm.common import Workspace, small_batches, text_chunks
 from paneflow.llm.wordhash import mix, row_of, words
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                     out = pa.RecordBatch.from_arrays([*out.columns, pa.array(got)], names=[*others, score_col])
                 yield out if below is None else out.filter(pa.array(got < below))
 
-    schema = docs.select(*others).schema
+    schema = StructType([f for f in docs.schema if f.name in others])
     if score_col is not None:
         schema.add(score_col, "double", False)
         docs = docs.drop(score_col)
