@@ -35,23 +35,43 @@ ESTIMATORS = {
 }
 
 
+def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(rows)
+
+
+def _fitted(train: DataFrame, label: str, kind: str, weight: str | None, given: dict):
+    """A model of assembled rows, or the constant of a slice that cannot be fitted."""
+    if (p := _constant(train, label)) is not None:
+        return p
+    model = ESTIMATORS[kind](label, **given, **({"weightCol": weight} if weight else {})).fit(train)
+    return model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_probability")
+
+
+def _with_scores(model, rows: DataFrame, name: str) -> DataFrame:
+    if isinstance(model, float):
+        return rows.withColumn(name, F.lit(model))
+    return model.transform(rows).withColumn(name, vector_to_array("_probability")[1]).drop("_probability")
+
+
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, weight: str | None = None, kind: str = "lr", **given) -> DataFrame:
     """``test`` with ``p``: an estimator fitted on the rows of ``train``."""
-    if (p := _constant(train, label)) is not None:
-        return test.withColumn("p", F.lit(p))
-    assemble = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error")
-    model = ESTIMATORS[kind](label, **given, **({"weightCol": weight} if weight else {})).fit(assemble.transform(train))
-    scored = model.transform(assemble.transform(test))
-    return scored.withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+    return _with_scores(_fitted(_assembled(train, features), label, kind, weight, given), _assembled(test, features), "p").drop("_x")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str, k: int, fold: str = "fold", **given) -> DataFrame:
-    """Every row scored by the model of the other folds."""
-    out = None
-    for f in range(k):
-        part = fit_predict(rows.where(F.col(fold) != f), rows.where(F.col(fold) == f), features, label, **given)
-        out = part if out is None else out.unionByName(part)
-    return out
+def out_of_fold(rows: DataFrame, features: list[str], label: str, folds, fold: str = "fold", kind: str = "lr", **given) -> DataFrame:
+    """Every row scored by the model of the other ``folds`` (a number of them, or a list), learned where the label is known.
+
+    All models are applied in one pass over the rows, and each row keeps the score of its
+    fold's, so the plan does not grow with every fold's copy of the rows.
+    """
+    listed = list(range(folds)) if isinstance(folds, int) else list(folds)
+    out = _assembled(rows, features)
+    train = out.where(F.col(label).isNotNull())
+    models = {f: _fitted(train.where(F.col(fold) != f), label, kind, None, given) for f in listed}
+    for f, model in models.items():
+        out = _with_scores(model, out, f"_p{f}")
+    own = F.coalesce(*(F.when(F.col(fold) == f, F.col(f"_p{f}")) for f in listed))
+    return out.withColumn("p", own).drop("_x", *(f"_p{f}" for f in listed))
 
 
 def binary_relevance(rows: DataFrame, features: list[str], labels: list[str], k: int) -> DataFrame:
@@ -93,9 +113,7 @@ def chain(rows: DataFrame, features: list[str], labels: list[str], k: int, key:
     """
     held, known, out = rows, list(features), None
     for label in labels:
-        train = held.where(F.col(label).isNotNull())
-        parts = [fit_predict(train.where(F.col("fold") != f), held.where(F.col("fold") == f), known, label) for f in range(k)]
-        held = reduce(DataFrame.unionByName, parts).withColumnRenamed("p", f"p_{label}").withColumn(f"m_{label}", F.col(label).isNotNull().cast("double"))
+        held = out_of_fold(held, known, label, k).withColumnRenamed("p", f"p_{label}").withColumn(f"m_{label}", F.col(label).isNotNull().cast("double"))
         known += [f"p_{label}", f"m_{label}"]
         part = held.where(F.col(label).isNotNull()).select(key, F.lit(label).alias("label"), "fold", F.col(label).alias("y"), F.col(f"p_{label}").alias("p"))
         out = part if out is None else out.unionByName(part)
@@ -121,9 +139,7 @@ def random_search(rows: DataFrame, features: list[str], label: str, folds: list[
     rng = random.Random(seed)
     for _ in range(draws):
         given = {name: rng.choice(values) for name, values in space.items()}
-        inside = rows.where(F.col("fold").isin(folds))
-        parts = [fit_predict(inside.where(F.col("fold") != f), inside.where(F.col("fold") == f), features, label, kind=kind, **given) for f in folds]
-        scored = reduce(DataFrame.unionByName, parts).select("fold", F.col(label).alias("y"), "p")
+        scored = out_of_fold(rows.where(F.col("fold").isin(folds)), features, label, folds, kind=kind, **given).select("fold", F.col(label).alias("y"), "p")
         mean = evaluate.roc_auc(scored, "fold").agg(F.coalesce(F.avg("auc"), F.lit(0.5))).first()[0]
         if mean > best:
             chosen, best = given, float(mean)
@@ -137,7 +153,7 @@ def nested(rows: DataFrame, features: list[str], label: str, k: int, kind: str,
         inner = [g for g in range(k) if g != f]
         given, mean = random_search(rows, features, label, inner, kind, space, draws, seed=42 + f)
         train = rows.where(F.col("fold") != f)
-        fitted = reduce(DataFrame.unionByName, [fit_predict(train.where(F.col("fold") != g), train.where(F.col("fold") == g), features, label, kind=kind, **given) for g in inner])
+        fitted = out_of_fold(train.where(F.col("fold").isin(inner)), features, label, inner, kind=kind, **given)
         found = evaluate.threshold_search(fitted.select(F.col(label).alias("y"), "p")).first()
         part = fit_predict(train, rows.where(F.col("fold") == f), features, label, kind=kind, **given)
         part = part.select("event", "fold", F.col(label).alias("y"), "p", F.lit(float(found.t)).alias("threshold"), F.lit(mean).alias("inner_auc"))

@@ -10,14 +10,19 @@ from paneflow.plans.targets import scored
 from paneflow.sources import panel
 
 K, LABELS = 4, ["AF", "NO"]
+_HELD = []
 
 
 def _rows(spark, sf_dir):
-    """event, fold, numeric features and one nullable column per label; kept, as every fit reads them."""
+    """event, fold, numeric features and one nullable column per label; kept, as every fit reads them, until the next call."""
+    while _HELD:
+        _HELD.pop().unpersist()
     rows = scored(spark, sf_dir).withColumn("fold", F.col("fold") % K)
     price = panel.events(spark, sf_dir).select("event", (F.col("price") / 100_000).alias("price"))
     wide = targets.wide(panel.cells(spark, sf_dir), "y").select("event", *LABELS)
-    return rows.join(price, "event").join(wide, "event", "left").withColumn("nation", F.col("nation").cast("double")).select("event", "entity", "fold", "y", F.col("p").alias("score"), "price", "nation", *LABELS).persist()
+    found = rows.join(price, "event").join(wide, "event", "left").withColumn("nation", F.col("nation").cast("double")).select("event", "entity", "fold", "y", F.col("p").alias("score"), "price", "nation", *LABELS).persist()
+    _HELD.append(found)
+    return found
 
 
 FEATURES = ["score", "price", "nation"]
@@ -72,7 +77,7 @@ def oof_backbone(spark, sf_dir):
 
 @query()
 def stacking(spark, sf_dir):
-    base = models.backbone(_rows(spark, sf_dir), FEATURES, "y", K).persist()
+    base = models.backbone(_rows(spark, sf_dir), FEATURES, "y", K)
     return models.stacked(base, K).select("event", "fold", "y", "p")
 
 
