@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from paneflow.llm.common import Workspace, small_batches, text_chunks
 from paneflow.llm.wordhash import mix, row_of, words
@@ -182,22 +182,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     """``docs`` with ``score_col`` (replaced if there; none if None); with ``below``, only rows that score less."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != score_col and (keep_text or c != text_col)]
+    # columns go to Python by their places, whatever their names
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = [c for c in docs.columns if c != score_col and (keep_text or c != text_col)]
+    text, others = place[text_col], [place[c] for c in kept]
 
     def task(batches):
         at, w, bias = held.value
         weights = np.zeros(1 << BITS)
         weights[at] = w
         for batch in batches:
-            for first, last, texts in text_chunks(batch, text_col):
+            for first, last, texts in text_chunks(batch, text):
                 got = score_rows(texts, weights, bias)
                 out = batch.slice(first, last - first).select(others)
                 if score_col is not None:
-                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(got)], names=[*others, score_col])
+                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(got)], names=[*others, "score"])
                 yield out if below is None else out.filter(pa.array(got < below))
 
-    schema = StructType([f for f in docs.schema if f.name in others])
+    schema = StructType([StructField(place[f.name], f.dataType, f.nullable) for f in docs.schema if f.name in kept])
     if score_col is not None:
-        schema.add(score_col, "double", False)
-        docs = docs.drop(score_col)
-    return docs.mapInArrow(task, schema)
+        schema.add("score", "double", False)
+    scored = docs.toDF(*place.values()).select(*dict.fromkeys([text, *others])).mapInArrow(task, schema)
+    return scored.toDF(*kept, *([score_col] if score_col is not None else []))
