@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneflow.functions.expressions import adjusted_skew, safe_corr
@@ -41,9 +41,10 @@ def top_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value, n, share: the most frequent value of each column, the smallest on ties; nulls are a value."""
     items = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
     counts = df.select(F.explode(items).alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_first()))
-    total = F.sum("n").over(Window.partitionBy("column"))
-    return counts.withColumns({"place": place, "share": F.col("n") / total}).where("place = 1").drop("place")
+    most = counts.groupBy("column").agg(F.max("n").alias("n"), F.sum("n").alias("total"))  # one row per column
+    least = F.min(F.struct(F.col("value").isNotNull().alias("known"), "value"))["value"]
+    found = counts.join(F.broadcast(most), ["column", "n"]).groupBy("column", "n", "total").agg(least.alias("value"))
+    return found.select("column", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
