@@ -42,6 +42,7 @@ SHORT, SEGMENT = 64, 1 << 20
 _OVERHEAD = 200
 # any two white-space characters in a row, or one other than space and line feed: such texts are cut at fewer places
 _ODD = re.compile(r"\s\s|[^\S \n]|\x01")
+_PLAIN = re.compile(r" \S+")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 MANIFEST = "part int, path string, documents long, tokens long"
 
@@ -82,6 +83,15 @@ class Encoder:
             return _BETWEEN.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of a space and other characters: encoded as one text, which is cut before each of them, and dealt by place."""
+        got = self.model.encode("".join(pieces), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        starts = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
+        cuts = (np.searchsorted(starts, ends) * self.kind.itemsize).tolist()
+        ids = array(self.code, got.ids).tobytes()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.held > MEMO_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
@@ -91,8 +101,12 @@ class Encoder:
         back = fresh.intersection(old)
         young.update(zip(back, map(old.__getitem__, back), strict=True))
         some = list(fresh.difference(back))
-        for i in range(0, len(some), 4096):
-            part = some[i : i + 4096]
+        plain = list(filter(_PLAIN.fullmatch, some))
+        for i in range(0, len(plain), 4096):
+            young.update(zip(plain[i : i + 4096], self._joined(plain[i : i + 4096]), strict=True))
+        other = [piece for piece in some if piece not in young]
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
             found = self.model.encode_batch_fast(part, add_special_tokens=False)
             young.update(zip(part, (array(self.code, x.ids).tobytes() for x in found), strict=True))
         out = [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
