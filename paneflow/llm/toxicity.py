@@ -22,6 +22,7 @@ name of the score is replaced, all others pass through whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from paneflow.llm.common import Workspace, small_batches, text_chunks
+from paneflow.llm.common import Workspace, give_back, small_batches, text_chunks
 from paneflow.llm.wordhash import mix, row_of, words
 
 BITS = 20
@@ -73,7 +74,7 @@ def bias_of(z: np.ndarray, n: np.ndarray, prior: float) -> float:
     return float(prior - z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2))
 
 
-def learn(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, prior: float = 0.0) -> None:
+def learn(z: np.ndarray, n: np.ndarray, rows: Iterable[np.ndarray], labels: np.ndarray, prior: float = 0.0) -> None:
     """One pass over rows, in place."""
     for at, y in zip(rows, labels, strict=True):
         w = weights_of(z[at], n[at])
@@ -129,10 +130,15 @@ def _pass_from(state, prior: float):
         z, n = (x.copy() for x in state.value)
         before = n.copy()
         group = group.sort_by("mark")
-        at = [unpack(x) for x in group.column("at").to_pylist()]
-        learn(z, n, at, group.column("y").to_numpy(), prior)
+        # one row's coordinates at a time
+        learn(z, n, (unpack(x.as_py()) for x in group.column("at")), group.column("y").to_numpy(), prior)
         met = np.flatnonzero(n != before)  # 2**BITS at most, so exact as a 32-bit float too
-        return pa.table({"state": pa.array([zlib.compress(np.stack([met, z[met], n[met]]).astype("<f4").tobytes(), 1)], pa.binary())})
+        held = np.empty((3, len(met)), dtype="<f4")
+        held[0], held[1], held[2] = met, z[met], n[met]
+        packed = zlib.compress(held.tobytes(), 1)
+        del z, n, before, met, held
+        give_back()
+        return pa.table({"state": pa.array([packed], pa.binary())})
 
     return one_pass
 
