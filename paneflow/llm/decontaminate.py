@@ -431,24 +431,24 @@ def _find(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str)
     space = Workspace(docs.sparkSession, "decontaminate")
     items = _items(benchmark, space, item_col, item_text)
     pairs = candidates(docs, items, space)
-    asked = join_checked(pairs, items, "number").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("number", "item", F.col("text").alias("item_text"))).alias("items"))
+    # keys alone may be broadcast; texts meet by a shuffle, of the documents with candidates only
+    asked = pairs.groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
     asked = space.table(asked.withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"}), "asked")
-    rows = join_checked(docs, asked, _same_row(docs, asked)).select("doc_id", "mark", "text", "items")
+    rows = join_checked(docs, asked, _same_row(docs, asked)).select("doc_id", "mark", "text", F.explode("numbers").alias("number"))
+    rows = rows.join(items.withColumnRenamed("text", "item_text").hint("merge"), "number").select("doc_id", "mark", "text", "number", "item", "item_text")
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
 
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
                 part = batch.slice(first, last - first)
-                wanted = part.column("items").to_pylist()
-                every = {x["number"]: (x["item"], x["item_text"]) for listed in wanted for x in listed}
-                index = Index(list(every), [t for _, t in every.values()])
-                mine = [{x["number"] for x in listed} for listed in wanted]
-                if found := [(r, index.items[i], *x) for r, i, *x in index.find(texts) if index.items[i] in mine[r]]:
-                    row, number, *rest = map(list, zip(*found, strict=True))
-                    ids = part.select(["doc_id", "mark"]).take(pa.array(row))
-                    item = pa.array([every[k][0] for k in number], part.column("items").type.value_type.field("item").type)
-                    yield pa.RecordBatch.from_arrays([*ids.columns, item, pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "mark", *FOUND])
+                wanted = part.column("number").to_pylist()
+                every = dict(zip(wanted, part.column("item_text").to_pylist(), strict=True))
+                index = Index(list(every), list(every.values()))
+                if found := [(r, *x) for r, i, *x in index.find(texts) if index.items[i] == wanted[r]]:
+                    row, *rest = map(list, zip(*found, strict=True))
+                    ids = part.select(["doc_id", "mark", "item"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "mark", *FOUND])
 
     return rows.mapInArrow(task, f"doc_id {kinds[0]}, mark long, item_id {kinds[1]}, plain_share double, template_share double, slots int, changed_slots int")
 
