@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneflow.llm import decontaminate, line_dedup, lm, media, mixing, near_dedup, secrets, tokens, toxicity, warc
+from paneflow.llm import chat, decontaminate, divergence, line_dedup, lm, media, mixing, near_dedup, periodic, secrets, tokens, toxicity, warc
 from paneflow.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -65,6 +65,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80).drop("mark")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.planted(_table(spark, sf_dir, "documents")))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saying = "</s>[INST] ok [/INST]"
+    # one conversation more, whose texts are control strings of a template
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(saying).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.report(turns)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix": op2_mix,
@@ -76,4 +92,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_tokens": op9_tokens,
     "op10_near_dedup": op10_near_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_periodic": op12_periodic,
+    "op13_chat": op13_chat,
 }

@@ -94,3 +94,11 @@ def combine(h: np.ndarray, n: int) -> np.ndarray:
 def row_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each item, from the rows' bounds."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The spans data[start:end], in order and apart from each other, as numbers of distinct byte strings."""
+    cuts = np.empty(2 * len(starts) + 1, dtype=np.int64)
+    cuts[0:-1:2], cuts[1::2], cuts[-1] = starts, ends, len(data)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    return pieces.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
