@@ -22,7 +22,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from functools import cache
 
 import numpy as np
@@ -32,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, text_chunks
+from paneflow.llm.common import CHUNK_BYTES, Workspace, text_chunks
+from paneflow.llm.wordhash import buffers, row_of
 
 #: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
 MEMO_BYTES = 40 << 20
@@ -40,10 +40,12 @@ MEMO_BYTES = 40 << 20
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.
 _OVERHEAD = 200
-# any two white-space characters in a row, or one other than space and line feed: such texts are cut at fewer places
-_ODD = re.compile(r"\s\s|[^\S \n]|\x01")
 _PLAIN = re.compile(r" \S+")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+# The bytes that are white space, and the longer forms of white space in UTF-8.
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LONG_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(bytes([0xE2, 0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80")
 MANIFEST = "part int, path string, documents long, tokens long"
 
 
@@ -56,14 +58,26 @@ def segments(text: str):
     yield text[at:]
 
 
+def white_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space."""
+    out = _WHITE[data]
+    for form in _LONG_WHITE:
+        at = np.flatnonzero(data[: len(data) - len(form) + 1] == form[0]) if len(data) >= len(form) else np.zeros(0, dtype=np.int64)
+        for k, x in enumerate(form):
+            at = at[data[at + k] == x]
+        for k in range(len(form)):
+            out[at + k] = True
+    return out
+
+
 class Encoder:
-    """Ids of whole texts as bytes, through a tokenizers file.
+    """Ids of whole texts, through a tokenizers file.
 
-    A byte-level pre-tokenizer always starts a piece at a single space between
-    two other characters, and around a single line feed whose neighbours are not
-    white space of any kind. Texts are cut there, and each distinct piece is
-    encoded once. Two generations of short pieces are kept: when the younger one is
-    full, it becomes the older one, so frequent pieces stay.
+    A byte-level pre-tokenizer always starts a piece at a single space between two other
+    characters, and around a single line feed between two others, none of them white space
+    of any kind. Texts are cut there, the cuts of many texts at once, and each distinct piece
+    is encoded once. Two generations of short pieces are kept: when the younger one is full, it
+    becomes the older one, so frequent pieces stay.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -71,55 +85,108 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.end = np.array([end_id], dtype=self.kind).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.end_id = end_id
+        # a token's bytes: a character each in the byte-level alphabet, but added tokens are plain text
+        added = {i: len(t.content.encode()) for i, t in self.model.get_added_tokens_decoder().items()}
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = added.get(i, len(token))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _cut(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return _BETWEEN.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of a space and other characters: encoded as one text, which is cut before each of them, and dealt by place."""
-        got = self.model.encode("".join(pieces), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
-        starts = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
-        cuts = (np.searchsorted(starts, ends) * self.kind.itemsize).tolist()
-        ids = array(self.code, got.ids).tobytes()
-        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of a space and other characters: encoded as one text, which is cut before each of them, and dealt by the tokens' bytes."""
+        text = b"".join(pieces).decode()
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends, reached = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))), np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(reached, ends) + 1
+        if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[cuts - 1], ends):
+            return self._apart(pieces)
+        raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        cuts = (cuts * width).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _apart(self, pieces: list[bytes]) -> list[bytes]:
+        return [self._bytes(x.ids) for x in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _known(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, in their order."""
         if self.held > MEMO_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        cut = [self._cut(t) for t in texts]
-        fresh = set().union(*cut).difference(young)
-        back = fresh.intersection(old)
-        young.update(zip(back, map(old.__getitem__, back), strict=True))
-        some = list(fresh.difference(back))
-        plain = list(filter(_PLAIN.fullmatch, some))
+        out = list(map(young.get, distinct))
+        fresh = [distinct[i] for i, ids in enumerate(out) if ids is None]
+        if not fresh:
+            return out
+        found = dict(zip(fresh, map(old.get, fresh), strict=True))
+        plain = [p for p in fresh if found[p] is None and _PLAIN.fullmatch(p.decode())]
         for i in range(0, len(plain), 4096):
-            young.update(zip(plain[i : i + 4096], self._joined(plain[i : i + 4096]), strict=True))
-        other = [piece for piece in some if piece not in young]
+            found.update(zip(plain[i : i + 4096], self._joined(plain[i : i + 4096]), strict=True))
+        other = [p for p, ids in found.items() if ids is None]
         for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            found = self.model.encode_batch_fast(part, add_special_tokens=False)
-            young.update(zip(part, (array(self.code, x.ids).tobytes() for x in found), strict=True))
-        out = [b"".join(map(young.__getitem__, pieces)) for pieces in cut]
-        self.held += len(fresh) * _OVERHEAD + 2 * sum(map(len, fresh))
-        for piece in fresh:
-            if len(piece) > SHORT:
-                del young[piece]
-        return out
+            found.update(zip(other[i : i + 4096], self._apart(other[i : i + 4096]), strict=True))
+        short = {p: ids for p, ids in found.items() if len(p) <= SHORT}
+        young.update(short)
+        self.held += len(short) * _OVERHEAD + 2 * sum(map(len, short))
+        filled = iter(found.values())  # in the order of the gaps
+        return [next(filled) if ids is None else ids for ids in out]
+
+    def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows with the end id behind each, where each row's ids end) of a large_string array without nulls."""
+        data, offs = buffers(texts)
+        rows, n = len(texts), len(data)
+        cut = np.zeros(n + 1, dtype=bool)
+        cut[offs[:-1]] = True
+        cut[n] = False
+        if n > 2:
+            white = white_space(data)
+            mark = np.flatnonzero((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) + 1
+            mark = mark[~white[mark - 1] & ~white[mark + 1] & ~cut[mark] & ~cut[mark + 1]]
+            cut[mark] = True
+            cut[mark[data[mark] == 0x0A] + 1] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.searchsorted(starts, offs)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        known = self._known(pieces.dictionary.to_pylist())
+        sizes = np.append(np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize, 1)
+        pool = np.append(np.frombuffer(b"".join(known), dtype=self.kind), self.kind.type(self.end_id))
+        # the pieces of each row and then its end, as numbers of what is in the pool
+        turn = np.full(len(starts) + rows, len(known), dtype=np.int64)
+        turn[np.arange(len(starts)) + row_of(bounds)] = pieces.indices.to_numpy()
+        size = sizes[turn]
+        ends = np.cumsum(size)
+        from_ = (np.cumsum(sizes) - sizes)[turn] - (ends - size)
+        ids = pool[np.repeat(from_, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, ends[bounds[1:] + np.arange(rows)]
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_rows`; a row of over SEGMENT bytes is encoded part by part."""
+        _, offs = buffers(texts)
+        long = np.flatnonzero(np.diff(offs) > SEGMENT).tolist()
+        ids, ends, at, first = [], [], 0, 0
+        for i in [*long, len(texts)]:
+            if i > first:
+                got, where = self._rows(texts.slice(first, i - first))
+                ids.append(got)
+                ends.append(where + at)
+                at += len(got)
+            if i < len(texts):
+                parts = [self._rows(pa.array([part], pa.large_string()))[0] for part in segments(texts[i].as_py())]
+                ids += [*(p[:-1] for p in parts[:-1]), parts[-1]]
+                at += sum(map(len, parts)) - len(parts) + 1
+                ends.append(np.array([at]))
+            first = i + 1
+        return np.concatenate([np.zeros(0, dtype=self.kind), *ids]), np.concatenate([np.zeros(0, dtype=np.int64), *ends])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if max(map(len, texts), default=0) <= SEGMENT:
-            return [ids + self.end for ids in self._encode(texts)]
-        return [b"".join(self._encode([part])[0] for part in segments(t)) + self.end for t in texts]
+        ids, ends = self.arrays(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, ends)[:-1]]
 
 
 @cache
@@ -139,13 +206,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         stem = f"{root}/part-{part:06d}-{context.taskAttemptId()}"
         out, ends, valid, ids, at = None, [0], [], [], 0
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text"):
+            for first, last, texts in text_chunks(batch, "text", 4 * CHUNK_BYTES):
                 if out is None:
                     out = fs.open_output_stream(f"{stem}.bin")
-                for got in encode(texts.to_pylist()):
-                    out.write(got)
-                    at += len(got) // encode.kind.itemsize
-                    ends.append(at)
+                got, where = encode.arrays(texts)
+                out.write(got.tobytes())
+                ends += (where + at).tolist()
+                at += len(got)
                 keys = batch.column("key").slice(first, last - first)
                 valid.append(keys.is_valid().to_numpy(zero_copy_only=False))
                 ids.append(keys.fill_null(0).to_numpy())
