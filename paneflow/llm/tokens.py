@@ -40,7 +40,7 @@ MEMO_BYTES = 40 << 20
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.
 _OVERHEAD = 200
-_PLAIN = re.compile(r" \S+")
+_PLAIN = re.compile(r" ?\S+")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 # The bytes that are white space, and the longer forms of white space in UTF-8.
 _WHITE = np.zeros(256, dtype=bool)
@@ -101,7 +101,7 @@ class Encoder:
         return np.array(ids, dtype=self.kind).tobytes()
 
     def _joined(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces of a space and other characters: encoded as one text, which is cut before each of them, and dealt by the tokens' bytes."""
+        """Ids of pieces that are pieces of their joined text too: that is encoded at once, and dealt by the tokens' bytes."""
         text = b"".join(pieces).decode()
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
         ends, reached = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))), np.cumsum(self.sizes[ids])
@@ -125,9 +125,14 @@ class Encoder:
         if not fresh:
             return out
         found = dict(zip(fresh, map(old.get, fresh), strict=True))
-        plain = [p for p in fresh if found[p] is None and _PLAIN.fullmatch(p.decode())]
-        for i in range(0, len(plain), 4096):
-            found.update(zip(plain[i : i + 4096], self._joined(plain[i : i + 4096]), strict=True))
+        sought = [p for p, ids in found.items() if ids is None]
+        kinds = [_PLAIN.fullmatch(p.decode()) for p in sought]
+        led, bare = ([p for p, kind in zip(sought, kinds, strict=True) if kind and (p[0] == 0x20) == space] for space in (True, False))
+        for i in range(0, len(led), 4096):
+            found.update(zip(led[i : i + 4096], self._joined(led[i : i + 4096]), strict=True))
+        for i in range(0, len(bare), 4096):
+            part = bare[i : i + 4096]
+            found.update(zip(part, self._joined([x for p in part for x in (p, b"\n")])[::2], strict=True))  # a line feed between them is a piece
         other = [p for p, ids in found.items() if ids is None]
         for i in range(0, len(other), 4096):
             found.update(zip(other[i : i + 4096], self._apart(other[i : i + 4096]), strict=True))
@@ -206,7 +211,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         stem = f"{root}/part-{part:06d}-{context.taskAttemptId()}"
         out, ends, valid, ids, at = None, [0], [], [], 0
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text", 4 * CHUNK_BYTES):
+            for first, last, texts in text_chunks(batch, "text", 8 * CHUNK_BYTES):
                 if out is None:
                     out = fs.open_output_stream(f"{stem}.bin")
                 got, where = encode.arrays(texts)
