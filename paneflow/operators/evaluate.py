@@ -1,7 +1,8 @@
 """Exact ranking, threshold and calibration metrics of scored rows (y, p), per group.
 
-Rows are first summed by distinct score. Scores carry at most SCORE_DIGITS digits,
-so what a window orders has a fixed bound, however many rows there are.
+Rows are first summed by distinct score, as it stands. Scores are then dealt into ranges:
+what a ranking needs of other ranges is sums, so no window orders more than one range.
+NaN scores count as missing.
 """
 
 from __future__ import annotations
@@ -9,33 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_DIGITS = 6
+from paneflow.operators.quantiles import at_ranks, before, ranged
+from paneflow.operators.tables import settled
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where("p is not null and not isnan(p)")
 
 
 def by_score(rows: DataFrame, *group: str) -> DataFrame:
     """group, p, n1, n0: positives and negatives of each distinct score."""
-    return rows.where("p is not null").groupBy(*group, F.round("p", SCORE_DIGITS).alias("p")).agg(F.sum("y").cast("long").alias("n1"), F.sum(1 - F.col("y")).cast("long").alias("n0"))
+    return _known(rows).groupBy(*group, F.col("p").cast("double").alias("p")).agg(F.sum("y").cast("long").alias("n1"), F.sum(1 - F.col("y")).cast("long").alias("n0"))
+
+
+def _auc(scores: DataFrame, *group: str) -> DataFrame:
+    """group, n, auc from (group, p, n1, n0): wins inside a range, and against the negatives of all ranges below."""
+    below = F.coalesce(F.sum("n0").over(Window.partitionBy(*group, "_bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    ranked = ranged(scores, "p").withColumn("wins", 2 * wide("n1") * below + wide("n1") * F.col("n0"))
+    sums = ranked.groupBy(*group, "_bin").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "wins")))
+    whole = before(sums, list(group), ["n0"]).withColumn("wins", F.col("wins").cast("double") + 2.0 * F.col("n1") * F.col("n0_before"))
+    pairs = 2.0 * F.sum("n1") * F.sum("n0")
+    return whole.groupBy(*group).agg((F.sum("n1") + F.sum("n0")).alias("n"), F.try_divide(F.sum("wins"), pairs).alias("auc"))
 
 
 def roc_auc(rows: DataFrame, *group: str) -> DataFrame:
     """group, n, auc: ties count half; null with one class."""
-    below = F.coalesce(F.sum("n0").over(Window.partitionBy(*group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score(rows, *group).withColumn("wins", 2 * F.col("n1") * below + F.col("n1") * F.col("n0"))
-    pairs = F.sum("n1") * F.sum("n0") * 2
-    return ranked.groupBy(*group).agg((F.sum("n1") + F.sum("n0")).alias("n"), F.try_divide(F.sum("wins").cast("double"), pairs.cast("double")).alias("auc"))
+    return _auc(by_score(rows, *group), *group)
 
 
 def average_precision(rows: DataFrame, *group: str) -> DataFrame:
     """group, ap: the step rule over distinct scores."""
-    upto = Window.partitionBy(*group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_score(rows, *group).withColumns({"tp": F.sum("n1").over(upto), "seen": F.sum(F.col("n1") + F.col("n0")).over(upto)})
-    gain = F.sum(F.col("n1") * F.try_divide(F.col("tp").cast("double"), F.col("seen").cast("double")))
+    binned = ranged(by_score(rows, *group), "p")
+    sums = before(binned.groupBy(*group, "_bin").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), list(group), ["n1", "n0"], falling=True)
+    upto = Window.partitionBy(*group, "_bin").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.withColumns({"tp": F.sum("n1").over(upto), "seen": F.sum(F.col("n1") + F.col("n0")).over(upto)})
+    ranked = ranked.join(sums.select(*group, "_bin", F.col("n1_before").alias("b1"), F.col("n0_before").alias("b0")), [*group, "_bin"])
+    gain = F.sum(F.col("n1") * F.try_divide((F.col("tp") + F.col("b1")).cast("double"), (F.col("seen") + F.col("b1") + F.col("b0")).cast("double")))
     return ranked.groupBy(*group).agg(F.try_divide(gain, F.sum("n1").cast("double")).alias("ap"))
 
 
 def confusion(rows: DataFrame, threshold: Column, *group: str) -> DataFrame:
     hit = (F.col("p") >= threshold).cast("int")
-    return rows.where("p is not null").groupBy(*group).agg(
+    return _known(rows).groupBy(*group).agg(
         F.sum(F.col("y") * hit).alias("tp"), F.sum((1 - F.col("y")) * hit).alias("fp"), F.sum(F.col("y") * (1 - hit)).alias("fn"), F.sum((1 - F.col("y")) * (1 - hit)).alias("tn"))
 
 
@@ -49,21 +66,54 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"f1": share(2 * tp, 2 * tp + fp + fn), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "accuracy": share(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (share(tp, tp + fn) + share(tn, tn + fp)) / 2})
 
 
-def threshold_search(rows: DataFrame, steps: int = 81, low: float = 0.1, high: float = 0.9, *group: str) -> DataFrame:
-    """group, t, f1: the first maximum of F1 on a grid of ``steps`` thresholds."""
-    grid = F.sequence(F.lit(0), F.lit(steps - 1))
-    t = F.round(F.lit(low) + F.col("i") * F.lit((high - low) / (steps - 1)), 6)
-    scored = by_score(rows, *group)
-    hit = (F.col("p") >= F.col("t")).cast("int")
-    counts = scored.withColumn("i", F.explode(grid)).withColumn("t", t).groupBy(*group, "t").agg(F.sum(F.col("n1") * hit).alias("tp"), F.sum(F.col("n0") * hit).alias("fp"), F.sum(F.col("n1") * (1 - hit)).alias("fn"), F.sum(F.col("n0") * (1 - hit)).alias("tn"))
-    best = Window.partitionBy(*group).orderBy(F.desc(F.round("f1", 9)), "t")
-    return rates(counts).withColumn("place", F.row_number().over(best)).where("place = 1").select(*group, "t", "f1")
+def _grid(steps: int, low: float, high: float) -> list[float]:
+    return [round(low + i * (high - low) / (steps - 1), 6) for i in range(steps)]
+
+
+def _reached(rows: DataFrame, grid: list[float], *group: str) -> DataFrame:
+    """group, reached, n1, n0: rows by how many thresholds of the grid they reach, so a group has a bounded number of counts."""
+    low, steps = grid[0], len(grid)
+    p, ts = F.col("p").cast("double"), F.array(*map(F.lit, grid))
+    near = F.greatest(F.lit(0), F.least(F.lit(steps), F.floor((p - low) * F.lit((steps - 1) / (grid[-1] - low))).cast("int")))
+    # the nearest step may be one off: of the few around, as many as are reached
+    first = F.greatest(near - 1, F.lit(0))
+    reached = first + F.size(F.filter(F.slice(ts, first + 1, F.lit(4)), lambda t: t <= p))
+    return _known(rows).groupBy(*group, reached.alias("reached")).agg(F.sum("y").cast("long").alias("n1"), F.sum(1 - F.col("y")).cast("long").alias("n0"))
+
+
+def _best(reached: DataFrame, grid: list[float], metric: str, *group: str) -> DataFrame:
+    """group, t, metric: the first maximum, from counts by :func:`_reached`."""
+    steps = F.explode(F.transform(F.array(*map(F.lit, grid)), lambda t, i: F.struct(i.alias("i"), t.alias("t"))))
+    each = reached.withColumn("s", steps).select(*group, "n1", "n0", (F.col("reached") > F.col("s.i")).cast("int").alias("hit"), F.col("s.t").alias("t"))
+    counts = each.groupBy(*group, "t").agg(*(F.sum(F.col(n) * (F.col("hit") if on else 1 - F.col("hit"))).alias(c) for c, n, on in (("tp", "n1", 1), ("fp", "n0", 1), ("fn", "n1", 0), ("tn", "n0", 0))))
+    best = Window.partitionBy(*group).orderBy(F.desc(F.round(metric, 9)), "t")
+    return rates(counts).withColumn("place", F.row_number().over(best)).where("place = 1").select(*group, "t", metric)
+
+
+def threshold_search(rows: DataFrame, steps: int = 81, low: float = 0.1, high: float = 0.9, *group: str, metric: str = "f1") -> DataFrame:
+    """group, t and a rate of :func:`rates`: its first maximum on a grid of ``steps`` thresholds."""
+    grid = _grid(steps, low, high)
+    return _best(_reached(rows, grid, *group), grid, metric, *group)
+
+
+def crossed_thresholds(rows: DataFrame, fold: str, *group: str, steps: int = 81, low: float = 0.1, high: float = 0.9, metric: str = "f1") -> DataFrame:
+    """group, fold, t, metric: the threshold for each fold, chosen on the rows of the group's other folds; none where those have no rows.
+
+    A fold's counts are the total less its own, so rows are counted once.
+    """
+    grid = _grid(steps, low, high)
+    own = _reached(rows, grid, *group, fold)
+    every = own.groupBy(*group, "reached").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    folds = own.select(*group, fold).distinct()
+    sums = (folds.join(every, list(group)) if group else folds.crossJoin(every)).unionByName(own.select(*group, fold, "reached", (-F.col("n1")).alias("n1"), (-F.col("n0")).alias("n0")))
+    other = sums.groupBy(*group, fold, "reached").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 > 0")
+    return _best(other, grid, metric, *group, fold)
 
 
 def reliability(rows: DataFrame, bins: int = 10, *group: str) -> DataFrame:
     """group, bin, n, mean_p, mean_y: equal bins, the last one closed."""
     at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
-    return rows.where("p is not null").groupBy(*group, at.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
+    return _known(rows).groupBy(*group, at.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"))
 
 
 def expected_calibration_error(rows: DataFrame, bins: int = 10, *group: str) -> DataFrame:
@@ -74,20 +124,21 @@ def expected_calibration_error(rows: DataFrame, bins: int = 10, *group: str) ->
 def topk_gain(rows: DataFrame, percents: tuple[int, ...], key: str) -> DataFrame:
     """percent, k, gain, lift: share of all positives among the best-scored percent, ties by key.
 
-    Sums by score tell at which score each percent is full, and how many rows of that
-    score still belong to it; the key of the last one is an order statistic of those
-    rows, so neither all rows nor those of one score are ranked in one task.
+    Sums of ranges tell in which range each percent is full, that range's scores at which score,
+    and the key of the last row is an order statistic of the rows of that score. So neither all
+    scores, nor all rows, nor those of one score are ranked in one task.
     """
-    from paneflow.operators.quantiles import at_ranks
-
-    scores = by_score(rows)
-    order = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct score
-    upto = scores.withColumns({"upto": F.sum(F.col("n1") + F.col("n0")).over(order), "hits": F.sum("n1").over(order)})
-    n, positives = scores.agg(F.sum(F.col("n1") + F.col("n0"))).scalar(), scores.agg(F.sum("n1")).scalar()
-    each = upto.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("k", F.greatest(F.lit(1), F.floor(n * F.col("percent") / 100)).cast("long"))
     size = F.col("n1") + F.col("n0")
-    cuts = each.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - size)).select("percent", "k", "p", (F.col("hits") - F.col("n1")).alias("above"), (F.col("k") - F.col("upto") + size - 1).alias("rank"))
-    tied = rows.where("p is not null").select(F.round("p", SCORE_DIGITS).alias("p"), F.col(key).alias("x"), "y").join(F.broadcast(cuts.select("p").distinct()), "p")
+    binned = settled(ranged(by_score(rows).withColumn("size", size), "p"))  # each step below reads it
+    sums = before(binned.groupBy("_bin").agg(F.sum("size").alias("size"), F.sum("n1").alias("n1")), [], ["size", "n1"], falling=True)  # one row per range
+    n, positives = binned.agg(F.sum("size")).scalar(), binned.agg(F.sum("n1")).scalar()
+    each = sums.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("k", F.greatest(F.lit(1), F.floor(n * F.col("percent") / 100)).cast("long"))
+    full = each.where((F.col("k") > F.col("size_before")) & (F.col("k") <= F.col("size_before") + F.col("size"))).select("percent", "k", "_bin", "size_before", "n1_before")
+    order = Window.partitionBy("_bin").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = binned.withColumns({"upto": F.sum("size").over(order), "hits": F.sum("n1").over(order)}).join(F.broadcast(full), "_bin")
+    upto = upto.withColumns({"upto": F.col("upto") + F.col("size_before"), "hits": F.col("hits") + F.col("n1_before")})
+    cuts = upto.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("size"))).select("percent", "k", "p", (F.col("hits") - F.col("n1")).alias("above"), (F.col("k") - F.col("upto") + F.col("size") - 1).alias("rank"))
+    tied = _known(rows).select(F.col("p").cast("double").alias("p"), F.col(key).alias("x"), "y").join(F.broadcast(cuts.select("p").distinct()), "p")
     last = at_ranks(tied.groupBy("p", "x").agg(F.count("*").alias("n")), ["p"], cuts.select("p", F.col("percent").alias("name"), "rank"))
     last = cuts.join(last.select(F.col("name").alias("percent"), F.col("x").alias("last")), "percent")
     inside = tied.join(F.broadcast(last.select("percent", "p", "last")), "p").where(F.col("x") <= F.col("last")).groupBy("percent").agg(F.sum("y").alias("among"))
@@ -104,11 +155,8 @@ def bootstrap_auc(rows: DataFrame, entity: str, replicates: int = 20) -> DataFra
     u = F.pmod(bucket_hash(F.col(entity), 1) * F.lit(69_621) + (F.col("replicate") + 1) * F.lit(16_807), F.lit(1_000_003))
     # cumulative Poisson(1) in units of 1 / 1000003
     weight = F.when(u < 367_880, 0).when(u < 735_761, 1).when(u < 919_701, 2).when(u < 981_014, 3).otherwise(4)
-    weighted = drawn.withColumn("w", weight).where("w > 0")
-    scored = weighted.groupBy("replicate", F.round("p", SCORE_DIGITS).alias("p")).agg(F.sum(F.col("y") * F.col("w")).alias("n1"), F.sum((1 - F.col("y")) * F.col("w")).alias("n0"))
-    below = F.coalesce(F.sum("n0").over(Window.partitionBy("replicate").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = scored.withColumn("wins", 2 * F.col("n1") * below + F.col("n1") * F.col("n0"))
-    return wins.groupBy("replicate").agg(F.try_divide(F.sum("wins").cast("double"), (2 * F.sum("n1") * F.sum("n0")).cast("double")).alias("auc"))
+    weighted = _known(drawn).withColumn("w", weight).where("w > 0")
+    return _auc(weighted.groupBy("replicate", F.col("p").cast("double").alias("p")).agg(F.sum(F.col("y") * F.col("w")).cast("long").alias("n1"), F.sum((1 - F.col("y")) * F.col("w")).cast("long").alias("n0")), "replicate").drop("n")
 
 
 def bootstrap_interval(rows: DataFrame, entity: str, replicates: int = 300) -> DataFrame:

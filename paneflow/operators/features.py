@@ -2,7 +2,7 @@
 
 ``parts`` is rows with their own fold. A training statistic of fold f is the total
 minus what fold f holds, so counts and sums need one aggregate, not one per fold.
-Medians do not decompose; they use counts of values, expanded by fold.
+Order statistics come from histograms that are shared by all folds (:mod:`quantiles`).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneflow.functions.expressions import bucket_hash, month_cycle
-from paneflow.operators.quantiles import quantiles
+from paneflow.operators.quantiles import quantiles, training_quantiles
 
 MISSING = "__nan__"
 
@@ -70,11 +70,11 @@ def scale_stats(parts: DataFrame, column: str, k: int, log: bool = True, missing
     x = F.col(column).cast("double")
     x = F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0)))) if log else x
     counts = parts.select(F.col("fold").alias("own"), x.alias("x")).groupBy("own", "x").agg(F.count("*").alias("n"))
-    # values are counted before folds are dealt out; null is a value here
-    train = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold <> own").groupBy("fold", "x").agg(F.sum("n").alias("n"))
-    medians = quantiles(train.where("x is not null"), ["fold"], {"median": 0.5})
+    medians = training_quantiles(counts.where("x is not null"), k, {"median": 0.5})
     known, n = F.col("x").isNotNull(), F.col("n")
-    sums = train.groupBy("fold").agg(F.sum(n).alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("held"), F.coalesce(F.sum(F.col("x") * n), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("x") * F.col("x") * n), F.lit(0.0)).alias("q"))
+    own = counts.groupBy("own").agg(F.sum(n).alias("rows"), F.sum(F.when(known, n).otherwise(0)).alias("held"), F.coalesce(F.sum(F.col("x") * n), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("x") * F.col("x") * n), F.lit(0.0)).alias("q"))
+    # a handful of rows: one per fold, dealt to the other folds
+    sums = own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold <> own").groupBy("fold").agg(*(F.sum(c).alias(c) for c in ("rows", "held", "s", "q")))
     sums = sums.join(medians, "fold", "left")
     fill, gone = F.coalesce("median", F.lit(0.0)), F.col("rows") - F.col("held")
     mean = (F.col("s") + gone * fill) / F.col("rows")
@@ -128,11 +128,14 @@ class Fitted:
     codes: dict[str, tuple[DataFrame, float]]
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """key and the feature columns of any rows; what training has not seen is 0, or the overall mean for codes."""
+        """key and the feature columns of any rows; what training has not seen is 0, or the overall mean for codes.
+
+        A table of codes has a row per level: it is broadcast only where Spark knows it to be small.
+        """
         out = rows
         for c, (table, overall) in self.codes.items():
             value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-            out = out.withColumn("_level", value).join(F.broadcast(table), "_level", "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(overall))).drop("_level", "_code")
+            out = out.withColumn("_level", value).join(table, "_level", "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(overall))).drop("_level", "_code")
         made = {}
         for c, (median, mean, sd, indicator) in self.numbers.items():
             x = _logged(c)
@@ -150,20 +153,24 @@ def _logged(column: str):
     return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
-def fit(train: DataFrame, key: str, numbers: list[str], onehot: list[str] = (), coded: list[str] = (), label: str | None = None, blocked: set[str] = frozenset(), missing_over: float = 0.20, smooth: float = 20.0, limit: int = 64) -> Fitted:
+def fit(train: DataFrame, key: str, numbers: list[str], onehot: list[str] = (), coded: list[str] = (), label: str | None = None, blocked: set[str] = frozenset(), missing_over: float = 0.20, smooth: float = 20.0, limit: int = 64, indicators: list[str] | None = None) -> Fitted:
     """Learn imputing, scaling, indicators, levels and target codes from training rows alone.
 
-    Numbers take two aggregates for all columns; levels and codes one small table each,
-    with at most ``limit`` levels of a one-hot column.
+    Numbers take one pass for the medians of all columns and one for means and spreads; levels and
+    codes one small table each, with at most ``limit`` levels of a one-hot column. A missing indicator
+    goes with numbers that miss in over ``missing_over`` of the rows, or with those named in
+    ``indicators``, so that the columns do not depend on the rows.
     """
     leak_guard([*numbers, *onehot, *coded], blocked | ({label} if label else set()))
     learned: dict[str, tuple[float, float, float, bool]] = {}
     if numbers:
-        first = train.agg(*(x for c in numbers for x in (F.median(_logged(c)).alias(f"{c}|m"), F.avg(_logged(c).isNull().cast("int")).alias(f"{c}|s")))).first()
-        medians = {c: first[f"{c}|m"] or 0.0 for c in numbers}
+        long = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), _logged(c).alias("x")) for c in numbers))).alias("v")).select("v.*")
+        counts = long.groupBy("name", "x").agg(F.count("*").alias("n"))
+        medians = dict.fromkeys(numbers, 0.0) | {r.name: r.median for r in quantiles(counts.where("x is not null"), ["name"], {"median": 0.5}).collect()}
         filled = {c: F.coalesce(_logged(c), F.lit(medians[c])) for c in numbers}
-        second = train.agg(*(x for c in numbers for x in (F.avg(filled[c]).alias(f"{c}|a"), F.stddev_pop(filled[c]).alias(f"{c}|d")))).first()
-        learned = {c: (medians[c], second[f"{c}|a"] or 0.0, second[f"{c}|d"] or 1.0, (first[f"{c}|s"] or 0.0) > missing_over) for c in numbers}
+        second = train.agg(*(x for c in numbers for x in (F.avg(filled[c]).alias(f"{c}|a"), F.stddev_pop(filled[c]).alias(f"{c}|d"), F.avg(_logged(c).isNull().cast("int")).alias(f"{c}|s")))).first()
+        marked = {c: (second[f"{c}|s"] or 0.0) > missing_over if indicators is None else c in indicators for c in numbers}
+        learned = {c: (medians[c], second[f"{c}|a"] or 0.0, second[f"{c}|d"] or 1.0, marked[c]) for c in numbers}
     levels = {}
     for c in onehot:
         value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))

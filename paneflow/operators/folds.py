@@ -64,6 +64,11 @@ def holdout(rows: DataFrame, block: str, key: str, share: float = 0.18, seed: in
     return rows.withColumn("held", F.row_number().over(order) <= least)
 
 
+def hashed_holdout(rows: DataFrame, key: str, share: float, seed: int = 11) -> DataFrame:
+    """``rows`` with ``held``: about ``share`` of the keys, by a seeded hash alone, so nothing is ordered or shuffled."""
+    return rows.withColumn("held", bucket_hash(F.col(key), seed) < F.lit(round(share * 1_000_000)))
+
+
 def closest_block(rows: DataFrame, block: str, share: float = 0.18) -> DataFrame:
     """The block whose size is nearest to ``share`` of all rows."""
     sizes = rows.groupBy(block).agg(F.count("*").alias("n"))

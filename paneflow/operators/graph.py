@@ -1,18 +1,21 @@
 """Distance-capped neighbour graphs as edge tables, and what is computed on them.
 
-Neighbours are found by an equi-join on grid cells of at least the cap, each point
-looking into the cells around its own, then a haversine filter and a per-node top
-k; no pair beyond neighbouring cells is formed.
+Pairs within a cap are found by an equi-join on grid cells of at least the cap, each
+point looking into the cells around its own, then a haversine filter; no pair beyond
+neighbouring cells is formed. The k nearest take the same way where cells hold few
+points; where some are dense, they start from small cells and widen the search only
+for the points that have not found k yet (:func:`nearest`).
 """
 
 from __future__ import annotations
 
-from math import cos, floor, radians
+from math import asin, ceil, cos, floor, log2, radians, sin
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneflow.functions.expressions import bucket_hash, gaussian_decay, haversine_km, rounded
+from paneflow.functions.expressions import EARTH_KM, bucket_hash, gaussian_decay, haversine_km, rounded
+from paneflow.operators.tables import settled
 
 KM_PER_DEGREE = 111.19
 
@@ -40,11 +43,98 @@ def near_pairs(points: DataFrame, cap_km: float, same: str | None = None) -> Dat
     return pairs.select("src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("dist_km")).where(F.col("dist_km") <= cap_km)
 
 
-def knn(points: DataFrame, k: int, cap_km: float, **options) -> DataFrame:
-    """src, dst, dist_km, place: the k nearest of each point, nearer ids first on ties."""
-    pairs = near_pairs(points, cap_km, **options)
-    place = F.row_number().over(Window.partitionBy("src").orderBy(rounded(F.col("dist_km")), "dst"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+#: A cell with more points than DENSE is searched by :func:`nearest`.
+DENSE = 400
+#: How much wider that search gets from round to round.
+_WIDER = 2
+
+
+def knn(points: DataFrame, k: int, cap_km: float | None = None, same: str | None = None) -> DataFrame:
+    """src, dst, dist_km, place: the k nearest of each point (of equal ``same``, never null), nearer ids first on ties.
+
+    Only neighbours within ``cap_km`` count, if it is given.
+    """
+    if cap_km is None or _fullest(points, _chord(cap_km), same) > DENSE:
+        return nearest(points, k, cap_km, same)
+    pairs = near_pairs(points, cap_km, **({"same": same} if same else {}))
+    return _placed(pairs).where(F.col("place") <= k)
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(rounded(F.col("dist_km")), "dst")))
+
+
+def _chord(km: float) -> float:
+    """The straight distance, on a sphere of radius 1, of points ``km`` apart."""
+    return 2 * sin(min(km / EARTH_KM, 3.141592653589793) / 2)
+
+
+def _sphere(points: DataFrame) -> list:
+    """x, y, z of a position on a sphere of radius 1: no poles, no meridian."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return [(F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")]
+
+
+def _fullest(points: DataFrame, side: float, same: str | None) -> int:
+    """The most points in a cube of the given side."""
+    cells = points.select(*([same] if same else []), *_sphere(points)).groupBy(*([same] if same else []), *(F.floor(F.col(c) / side).alias(f"g{c}") for c in "xyz")).count()
+    return cells.agg(F.max("count")).first()[0] or 0
+
+
+def nearest(points: DataFrame, k: int, cap_km: float | None = None, same: str | None = None, per_cell: int | None = None) -> DataFrame:
+    """src, dst, dist_km, place of the k nearest, by searches that widen for the points that still lack some.
+
+    Cubes on the sphere are made small enough to hold about ``per_cell`` points, 2k if not given. A point looks into the eight
+    cubes that a ball of half their side around it touches; if that ball holds k others, they are its nearest.
+    The others go on with cubes _WIDER times as wide, so dense places are never searched with wide cubes and
+    sparse points see few others. Of many points at one place only the k + 1 smallest ids can be anyone's
+    nearest, so no more of them are searched.
+    """
+    extra, per_cell = [same] if same else [], per_cell or max(8, 2 * k)
+    rows = points.where(F.col(same).isNotNull()) if same else points
+    rows = settled(rows.where("lat is not null and lon is not null").select("entity", "lat", "lon", *extra, *_sphere(points)))
+    turn = F.row_number().over(Window.partitionBy("lat", "lon", *extra).orderBy("entity"))
+    targets = settled(rows.withColumn("turn", turn).where(F.col("turn") <= k + 1).drop("turn"))
+    most = min(2.0, _chord(cap_km) if cap_km is not None else 2.0)
+    side = 4.0
+    while (full := _fullest(targets, side, same)) > 2 * per_cell and side > 1e-9:
+        side /= 2 ** max(1, ceil(log2(full / per_cell) / 2))
+    open_, found = rows, []
+    while True:
+        last = side / 2 >= most
+        radius = most if last else side / 2
+        side = 2 * radius if last else side
+        km = 2 * EARTH_KM * asin(min(1.0, radius / 2))
+        met = _within(open_, targets, side, extra).where(F.col("dist_km") <= (km if cap_km is None or not last else cap_km))
+        top = settled(_placed(met).where(F.col("place") <= k))
+        if last:
+            return _union([*found, top])
+        # a k-th one well inside the ball: nothing outside of it is as near
+        done = top.where((F.col("place") == k) & (F.col("dist_km") < km - 1e-5)).select("src")
+        found.append(top.join(done, "src", "left_semi"))
+        open_ = settled(open_.join(done.withColumnRenamed("src", "entity"), "entity", "left_anti"))
+        if open_.isEmpty():
+            return _union(found)
+        side *= _WIDER
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("src", "dst", "dist_km", "place")
+
+
+def _within(left: DataFrame, right: DataFrame, side: float, extra: list[str]) -> DataFrame:
+    """src, dst, dist_km of the points of ``left`` and those of ``right`` in the eight cubes nearest to each."""
+    def low(c: str):
+        return F.floor(F.col(c) / side - 0.5)
+
+    steps = F.explode(F.array(*(F.struct(F.lit(i & 1).alias("x"), F.lit(i >> 1 & 1).alias("y"), F.lit(i >> 2).alias("z")) for i in range(8))))
+    a = left.withColumn("step", steps).select(F.col("entity").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *extra, *((low(c) + F.col(f"step.{c}")).alias(f"g{c}") for c in "xyz"))
+    b = right.select(F.col("entity").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *extra, *(F.floor(F.col(c) / side).alias(f"g{c}") for c in "xyz"))
+    pairs = a.join(b, ["gx", "gy", "gz", *extra]).where("src <> dst")
+    return pairs.select("src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("dist_km"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

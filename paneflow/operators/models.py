@@ -120,6 +120,19 @@ def chain(rows: DataFrame, features: list[str], labels: list[str], k: int, key:
     return out
 
 
+def by_outer(rows: DataFrame, features: list[str], key: str = "entity", kind: str = "lr", **given) -> DataFrame:
+    """key, block, y, p: for each ``outer`` block, its own rows scored by a model of the other blocks' rows under that outer block.
+
+    ``rows`` has outer, block, y and features that may differ by outer block (:func:`encoder.hybrid_features`).
+    """
+    out = None
+    for outer in [r.outer for r in rows.select("outer").distinct().orderBy("outer").limit(64).collect()]:
+        own = rows.where(F.col("outer") == F.lit(outer))
+        part = fit_predict(own.where((F.col("block") != F.lit(outer)) & F.col("y").isNotNull()), own.where(F.col("block") == F.lit(outer)), features, "y", kind=kind, **given).select(key, "block", "y", "p")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ensemble(scores: list[DataFrame], key: str = "event") -> DataFrame:
     """key, label, fold, y, p: the mean score over several chains."""
     every = reduce(DataFrame.unionByName, scores)

@@ -113,7 +113,7 @@ def node_features(spark, sf_dir):
     """The mean price of each entity, imputed and scaled by the entities outside region 0."""
     prices = panel.events(spark, sf_dir).groupBy("entity").agg(F.avg("price").alias("price"))
     nodes = panel.entities(spark, sf_dir).join(prices, "entity", "left")
-    fitted = features.fit(nodes.where("region <> 0"), "entity", ["price"])
+    fitted = features.fit(nodes.where("region <> 0"), "entity", ["price"], indicators=["price"])
     return fitted.transform(nodes).withColumn("price_scaled", rounded(F.col("price_scaled"), 5))
 
 

@@ -157,6 +157,6 @@ def bipartite_split(spark, sf_dir):
     from paneflow.operators import folds
 
     rows = panel.cells(spark, sf_dir).select("entity", "analyte").distinct().join(_blocks(spark, sf_dir), "entity")
-    held = folds.holdout(rows, "block", "entity", 0.15, 23)
+    held = folds.hashed_holdout(rows, "entity", 0.15, 23)
     part = F.when(F.col("block") == 0, "test").when(F.col("held"), "val").otherwise("train")
     return held.groupBy("analyte", part.alias("part")).agg(F.count("*").alias("n"))

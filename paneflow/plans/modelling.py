@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneflow.operators import evaluate, models, targets
+from paneflow.operators import evaluate, models, targets, trees, tuning
 from paneflow.plans.base import query
 from paneflow.plans.targets import scored
 from paneflow.sources import panel
@@ -94,13 +94,50 @@ def nested_cv(spark, sf_dir):
 
 @query()
 def evaluate_model(spark, sf_dir):
-    """Out-of-fold scores, a threshold per label, and the metrics at it."""
+    """Out-of-fold scores, a threshold per label and fold from the other folds, and the metrics at it."""
     scores = models.binary_relevance(_rows(spark, sf_dir), FEATURES, LABELS, K)
-    best = evaluate.threshold_search(scores, 81, 0.1, 0.9, "label").select("label", "t")
-    counts = evaluate.confusion(scores.join(F.broadcast(best), "label"), F.col("t"), "label", "t")
+    best = evaluate.crossed_thresholds(scores, "fold", "label").select("label", "fold", "t")
+    counts = evaluate.confusion(scores.join(F.broadcast(best), ["label", "fold"]), F.col("t"), "label")  # labels x folds
     return evaluate.rates(counts).join(evaluate.roc_auc(scores, "label").select("label", "auc"), "label")
 
 
+def _boosted(spark, sf_dir):
+    """(rows, the trees of each fold's model, or its constant)."""
+    rows = _rows(spark, sf_dir)
+    fitted = {f: models._fitted(models._assembled(rows.where(F.col("fold") != f), FEATURES), "y", "boosted", None, {}) for f in range(K)}
+    return rows, {f: m if isinstance(m, float) else trees.boosted_trees(m) for f, m in fitted.items()}
+
+
+@query()
+def boosting_curves(spark, sf_dir):
+    """Log-loss and AUC of each fold's boosted model on training and held rows, round by round."""
+    rows, grown = _boosted(spark, sf_dir)
+    return trees.boosting_curves(rows, FEATURES, "y", grown)
+
+
+@query()
+def tree_attribution(spark, sf_dir):
+    """What each feature adds to the margin of each event under its own fold's model."""
+    rows, grown = _boosted(spark, sf_dir)
+    out = None
+    for f, own in grown.items():
+        if isinstance(own, float):
+            continue
+        part = trees.attributions(rows.where(F.col("fold") == f), "event", FEATURES, own, rows.where(F.col("fold") != f)).withColumn("fold", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    added = [F.col("contributions")[i].alias(f"by_{c}") for i, c in enumerate(FEATURES)]
+    return out.select("event", "fold", "base", *added)
+
+
+@query()
+def adaptive_search(spark, sf_dir):
+    """Trials of an adaptive search, in order, with their mean AUC."""
+    space = {"regParam": (0.0, 1.0), "elasticNetParam": [0.0, 0.5, 1.0]}
+    rows = _rows(spark, sf_dir)
+    done = tuning.parzen_search(tuning.fold_auc(rows, FEATURES, "y", list(range(K)), "lr"), space, 8, startup=4, batch=2)
+    return spark.createDataFrame([(i, float(g["regParam"]), float(g["elasticNetParam"]), v) for i, (g, v) in enumerate(done)], "trial int, reg double, elastic double, mean_auc double")
+
+
 @query()
 def platt_calibration(spark, sf_dir):
     rows = models.out_of_fold(_rows(spark, sf_dir), FEATURES, "y", K).select("event", "fold", "y", "p")

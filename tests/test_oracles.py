@@ -8,13 +8,16 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck(sf_dir):
+    """A connection of its own for each test: a fault in one invalidates no other. One thread, as more have met faults of the engine."""
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET threads = 1")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    return con
+    yield con
+    con.close()
 
 
 def _plain(v):
