@@ -155,11 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     prior = float(np.log(n_toxic / (n_rows - n_toxic)))
     rows = rows.withColumn("shard", F.pmod("mark", F.lit(-(-n_rows // PER_SHARD))))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
+        # written first: a few small files, read one after the other, not a job for each partition of a shuffle
+        states = space.table(rows.groupBy("shard").applyInArrow(_pass_from(state, prior), "state binary"), f"states{turn}")
         # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
         sums = np.zeros((3, len(z)))
-        for (held,) in rows.groupBy("shard").applyInArrow(_pass_from(state, prior), "state binary").toLocalIterator():
+        for (held,) in states.toLocalIterator():
             at, z_new, n_new = np.frombuffer(zlib.decompress(held), dtype="<f4").reshape(3, -1)
             at = at.astype(np.int64)
             sums[0, at] += 1
@@ -167,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
             sums[2, at] += n_new
         met = np.flatnonzero(sums[0])
         z[met], n[met] = sums[1:, met] / sums[0, met]
-        state.unpersist()
+        state.destroy()
+        space.drop(f"states{turn}")
+    del sums
+    give_back()
     w = weights_of(z, n)[:-1]
     at = np.flatnonzero(w)
     return at, w[at], bias_of(z, n, prior)
