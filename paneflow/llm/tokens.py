@@ -40,7 +40,6 @@ MEMO_BYTES = 40 << 20
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.
 _OVERHEAD = 200
-_PLAIN = re.compile(r" ?\S+")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 # The bytes that are white space, and the longer forms of white space in UTF-8.
 _WHITE = np.zeros(256, dtype=bool)
@@ -115,32 +114,27 @@ class Encoder:
     def _apart(self, pieces: list[bytes]) -> list[bytes]:
         return [self._bytes(x.ids) for x in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    def _known(self, distinct: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces, in their order."""
+    def _known(self, distinct: list[bytes], whole: np.ndarray, led: np.ndarray) -> list[bytes]:
+        """The ids of distinct pieces, in their order; ``whole`` are those without white space but a space that ``led`` says is first."""
         if self.held > MEMO_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        young, old = self.young, self.old
+        young = self.young
         out = list(map(young.get, distinct))
-        fresh = [distinct[i] for i, ids in enumerate(out) if ids is None]
-        if not fresh:
-            return out
-        found = dict(zip(fresh, map(old.get, fresh), strict=True))
-        sought = [p for p, ids in found.items() if ids is None]
-        kinds = [_PLAIN.fullmatch(p.decode()) for p in sought]
-        led, bare = ([p for p, kind in zip(sought, kinds, strict=True) if kind and (p[0] == 0x20) == space] for space in (True, False))
-        for i in range(0, len(led), 4096):
-            found.update(zip(led[i : i + 4096], self._joined(led[i : i + 4096]), strict=True))
-        for i in range(0, len(bare), 4096):
-            part = bare[i : i + 4096]
-            found.update(zip(part, self._joined([x for p in part for x in (p, b"\n")])[::2], strict=True))  # a line feed between them is a piece
-        other = [p for p, ids in found.items() if ids is None]
-        for i in range(0, len(other), 4096):
-            found.update(zip(other[i : i + 4096], self._apart(other[i : i + 4096]), strict=True))
-        short = {p: ids for p, ids in found.items() if len(p) <= SHORT}
-        young.update(short)
-        self.held += len(short) * _OVERHEAD + 2 * sum(map(len, short))
-        filled = iter(found.values())  # in the order of the gaps
-        return [next(filled) if ids is None else ids for ids in out]
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(gaps, map(self.old.get, [distinct[i] for i in gaps]), strict=True):
+            out[i] = ids
+        left = np.array([i for i in gaps if out[i] is None], dtype=np.int64)
+        # a line feed between pieces that no space leads is a piece of its own
+        ways = ((led & whole, self._joined), (~led & whole, lambda part: self._joined([x for p in part for x in (p, b"\n")])[::2]), (~whole, self._apart))
+        for kind, encode in ways:
+            own = left[kind[left]].tolist()
+            for k in range(0, len(own), 4096):
+                for i, ids in zip(own[k : k + 4096], encode([distinct[i] for i in own[k : k + 4096]]), strict=True):
+                    out[i] = ids
+        kept = [i for i in gaps if len(distinct[i]) <= SHORT]
+        young.update((distinct[i], out[i]) for i in kept)
+        self.held += len(kept) * _OVERHEAD + 2 * sum(len(distinct[i]) for i in kept)
+        return out
 
     def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with the end id behind each, where each row's ids end) of a large_string array without nulls."""
@@ -149,8 +143,8 @@ class Encoder:
         cut = np.zeros(n + 1, dtype=bool)
         cut[offs[:-1]] = True
         cut[n] = False
+        white = white_space(data)
         if n > 2:
-            white = white_space(data)
             mark = np.flatnonzero((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) + 1
             mark = mark[~white[mark - 1] & ~white[mark + 1] & ~cut[mark] & ~cut[mark + 1]]
             cut[mark] = True
@@ -158,12 +152,18 @@ class Encoder:
         starts = np.flatnonzero(cut)
         bounds = np.searchsorted(starts, offs)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        known = self._known(pieces.dictionary.to_pylist())
+        index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[index[::-1]] = np.arange(len(index))[::-1]  # the last written is the first piece of its kind
+        inside = np.concatenate(([0], np.cumsum(white)))
+        led = data[starts[first]] == 0x20 if n else np.zeros(0, dtype=bool)
+        whole = inside[np.append(starts, n)[first + 1]] - inside[starts[first]] == led
+        known = self._known(distinct, whole & (np.append(starts, n)[first + 1] - starts[first] > led), led)
         sizes = np.append(np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize, 1)
         pool = np.append(np.frombuffer(b"".join(known), dtype=self.kind), self.kind.type(self.end_id))
         # the pieces of each row and then its end, as numbers of what is in the pool
         turn = np.full(len(starts) + rows, len(known), dtype=np.int64)
-        turn[np.arange(len(starts)) + row_of(bounds)] = pieces.indices.to_numpy()
+        turn[np.arange(len(starts)) + row_of(bounds)] = index
         size = sizes[turn]
         ends = np.cumsum(size)
         from_ = (np.cumsum(sizes) - sizes)[turn] - (ends - size)
