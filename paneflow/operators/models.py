@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -15,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from paneflow.functions.expressions import entropy
 from paneflow.operators import evaluate
@@ -27,6 +29,8 @@ def _constant(train: DataFrame, label: str) -> float | None:
     return None if n and 0 < s < n else (float(s or 0) / n if n else 0.5)
 
 
+#: Fits of folds that are submitted at once.
+AT_ONCE = 4
 #: Estimators by name: a function of (label, parameters).
 ESTIMATORS = {
     "lr": lambda label, **given: LogisticRegression(featuresCol="_x", labelCol=label, **({"maxIter": 20, "regParam": 0.01} | given)),
@@ -43,8 +47,19 @@ def _fitted(train: DataFrame, label: str, kind: str, weight: str | None, given:
     """A model of assembled rows, or the constant of a slice that cannot be fitted."""
     if (p := _constant(train, label)) is not None:
         return p
-    model = ESTIMATORS[kind](label, **given, **({"weightCol": weight} if weight else {})).fit(train)
-    return model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_probability")
+    return _model(train, label, kind, given | ({"weightCol": weight} if weight else {}))
+
+
+def _model(train: DataFrame, label: str, kind: str, given: dict):
+    return ESTIMATORS[kind](label, **given).fit(train).setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_probability")
+
+
+def _fold_constants(rows: DataFrame, label: str, fold: str, folds: list) -> dict:
+    """The score of each fold's training rows that cannot be fitted, else None: one pass, a fold's training counts are the total less its own."""
+    own = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(fold).agg(F.count(label), F.sum(label)).collect()}
+    n, s = (sum(c[i] for c in own.values()) for i in (0, 1))
+    left = {f: (n - own.get(f, (0, 0))[0], s - own.get(f, (0, 0))[1]) for f in folds}
+    return {f: None if m and 0 < t < m else (float(t) / m if m else 0.5) for f, (m, t) in left.items()}
 
 
 def _with_scores(model, rows: DataFrame, name: str) -> DataFrame:
@@ -67,7 +82,14 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, folds, fold: s
     listed = list(range(folds)) if isinstance(folds, int) else list(folds)
     out = _assembled(rows, features)
     train = out.where(F.col(label).isNotNull())
-    models = {f: _fitted(train.where(F.col(fold) != f), label, kind, None, given) for f in listed}
+    constants = _fold_constants(train, label, fold, listed)
+
+    def fit(f):
+        return constants[f] if constants[f] is not None else _model(train.where(F.col(fold) != f), label, kind, given)
+
+    # fits wait for many small jobs: some go on at once
+    with ThreadPool(min(AT_ONCE, max(1, len(listed)))) as pool:
+        models = dict(zip(listed, pool.map(inheritable_thread_target(rows.sparkSession)(fit), listed), strict=True))
     for f, model in models.items():
         out = _with_scores(model, out, f"_p{f}")
     own = F.coalesce(*(F.when(F.col(fold) == f, F.col(f"_p{f}")) for f in listed))

@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneflow.operators import evaluate, models, targets, trees, tuning
+from paneflow.operators.tables import settled
 from paneflow.plans.base import query
 from paneflow.plans.targets import scored
 from paneflow.sources import panel
 
 K, LABELS = 4, ["AF", "NO"]
-_HELD = []
+ALL = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
-def _rows(spark, sf_dir):
-    """event, fold, numeric features and one nullable column per label; kept, as every fit reads them, until the next call."""
-    while _HELD:
-        _HELD.pop().unpersist()
+def _rows(spark, sf_dir, labels=LABELS):
+    """event, fold, numeric features and one nullable column per label; computed once, as every fit reads them."""
     rows = scored(spark, sf_dir).withColumn("fold", F.col("fold") % K)
     price = panel.events(spark, sf_dir).select("event", (F.col("price") / 100_000).alias("price"))
-    wide = targets.wide(panel.cells(spark, sf_dir), "y").select("event", *LABELS)
-    found = rows.join(price, "event").join(wide, "event", "left").withColumn("nation", F.col("nation").cast("double")).select("event", "entity", "fold", "y", F.col("p").alias("score"), "price", "nation", *LABELS).persist()
-    _HELD.append(found)
-    return found
+    wide = targets.wide(panel.cells(spark, sf_dir), "y").select("event", *labels)
+    return settled(rows.join(price, "event").join(wide, "event", "left").withColumn("nation", F.col("nation").cast("double")).select("event", "entity", "fold", "y", F.col("p").alias("score"), "price", "nation", *labels))
 
 
 FEATURES = ["score", "price", "nation"]
@@ -44,7 +41,7 @@ def pseudo_label(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     known = rows.where("AF is not null")
     p = models.fit_predict(known, rows, FEATURES, "AF")
-    return models.pseudo_labels(p.select("event", "AF", "p"), "AF", 0.3, 0.5)
+    return models.pseudo_labels(p.select("event", "AF", "p"), "AF")
 
 
 @query()
@@ -65,8 +62,9 @@ def ensemble_chains(spark, sf_dir):
 
 @query()
 def frequency_class_chain(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    order = [label for group in models.label_classes(rows, LABELS) for label in group]
+    """A chain over all labels, in four classes of falling prevalence."""
+    rows = _rows(spark, sf_dir, ALL)
+    order = [label for group in models.label_classes(rows, ALL) for label in group]
     return models.chain(rows, FEATURES, order, K)
 
 
