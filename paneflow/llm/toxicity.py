@@ -160,19 +160,21 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
         # written first: a few small files, read one after the other, not a job for each partition of a shuffle
         states = space.table(rows.groupBy("shard").applyInArrow(_pass_from(state, prior), "state binary"), f"states{turn}")
         # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
-        sums = np.zeros((3, len(z)))
+        shards, sums = np.zeros(len(z), dtype=np.int32), np.zeros((2, len(z)))
         for (held,) in states.toLocalIterator():
-            at, z_new, n_new = np.frombuffer(zlib.decompress(held), dtype="<f4").reshape(3, -1)
-            at = at.astype(np.int64)
-            sums[0, at] += 1
-            sums[1, at] += z_new
-            sums[2, at] += n_new
-        met = np.flatnonzero(sums[0])
-        z[met], n[met] = sums[1:, met] / sums[0, met]
+            raw = zlib.decompress(held)
+            size = len(raw) // 12
+            at = np.frombuffer(raw, dtype="<f4", count=size).astype(np.int32)
+            shards[at] += 1
+            for k in (0, 1):
+                sums[k, at] += np.frombuffer(raw, dtype="<f4", count=size, offset=4 * size * (k + 1))
+            del held, raw, at
+        met = np.flatnonzero(shards)
+        z[met], n[met] = sums[0, met] / shards[met], sums[1, met] / shards[met]
+        del sums, shards, met
+        give_back()
         state.destroy()
         space.drop(f"states{turn}")
-    del sums
-    give_back()
     w = weights_of(z, n)[:-1]
     at = np.flatnonzero(w)
     return at, w[at], bias_of(z, n, prior)
