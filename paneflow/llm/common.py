@@ -132,12 +132,15 @@ def give_back() -> None:
         trim(0)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
-    """Row ranges of a batch with about ``limit`` bytes of text: (first, last, strings), null as empty."""
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, beside=0):
+    """Row ranges of a batch with about ``limit`` bytes of text: (first, last, strings), null as empty.
+
+    ``beside`` counts the bytes that each row brings besides its text.
+    """
     texts = pc.fill_null(batch.column(column), "")
     if texts.type != pa.large_string():
         texts = texts.cast(pa.large_string())
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False) + beside
     first, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > limit:

@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation (operator 3).
 
-Texts become tokens: runs of letters, and runs of digits (with inner points and
-commas). Two views are matched against the benchmark in windows of WINDOW
-tokens: the plain one (lower-cased tokens), and the template one, where numbers
-and number words, units, and names (capitalised inside a sentence) are replaced
-by typed placeholders. Template windows need at least LITERALS other tokens. Other
+Texts become tokens: runs of letters, and runs of ASCII digits (with inner points
+and commas); which characters are letters and capitals is Unicode's choice. Two
+views are matched against the benchmark in windows of WINDOW tokens: the plain one
+(lower-cased tokens), and the template one, where numbers and number words, units,
+and names (capitalised inside a sentence) are replaced by typed placeholders. The
+number words and units are those of all languages of the parameter ``words``,
+whatever a row's own language is, as items name none; a unit of one letter counts
+after a number only. Template windows need at least LITERALS other tokens. Other
 capitalised words (openers of texts, sentences and quotes) may be names or not:
 their windows are looked up in both forms, and two of them match as the same
 literal, or as names if the item's one stands for one value throughout. A run of
@@ -16,8 +19,8 @@ which half must match, any n / 2 + 1 contain one (template windows: a quarter, a
 openers may match in two forms); and in every stretch of RUN tokens one more, for
 verbatim runs. So windows that many items share, such as common phrases, are dealt
 by few. A sieve of fixed size holds back windows of the documents that no item is
-dealt by. Each document that has candidates is joined to their texts, and both are
-compared in full.
+dealt by. Each document that has candidates meets their texts as one list, or as
+several of at most ASKED_BYTES (and one item), and is compared with these in full.
 
 A pair is reported if in the plain view the document holds at least SHARE of the
 item's distinct windows or a verbatim run of RUN tokens of it, or in the template view along one alignment, or several
@@ -34,10 +37,13 @@ any names: ``clean`` carries a row as one struct. Empty tables give no pairs.
 from __future__ import annotations
 
 import bisect
+import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneflow.llm.common import Workspace, as_struct, join_checked, slot_counts, text_chunks
@@ -49,9 +55,29 @@ DRIFT, RUN = 8, 13
 SIEVE_BITS = 22
 _PLAIN, _TEMPLATE, _SHORT = (mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
 FOUND = ("item_id", "plain_share", "template_share", "slots", "changed_slots")
-# Words that count as numbers, and units.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split()
-UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces oz ton tons ml l liter liters litre litres gallon gallons second seconds sec s minute minutes min hour hours hr day days week weeks month months year years cent cents dollar dollars usd euro euros eur yen percent degree degrees celsius fahrenheit mph kmh hz khz mhz ghz kb mb gb tb watt watts kw volt volts".split()
+#: Item texts in one row beside a document's text.
+ASKED_BYTES = 1 << 18
+# Words that count as numbers, and units, by language. Words that are common words of
+# another of these languages are left out: ein, un, une, uno, una, once, seize, null, tag, an, mes, livre, media.
+WORDS = {
+    "en": (
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split(),
+        "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces oz ton tons ml l liter liters litre litres gallon gallons second seconds sec s minute minutes min hour hours hr day days week weeks month months year years cent cents dollar dollars usd euro euros eur yen percent degree degrees celsius fahrenheit mph kmh hz khz mhz ghz kb mb gb tb watt watts kw volt volts".split(),
+    ),
+    "de": (
+        "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden halb zweimal dreimal".split()
+        + [f"{one}und{ten}" for ten in "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split() for one in "ein zwei drei vier fünf sechs sieben acht neun".split()],
+        "millimeter zentimeter meter metern kilometer kilometern gramm kilo kilogramm pfund tonne tonnen liter litern milliliter sekunde sekunden minute minuten stunde stunden tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad cent euro".split(),
+    ),
+    "fr": (
+        "zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze vingt vingts trente quarante cinquante soixante mille million millions milliard milliards demi demie".split(),
+        "millimètre millimètres centimètre centimètres mètre mètres kilomètre kilomètres gramme grammes kilo kilos kilogramme kilogrammes tonne tonnes litre litres millilitre millilitres seconde secondes minute minutes heure heures jour jours semaine semaines mois ans année années degré degrés centime centimes euro euros".split(),
+    ),
+    "es": (
+        "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento cientos doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos mil millón millones".split(),
+        "milímetro milímetros centímetro centímetros metro metros kilómetro kilómetros gramo gramos kilo kilos kilogramo kilogramos libra libras tonelada toneladas litro litros mililitro mililitros segundo segundos minuto minutos hora horas día días semana semanas meses año años grado grados céntimo céntimos centavo centavos peso pesos euro euros".split(),
+    ),
+}
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -59,49 +85,109 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
 _INNER = np.zeros(256, dtype=bool)
 _INNER[[0x2C, 0x2E]] = True
-#: Bytes after which, and a space, a capital letter does not begin a sentence.
-_WITHIN = _LETTER | _DIGIT
+#: Bytes besides letters after which, and a space, a capital letter does not begin a sentence.
+_WITHIN = _DIGIT.copy()
 _WITHIN[[0x2C, 0x3B]] = True
 _SLOT = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65, 0x6E616D65], dtype=np.uint64)  # literal, number, unit, name, opener
 
 
-def _hashes(listed: list[str]) -> np.ndarray:
-    data, offs = buffers(pa.array(listed, pa.large_string()))
-    return np.sort(span_hash(data, offs[:-1], offs[1:]))
+#: What Unicode says of the characters of up to three bytes; combining marks belong to words.
+_CHARS = [chr(c) for c in range(1 << 16)]
+_WORD_CHAR = np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in _CHARS])
+_CAPITAL = np.array([c.isupper() or c.istitle() for c in _CHARS])
+#: Lower-cased characters of two bytes, where that is one such character again.
+_SMALL = np.array([ord(c.lower()) if len(c.lower()) == 1 and 0x80 <= ord(c.lower()) < 0x800 else ord(c) for c in _CHARS[:0x800]])
+
+
+def _decoded(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters that begin at some bytes, 0 for those of four bytes."""
+    first = raw[at].astype(np.int64)
+    follow = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) & 0x3F for k in (1, 2)]
+    two, three = (first & 0x1F) << 6 | follow[0], (first & 0x0F) << 12 | follow[0] << 6 | follow[1]
+    return np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, two, three], 0)
+
+
+def _lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes of the texts with A-Z and characters of two bytes lower-cased."""
+    out = LOWER[raw]
+    at = np.flatnonzero((raw >= 0xC3) & (raw < 0xE0))
+    if len(at):
+        char = _decoded(raw, at)
+        small = _SMALL[char]
+        at, small = at[small != char], small[small != char]
+        out[at], out[at + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
+    return out
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are of letters; characters of four bytes are."""
+    out = _LETTER[raw]
+    at = np.flatnonzero((raw >= 0xC2) & (raw < 0xF0))
+    if len(at):
+        other = at[~_WORD_CHAR[_decoded(raw, at)]]
+        out[other] = out[other + 1] = False
+        other = other[raw[other] >= 0xE0]
+        out[other + 2] = False
+    return out
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Sorted hashes of the words that count as numbers and as units, and the bytes of the longest."""
+
+    numbers: np.ndarray
+    units: np.ndarray
+    longest: int
+
+    @classmethod
+    def of(cls, words: dict[str, tuple[list[str], list[str]]]) -> Lexicon:
+        listed = [sorted({w for pair in words.values() for w in pair[k]}) for k in (0, 1)]
+        hashed = []
+        for some in listed:
+            data, offs = buffers(pa.array(some, pa.large_string()))
+            hashed.append(np.sort(span_hash(_lower(data), offs[:-1], offs[1:])))
+        return cls(*hashed, max((len(w.encode()) for some in listed for w in some), default=0))
 
 
 def _in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(x), dtype=bool)
     at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
     return sorted_keys[at] == x
 
 
-_NUMBER_HASH, _UNIT_HASH = _hashes(NUMBER_WORDS), _hashes(UNITS)
+LEXICON = Lexicon.of(WORDS)
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(texts: pa.Array, lexicon: Lexicon = LEXICON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each token, its slot type, first token of each row)."""
     raw, offs = buffers(texts)
-    digit, n = _DIGIT[raw], len(raw)
+    digit, letter, n = _DIGIT[raw], _letters(raw), len(raw)
     inner = np.flatnonzero(_INNER[raw])
     inner = inner[(inner > 0) & (inner < n - 1)]
     inner = inner[digit[inner - 1] & digit[inner + 1]]
     digit[inner] = True
-    (ls, le), (ds, de) = runs(_LETTER[raw], offs), runs(digit, offs)
+    (ls, le), (ds, de) = runs(letter, offs), runs(digit, offs)
     starts, ends = np.concatenate([ls, ds]), np.concatenate([le, de])
     kind = np.concatenate([np.zeros(len(ls), dtype=np.int8), np.ones(len(ds), dtype=np.int8)])
     order = np.argsort(starts, kind="stable")
     starts, ends, kind = starts[order], ends[order], kind[order]
-    h = span_hash(LOWER[raw], starts, ends)
+    h = span_hash(_lower(raw), starts, ends)
     bounds = np.searchsorted(starts, offs)
-    short = np.flatnonzero((kind == 0) & (ends - starts <= 10))
-    kind[short[_in(_NUMBER_HASH, h[short])]] = 1
-    kind[short[_in(_UNIT_HASH, h[short])]] = 2
-    upper = np.flatnonzero((kind == 0) & (raw[starts] >= 0x41) & (raw[starts] <= 0x5A)) if n else starts
+    short = np.flatnonzero((kind == 0) & (ends - starts <= lexicon.longest))
+    kind[short[_in(lexicon.numbers, h[short])]] = 1
+    kind[short[_in(lexicon.units, h[short])]] = 2
+    # a letter alone is a unit after a number of the same row only
+    alone = np.flatnonzero((kind == 2) & (ends - starts == 1))
+    kind[alone[np.isin(alone, bounds) | (kind[alone - 1] != 1)]] = 0
+    upper = np.flatnonzero(kind == 0)
+    if len(upper):
+        upper = upper[_CAPITAL[_decoded(raw, starts[upper])]]
     first = np.repeat(offs[:-1], np.diff(bounds))[upper]
     kind[upper] = 4
     upper = upper[starts[upper] - first >= 2]
     at = starts[upper]
-    kind[upper[(raw[at - 1] == 0x20) & _WITHIN[raw[at - 2]]]] = 3
+    kind[upper[(raw[at - 1] == 0x20) & (letter | _WITHIN[raw])[at - 2]]] = 3
     return h, kind, bounds
 
 
@@ -181,19 +267,25 @@ def _windows(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray, view: int) ->
 
 
 class Index:
-    """Windows of some items, by hash, in both views: compares texts with them in full."""
+    """Windows of some items, by hash, in both views: compares texts with them in full.
 
-    def __init__(self, item_ids: list, texts: list):
-        self.items = item_ids
-        self.h, self.kind, self.bounds = canonical(pa.array([t or "" for t in texts], pa.large_string()))
+    With ``rows`` each item is compared with the text of its row alone: the hashes of
+    its windows, and of the windows of that text, are changed by the row's own mark.
+    """
+
+    def __init__(self, item_ids: list, texts: list, rows: np.ndarray | None = None, lexicon: Lexicon = LEXICON):
+        self.items, self.lexicon, self.by_row = item_ids, lexicon, rows is not None
+        self.h, self.kind, self.bounds = canonical(pa.array([t or "" for t in texts], pa.large_string()), lexicon)
+        marks = self._marks(rows) if self.by_row else np.zeros(len(texts), dtype=np.uint64)
         self.template = collapse(self.h, self.kind, self.bounds)
         self.views = []
         for view in (0, 1, 2):
             tokens = self.template if view else (self.h, self.kind, self.bounds)
             keys, at = _windows(*tokens, view)
-            order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
             item = np.searchsorted(tokens[2], at, side="right") - 1
+            keys = keys ^ marks[item]
+            order = np.argsort(keys, kind="stable")
+            keys, at, item = keys[order], at[order], item[order]
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[keys >> np.uint64(44)] = True
             self.views.append((keys, at, item, sieve))
@@ -208,15 +300,24 @@ class Index:
         self.short = []
         for k in range(1, WINDOW):
             if len(some := np.flatnonzero(n == k)):
-                keys = combine(self.h, k)[self.bounds[some]]
+                keys = combine(self.h, k)[self.bounds[some]] ^ marks[some]
                 order = np.argsort(keys, kind="stable")
                 self.short.append((k, keys[order], some[order]))
 
+    @staticmethod
+    def _marks(rows: np.ndarray) -> np.ndarray:
+        return mix(rows.astype(np.uint64) + np.uint64(1))
+
+    def _own(self, w: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The hashes of windows of texts as those of the items that these rows are compared with."""
+        return w ^ self._marks(row) if self.by_row else w
+
     def _short(self, h, bounds, found) -> None:
         """The rows that hold a short item as a whole."""
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         for k, keys, item in self.short:
             w = combine(h, k)
+            w = self._own(w, row[: len(w)])
             p = np.flatnonzero(_in(keys, w) & (row[: len(w)] == row[k - 1 :])) if len(w) else np.zeros(0, dtype=np.int64)
             lo = np.searchsorted(keys, w[p], "left")
             n = np.searchsorted(keys, w[p], "right") - lo
@@ -228,6 +329,7 @@ class Index:
         """(token of the document, index entry) of all equal windows."""
         keys, at, item, sieve = self.views[view]
         w, p = _windows(h, kind, bounds, view)
+        w = self._own(w, np.searchsorted(bounds, p, side="right") - 1)
         some = np.flatnonzero(sieve[w >> np.uint64(44)])
         w, p = w[some], p[some]
         lo, hi = np.searchsorted(keys, w, "left"), np.searchsorted(keys, w, "right")
@@ -237,7 +339,7 @@ class Index:
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, float, float, int, int]]:
         """(row, item, plain share, template share, slots, changed slots) of the pairs to report."""
-        h, kind, bounds = canonical(texts)
+        h, kind, bounds = canonical(texts, self.lexicon)
         found: dict[tuple[int, int], list] = {}
         p, e = self._hits(h, kind, bounds, 0)
         if len(p):
@@ -347,9 +449,9 @@ def _slots(keys: np.ndarray, size: int) -> np.ndarray:
     return (keys >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def item_keys(text: str, counts: np.ndarray | None) -> np.ndarray:
+def item_keys(text: str, counts: np.ndarray | None, lexicon: Lexicon = LEXICON) -> np.ndarray:
     """The keys of an item; with ``counts`` of the slots of all items' keys, those by which it is dealt."""
-    h, kind, bounds = canonical(pa.array([text], pa.large_string()))
+    h, kind, bounds = canonical(pa.array([text], pa.large_string()), lexicon)
     if len(h) < WINDOW:
         return _plain(h, bounds, range(len(h), len(h) + 1))[0] if len(h) else h
     plain, _ = _plain(h, bounds, range(0))
@@ -383,24 +485,24 @@ def _items(benchmark: DataFrame, space: Workspace, item_col: str, text_col: str)
     return space.table(rows.withColumn("number", F.monotonically_increasing_id()), "items")
 
 
-def _dealt(items: DataFrame, space: Workspace) -> DataFrame:
+def _dealt(items: DataFrame, space: Workspace, lexicon: Lexicon) -> DataFrame:
     """The written (key, number): the windows by which each item is dealt."""
     size = 1 << SIEVE_BITS
-    counts = slot_counts(items.select("text"), lambda batch: (_slots(np.unique(item_keys(t, None)), size) for t in batch.column("text").to_pylist()), SIEVE_BITS)
+    counts = slot_counts(items.select("text"), lambda batch: (_slots(np.unique(item_keys(t, None, lexicon)), size) for t in batch.column("text").to_pylist()), SIEVE_BITS)
     held = space.spark.sparkContext.broadcast(counts)
 
     def task(batches):
         for batch in batches:
-            keys = [item_keys(t, held.value) for t in batch.column("text").to_pylist()]
+            keys = [item_keys(t, held.value, lexicon) for t in batch.column("text").to_pylist()]
             numbers = np.repeat(batch.column("number").to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)), "number": pa.array(numbers, pa.int64())})
 
     return space.table(items.select("number", "text").mapInArrow(task, "key long, number long"), "dealt")
 
 
-def candidates(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, space: Workspace, lexicon: Lexicon = LEXICON) -> DataFrame:
     """The written (doc_id, mark, number): documents of ``docs`` (doc_id, mark, text) and items that share a window by which the item is dealt."""
-    dealt = _dealt(items, space)
+    dealt = _dealt(items, space, lexicon)
     size = 1 << SIEVE_BITS
     sieve = slot_counts(dealt, lambda batch: [_slots(batch.column("key").to_numpy().view(np.uint64), size)], SIEVE_BITS) > 0
     held = space.spark.sparkContext.broadcast(sieve)
@@ -408,7 +510,7 @@ def candidates(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame
     def task(batches):
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                h, kind, bounds = canonical(texts)
+                h, kind, bounds = canonical(texts, lexicon)
                 short = collapse(h, kind, bounds)
                 found = []
                 for keys, at, ends in ((*_plain(h, bounds, range(1, WINDOW)), bounds), (*_template(*short, False), short[2])):
@@ -426,29 +528,43 @@ def _same_row(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id2"]) & (left["mark"] == right["mark2"])
 
 
-def _find(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+def _asked(pairs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
+    """The written (doc_id2, mark2, asked): the (item, text) that each document is compared with, in lists of at most ASKED_BYTES and one item."""
+    each = pairs.join(items.hint("merge"), "number")
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("doc_id", "mark").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    listed = each.withColumn("part", F.floor((upto - F.octet_length("text")) / ASKED_BYTES)).groupBy("doc_id", "mark", "part").agg(F.collect_list(F.struct("item", "text")).alias("asked"))
+    return space.table(listed.select(F.col("doc_id").alias("doc_id2"), F.col("mark").alias("mark2"), "asked"), "asked")
+
+
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of each member of some lists."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, words: dict) -> DataFrame:
     """The reported pairs of ``docs`` (doc_id, mark, text), with ``mark``."""
-    space = Workspace(docs.sparkSession, "decontaminate")
+    space, lexicon = Workspace(docs.sparkSession, "decontaminate"), Lexicon.of(words)
     items = _items(benchmark, space, item_col, item_text)
-    pairs = candidates(docs, items, space)
+    pairs = candidates(docs, items, space, lexicon)
+    asked = _asked(pairs, items, space)
     # keys alone may be broadcast; texts meet by a shuffle, of the documents with candidates only
-    asked = pairs.groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
-    asked = space.table(asked.withColumnsRenamed({"doc_id": "doc_id2", "mark": "mark2"}), "asked")
-    rows = join_checked(docs, asked, _same_row(docs, asked)).select("doc_id", "mark", "text", F.explode("numbers").alias("number"))
-    rows = rows.join(items.withColumnRenamed("text", "item_text").hint("merge"), "number").select("doc_id", "mark", "text", "number", "item", "item_text")
+    keys = asked.select("doc_id2", "mark2").distinct()
+    some = join_checked(docs, keys, _same_row(docs, keys), "left_semi")
+    rows = some.join(asked.hint("merge"), _same_row(some, asked)).select("doc_id", "mark", "text", "asked")
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
 
     def task(batches):
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text"):
+            row = _rows_of(batch.column("asked"))
+            size = pc.binary_length(pc.list_flatten(batch.column("asked")).field("text")).to_numpy(zero_copy_only=False)
+            for first, last, texts in text_chunks(batch, "text", beside=np.bincount(row, size, batch.num_rows).astype(np.int64)):
                 part = batch.slice(first, last - first)
-                wanted = part.column("number").to_pylist()
-                every = dict(zip(wanted, part.column("item_text").to_pylist(), strict=True))
-                index = Index(list(every), list(every.values()))
-                if found := [(r, *x) for r, i, *x in index.find(texts) if index.items[i] == wanted[r]]:
-                    row, *rest = map(list, zip(*found, strict=True))
-                    ids = part.select(["doc_id", "mark", "item"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "mark", *FOUND])
+                listed, row = pc.list_flatten(part.column("asked")), _rows_of(part.column("asked"))
+                index = Index(listed.field("item").to_pylist(), listed.field("text").to_pylist(), row, lexicon)
+                if found := index.find(texts):
+                    row, item, *rest = map(list, zip(*found, strict=True))
+                    ids = part.select(["doc_id", "mark"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*ids.columns, listed.field("item").take(pa.array(item)), pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2], pa.int32()), pa.array(rest[3], pa.int32())], names=["doc_id", "mark", *FOUND])
 
     return rows.mapInArrow(task, f"doc_id {kinds[0]}, mark long, item_id {kinds[1]}, plain_share double, template_share double, slots int, changed_slots int")
 
@@ -457,14 +573,17 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *more)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The reported pairs: doc_id, item_id, plain_share, template_share, slots, changed_slots."""
-    return _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text).drop("mark")
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: dict = WORDS) -> DataFrame:
+    """The reported pairs: doc_id, item_id, plain_share, template_share, slots, changed_slots.
+
+    ``words`` has the number words and the units of each language, lower-cased.
+    """
+    return _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text, words).drop("mark")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", words: dict = WORDS) -> DataFrame:
     """``docs`` without the rows that hold an item of the benchmark."""
-    found = _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text).select(F.col("doc_id").alias("doc_id2"), F.col("mark").alias("mark2")).distinct()
+    found = _find(_marked(docs, id_col, text_col), benchmark, item_col, item_text, words).select(F.col("doc_id").alias("doc_id2"), F.col("mark").alias("mark2")).distinct()
     gone = Workspace(docs.sparkSession, "contaminated").table(found, "rows")
     rows = _marked(docs, id_col, text_col, as_struct(docs).alias("row")).drop("text")
     return join_checked(rows, gone, _same_row(rows, gone), "left_anti").select("row.*")

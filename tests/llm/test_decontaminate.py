@@ -130,3 +130,60 @@ def test_internal_names_as_extra_columns(spark):
     held = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
     kept = decontaminate.clean(docs, held)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "clean", *names)] * 2 + [(None, None, *names)], key=str)
+
+
+TONGUES = {
+    "en": ("Yesterday the baker sold twelve loaves and five pounds of butter to Natalia before he closed, and later asked whether she could bring seven more baskets", {"twelve": "31", "five": "ninety", "pounds": "kilograms", "Natalia": "Émile", "seven": "two"}),
+    "de": ("gestern verkaufte ihm die bäckerin zwölf brote und fünfundzwanzig Gramm butter, worauf Natalia später fragte ob sie noch sieben körbe kirschen bringen könne", {"zwölf": "31", "fünfundzwanzig": "drei", "Gramm": "Pfund", "Natalia": "Özlem", "sieben": "achtzig"}),
+    "fr": ("hier le boulanger vendait douze pains et cinq kilos de beurre avant la fermeture, puis demandait si, selon Natalia, on pouvait apporter sept paniers de cerises", {"douze": "31", "cinq": "quatorze", "kilos": "grammes", "Natalia": "Émile", "sept": "vingt"}),
+    "es": ("ayer el panadero vendió doce panes y cinco kilos de mantequilla antes del cierre, y luego preguntó si, según Natalia, se podían traer siete cestas de cerezas", {"doce": "31", "cinco": "veintidós", "kilos": "gramos", "Natalia": "Ángel", "siete": "treinta"}),
+}
+
+
+def test_reparameterised_items_of_four_languages(spark):
+    texts, items = [], []
+    for i, (item, values) in enumerate(TONGUES.values()):
+        items.append((i, item))
+        for old, new in values.items():
+            item = item.replace(old, new)
+        texts.append(f"so {item} and so on")
+    docs, held = tables(spark, texts, items)
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs, held).collect()}
+    assert sorted(found) == [(i, i) for i in range(4)]
+    assert all(r.template_share == 1.0 and r.changed_slots == 5 for r in found.values())
+    # without the words of the other three languages their numbers and units stay literals
+    less = {(r.doc_id, r.item_id): r.template_share for r in decontaminate.find(docs, held, words={"en": decontaminate.WORDS["en"]}).collect()}
+    assert less[0, 0] == 1.0 and all(less.get((i, i), 0) < 1.0 for i in (1, 2, 3))
+
+
+def test_letters_and_capitals_of_unicode():
+    texts = pa.array(["«École» — ¿Ñandú? “ÜBER l’été” 3,5", "école ñandú über l été 3,5", "x Émile y, Ωmega Ж \U0001d400b", "ab\u0301c", "5 m", "m 5", ""], pa.large_string())
+    h, kind, bounds = decontaminate.canonical(texts)
+    assert bounds.tolist() == [0, 6, 12, 18, 19, 21, 23, 23]
+    assert (h[:6] == h[6:12]).all()
+    assert kind[:6].tolist() == [4, 4, 4, 0, 0, 1] and kind[12:18].tolist() == [0, 3, 0, 3, 3, 0]
+    # a letter is a unit after a number only
+    assert kind[19:].tolist() == [1, 2, 0, 1]
+
+
+def test_rows_meet_their_own_items_alone():
+    """Items given by row report what each text compared with its items by itself reports."""
+    texts = [ITEM + " and " + OTHER, OTHER, BROKEN, "alone", ITEM]
+    asked = [(0, ITEM), (0, NAMED), (0, "alone"), (1, OTHER), (2, ITEM), (3, "alone"), (3, ITEM), (4, NAMED), (4, OTHER)]
+    index = decontaminate.Index([f"{r}:{k}" for k, (r, _) in enumerate(asked)], [t for _, t in asked], decontaminate.np.array([r for r, _ in asked]))
+    got = [(r, index.items[i], *x) for r, i, *x in index.find(pa.array(texts, pa.large_string()))]
+    want = []
+    for r, text in enumerate(texts):
+        own = [k for k, (row, _) in enumerate(asked) if row == r]
+        alone = decontaminate.Index([f"{r}:{k}" for k in own], [asked[k][1] for k in own])
+        want += [(r, alone.items[i], *x) for _, i, *x in alone.find(pa.array([text], pa.large_string()))]
+    assert got == want and {r for r, *_ in got} == {0, 1, 3, 4}
+
+
+def test_long_lists_come_in_parts(spark, monkeypatch):
+    items = [(i, ITEM if i % 2 else OTHER) for i in range(40)]
+    docs, held = tables(spark, [ITEM, ITEM, "clean", None], items)
+    whole = sorted(map(tuple, decontaminate.find(docs, held).collect()))
+    assert len(whole) == 80
+    monkeypatch.setattr(decontaminate, "ASKED_BYTES", 300)
+    assert sorted(map(tuple, decontaminate.find(docs, held).collect())) == whole
