@@ -83,6 +83,9 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
+#: First bytes of capitals, and of all characters of two or three bytes.
+_MAY_BE_CAPITAL = np.zeros(256, dtype=bool)
+_MAY_BE_CAPITAL[[*range(0x41, 0x5B), *range(0xC2, 0xF0)]] = True
 _INNER = np.zeros(256, dtype=bool)
 _INNER[[0x2C, 0x2E]] = True
 #: Bytes besides letters after which, and a space, a capital letter does not begin a sentence.
@@ -92,17 +95,16 @@ _SLOT = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65, 0x6E616D65], dtype=np.uin
 
 
 #: What Unicode says of the characters of up to three bytes; combining marks belong to words.
-_CHARS = [chr(c) for c in range(1 << 16)]
-_WORD_CHAR = np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in _CHARS])
-_CAPITAL = np.array([c.isupper() or c.istitle() for c in _CHARS])
+_WORD_CHAR = np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(1 << 16)), dtype=bool, count=1 << 16)
+_CAPITAL = np.fromiter((chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)), dtype=bool, count=1 << 16)
 #: Lower-cased characters of two bytes, where that is one such character again.
-_SMALL = np.array([ord(c.lower()) if len(c.lower()) == 1 and 0x80 <= ord(c.lower()) < 0x800 else ord(c) for c in _CHARS[:0x800]])
+_SMALL = np.array([ord(c.lower()) if len(c.lower()) == 1 and 0x80 <= ord(c.lower()) < 0x800 else ord(c) for c in map(chr, range(0x800))])
 
 
 def _decoded(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The characters that begin at some bytes, 0 for those of four bytes."""
-    first = raw[at].astype(np.int64)
-    follow = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) & 0x3F for k in (1, 2)]
+    first = raw[at].astype(np.int32)
+    follow = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int32) & 0x3F for k in (1, 2)]
     two, three = (first & 0x1F) << 6 | follow[0], (first & 0x0F) << 12 | follow[0] << 6 | follow[1]
     return np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, two, three], 0)
 
@@ -180,7 +182,7 @@ def canonical(texts: pa.Array, lexicon: Lexicon = LEXICON) -> tuple[np.ndarray,
     # a letter alone is a unit after a number of the same row only
     alone = np.flatnonzero((kind == 2) & (ends - starts == 1))
     kind[alone[np.isin(alone, bounds) | (kind[alone - 1] != 1)]] = 0
-    upper = np.flatnonzero(kind == 0)
+    upper = np.flatnonzero((kind == 0) & _MAY_BE_CAPITAL[raw[starts]]) if n else starts
     if len(upper):
         upper = upper[_CAPITAL[_decoded(raw, starts[upper])]]
     first = np.repeat(offs[:-1], np.diff(bounds))[upper]
