@@ -64,14 +64,19 @@ def run_flags(history: DataFrame, run: str, epoch: str, metric: str, tail: float
 
 
 def group_codes(rows: DataFrame, group: str, label: str, fold: str, smooth: float = 20.0) -> DataFrame:
-    """``rows`` with ``p``: the smoothed mean of a group's label over the rows of other folds; the overall mean where there are none."""
+    """``rows`` with ``p``: the smoothed mean of a group's label over the rows of other folds; the overall mean where there are none.
+
+    ``p`` has six digits, so groups that differ by less tie in a ranking.
+    """
     own = rows.groupBy(group, fold).agg(F.count(label).alias("n"), F.sum(label).alias("s"))
     whole = own.groupBy(group).agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"))
     totals = own.groupBy(fold).agg(F.sum("n").alias("n_fold"), F.sum("s").alias("s_fold"))
     every = own.agg(F.sum("n")).scalar(), own.agg(F.sum("s")).scalar()
-    mean = (every[1] - F.col("s_fold")).cast("double") / (every[0] - F.col("n_fold"))
+    prior = F.lit(smooth) * (every[1] - F.col("s_fold")).cast("double") / (every[0] - F.col("n_fold"))
     n, s = F.col("n_all") - F.col("n"), F.col("s_all") - F.col("s")
-    codes = own.join(whole, group).join(F.broadcast(totals), fold).select(group, fold, ((s + F.lit(smooth) * mean) / (n + F.lit(smooth))).alias("p"))
+    # as SQL engines round: the product to the nearest whole number, halves away from zero
+    code = F.round((s + prior) / (n + F.lit(smooth)) * F.lit(1e6)) / F.lit(1e6)
+    codes = own.join(whole, group).join(F.broadcast(totals), fold).select(group, fold, code.alias("p"))
     return rows.join(codes, [group, fold])
 
 

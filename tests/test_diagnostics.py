@@ -2,9 +2,11 @@ import itertools
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from paneflow.operators import diagnostics, features, folds, graph, models, quantiles
 from paneflow.sources import sinks
 
@@ -30,6 +32,30 @@ def test_signed_rank_p_by_enumeration(spark):
     assert diagnostics.signed_rank_p(spark.createDataFrame([(1.0, 0.0)] * 3, "a double, b double"), "a", "b").first().p is None
 
 
+def test_group_codes_tie_at_six_digits(spark):
+    # per group and fold (rows, positives): unrounded, the codes of a and b in fold 0 differ by some 1e-9
+    counts = {"a": ((3, 1), (1000, 333)), "b": ((2, 0), (2000, 666)), "c": ((4, 2), (3, 1))}
+    rows = [(g, f, int(i < s)) for g, x in counts.items() for f, (n, s) in enumerate(x) for i in range(n)]
+    got = {(r.g, r.f): r.p for r in diagnostics.group_codes(spark.createDataFrame(rows, "g string, f int, y int"), "g", "y", "f").distinct().collect()}
+    for g, x in counts.items():
+        for f in (0, 1):
+            n, s = x[1 - f]
+            mean = sum(c[1 - f][1] for c in counts.values()) / sum(c[1 - f][0] for c in counts.values())
+            assert got[g, f] == round((s + 20 * mean) / (n + 20), 6)
+    assert got["a", 0] == got["b", 0]
+
+
+def test_pseudo_replicates_equal_sql_on_more_rows(spark):
+    """On this table ties of rounded codes move the AUC."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("customer", "orders", "lineitem", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()["pseudo_replicate_leak"]).fetchall()
+    assert [tuple(r) for r in entry.queries()["pseudo_replicate_leak"](spark, folder).collect()] == want
+
+
 def test_quantiles_of_skewed_groups(spark):
     rng = random.Random(1)
     rows = [("a", float(rng.randrange(2000)) ** 2 / 7) for _ in range(3000)] + [("b", 1.0)] * 500 + [("b", 2.0)] * 501 + [("c", 5.0)] + [("d", float(x)) for x in (1, 2, 3, 10)]
