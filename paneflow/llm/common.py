@@ -67,11 +67,12 @@ class Workspace:
         fs.create_dir(path, recursive=True)
         return f"{self.path}/{name}"
 
-    def drop(self, name: str) -> None:
-        """Delete a table or folder that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables or folders that no later step reads."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def as_struct(df: DataFrame) -> Column:

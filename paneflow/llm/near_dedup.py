@@ -257,6 +257,7 @@ def _across(texts: DataFrame, known: DataFrame, space: Workspace, percent: int,
     main = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     main = space.table(main.select("key", F.col("main.comp").alias("main")), "main")
     keyed = space.table(join_checked(keyed, main, "key"), "meeting")
+    space.drop("keyed", "main")
     other = keyed.select("key", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "place", "side", "comp", "main")))
     need = -F.floor(-percent * (F.col("n") + F.col("n2")) / (100 + percent))
     room = 1 + F.least(F.col("n") - 1 - F.col("place"), F.col("n2") - 1 - F.col("place2"))
@@ -298,11 +299,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = space.table(classes, "classes")
     # a class is named by a 64-bit hash of its digest where pairs are formed
     shapes = some.drop("doc_id", "mark").withColumnRenamed("n_shingles", "n").join(classes.hint("merge"), ["k", "first"]).dropDuplicates(["k", "first"])
-    shapes = space.table(shapes.withColumn("c", F.xxhash64("k")), "shapes")
+    shapes = space.table(shapes.withColumn("c", F.xxhash64("k")), "whole-shapes")
+    # tables go as soon as no later step reads them, and with them sketches and bands, most of the bytes
+    signed = space.table(signed.select("doc_id", "mark", "n_shingles", "k"), "rows")
+    space.drop("signed", "classes")
 
     banded = shapes.select("c", F.explode("bands").alias("v"))
     shared = space.table(banded.groupBy("v").count().where("count > 1").select("v"), "shared")
     members = space.table(join_checked(banded, shared, "v"), "members")
+    shapes = space.table(shapes.drop("bands"), "shapes")
+    space.drop("shared", "whole-shapes")
     turn = F.xxhash64("c", F.lit(SEED))
     buckets = members.groupBy("v").agg(F.count("*").alias("rows"), F.min(F.struct(turn.alias("turn"), "c")).alias("leader"))
     buckets = space.table(buckets.select("v", "rows", F.col("leader.c").alias("leader")), "buckets")
@@ -313,11 +319,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     hubs = space.table(hubs.select("v", F.col("hub.c").alias("hub")), "hubs")
     to = led.select("c", F.col("leader").alias("to")).unionAll(join_checked(members, hubs, "v").select("c", F.col("hub").alias("to")))
     stars = space.table(to.where(F.col("c") != F.col("to")).select(*_ordered(F.col("c"), F.col("to"))).distinct(), "stars")
+    space.drop("buckets", "led", "central", "hubs")
     verify = _Verifier(space, docs, shapes, percent, n)
     likely = verify.likely(stars, "stars")
     texts = verify.texts(likely.select(F.col("a").alias("c")).unionAll(likely.select(F.col("b").alias("c"))), "stars")
     edges = verify.exact(likely, texts, "stars")
-    space.drop("texts-stars")
+    space.drop("texts-stars", "need-stars", "likely-stars")
     comps = components(edges, space, "first")
 
     # classes of buckets that still hold several components
@@ -326,17 +333,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     mixed = placed.groupBy("v").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("v")
     known = join_checked(placed, space.table(mixed, "mixed"), "v").select("c", "comp").distinct()
     known = space.table(known, "known")
+    space.drop("members", "placed", "mixed")
     texts = verify.texts(known.select("c"), "across")
     cross = space.table(_across(texts, known, space, percent, n).join(stars, ["a", "b"], "left_anti"), "cross")
+    space.drop("meeting", "stars", "known")
     edges = space.table(edges.unionAll(verify.exact(verify.likely(cross, "cross"), texts, "cross")), "edges")
-    space.drop("texts-across")
+    space.drop("texts-across", "need-across", "cross", "likely-cross", "edges-stars", "edges-cross")
     comps = components(edges, space, "second")
 
     whole = shapes.select("k", "c", "low").join(comps.withColumnRenamed("k", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     whole = space.table(whole.select("k", "low", "comp"), "whole")
+    space.drop("shapes")
     low = space.table(whole.groupBy("comp").agg(F.min("low").alias("component_id")), "low")
     ids = space.table(join_checked(whole, low, "comp").select("k", "component_id"), "ids")
-    rows = join_checked(signed.select("doc_id", "mark", "n_shingles", "k"), ids, "k", "left")
+    space.drop("whole", "low")
+    rows = join_checked(signed, ids, "k", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "mark")
 

@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -129,3 +130,20 @@ def test_internal_names_as_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id long, text string").select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
     kept = near_dedup.keep_one(docs, 2)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", *names), (3, None, *names)]
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark, sf_dir, monkeypatch):
+    spaces = []
+
+    class Noted(near_dedup.Workspace):
+        def __init__(self, *args):
+            super().__init__(*args)
+            spaces.append(self)
+
+    monkeypatch.setattr(near_dedup, "Workspace", Noted)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = near_dedup.near_duplicates(docs, 2)
+    left = {p.name for p in Path(spaces[0].path.removeprefix("file:").replace("//", "/")).iterdir()}
+    # components keep the few rows of their rounds
+    assert {x for x in left if not x.startswith(("first-", "second-"))} == {"rows", "ids", "edges"}
+    assert found.count() == docs.count()
