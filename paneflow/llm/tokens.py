@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneflow.llm.common import CHUNK_BYTES, Workspace, text_chunks
-from paneflow.llm.wordhash import buffers, row_of
+from paneflow.llm.wordhash import buffers
 
 #: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
-MEMO_BYTES = 40 << 20
+MEMO_BYTES = 8 << 20
 #: Characters of the longest piece that is remembered, and of the text that is cut into pieces at a time.
 SHORT, SEGMENT = 64, 1 << 20
 #: Bytes of one remembered piece besides its characters and ids.
@@ -145,30 +145,46 @@ class Encoder:
         cut[n] = False
         white = white_space(data)
         if n > 2:
-            mark = np.flatnonzero((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) + 1
-            mark = mark[~white[mark - 1] & ~white[mark + 1] & ~cut[mark] & ~cut[mark + 1]]
-            cut[mark] = True
-            cut[mark[data[mark] == 0x0A] + 1] = True
-        starts = np.flatnonzero(cut)
-        bounds = np.searchsorted(starts, offs)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            inner, feed = data[1:-1], data[1:-1] == 0x0A
+            mark = inner == 0x20
+            mark |= feed
+            for beside in (white[:-2], white[2:], cut[1 : n - 1], cut[2:n]):
+                mark &= ~beside
+            cut[1 : n - 1] |= mark
+            feed &= mark
+            cut[2:n] |= feed
+            del inner, feed, mark
+        at = np.append(np.flatnonzero(cut), n)
+        starts = at[:-1]
+        last = np.searchsorted(starts, offs[1:]) + np.arange(rows)  # the place of each row's end id among the pieces
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
-        first = np.zeros(len(distinct), dtype=np.int64)
-        first[index[::-1]] = np.arange(len(index))[::-1]  # the last written is the first piece of its kind
-        inside = np.concatenate(([0], np.cumsum(white)))
+        first = np.zeros(len(distinct), dtype=np.int32)
+        first[index[::-1]] = np.arange(len(index), dtype=np.int32)[::-1]  # the last written is the first piece of its kind
         led = data[starts[first]] == 0x20 if n else np.zeros(0, dtype=bool)
-        whole = inside[np.append(starts, n)[first + 1]] - inside[starts[first]] == led
-        known = self._known(distinct, whole & (np.append(starts, n)[first + 1] - starts[first] > led), led)
+        spaces = np.add.reduceat(white, starts, dtype=np.int32)[first] if n else first
+        whole = (spaces == led) & (at[first + 1] - at[first] > led)
+        del cut, white, at, starts, pieces, first, spaces
+        known = self._known(distinct, whole, led)
+        del distinct
         sizes = np.append(np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize, 1)
         pool = np.append(np.frombuffer(b"".join(known), dtype=self.kind), self.kind.type(self.end_id))
         # the pieces of each row and then its end, as numbers of what is in the pool
-        turn = np.full(len(starts) + rows, len(known), dtype=np.int64)
-        turn[np.arange(len(starts)) + row_of(bounds)] = index
-        size = sizes[turn]
-        ends = np.cumsum(size)
-        from_ = (np.cumsum(sizes) - sizes)[turn] - (ends - size)
-        ids = pool[np.repeat(from_, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[bounds[1:] + np.arange(rows)]
+        turn = np.full(len(index) + rows, len(known), dtype=np.int32)
+        own = np.ones(len(turn), dtype=bool)
+        own[last] = False
+        turn[own] = index
+        del known, own
+        total = int(sizes[turn].sum())
+        kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+        size = sizes.astype(kind)[turn]
+        ends = np.cumsum(size, dtype=kind)
+        from_ = (np.cumsum(sizes) - sizes).astype(kind)[turn]
+        from_ += size
+        from_ -= ends
+        place = np.repeat(from_, size)
+        place += np.arange(total, dtype=kind)
+        return pool[place], ends[last].astype(np.int64)
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`_rows`; a row of over SEGMENT bytes is encoded part by part."""
@@ -211,7 +227,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         stem = f"{root}/part-{part:06d}-{context.taskAttemptId()}"
         out, ends, valid, ids, at = None, [0], [], [], 0
         for batch in batches:
-            for first, last, texts in text_chunks(batch, "text", 8 * CHUNK_BYTES):
+            for first, last, texts in text_chunks(batch, "text", 4 * CHUNK_BYTES):
                 if out is None:
                     out = fs.open_output_stream(f"{stem}.bin")
                 got, where = encode.arrays(texts)

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from paneflow.llm import tokens
 from paneflow.llm.queries import byte_bpe
@@ -64,3 +66,17 @@ def test_memory_of_pieces_is_bounded(model, monkeypatch):
         assert np.frombuffer(encode([text])[0], encode.kind).tolist() == [*model.encode(text, add_special_tokens=False).ids, 2]
     assert max(map(len, encode.young)) <= tokens.SHORT
     assert len(encode.young) + len(encode.old) < 800
+
+
+def test_memory_of_a_batch_is_a_small_multiple_of_its_text():
+    rng = np.random.default_rng(9)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5_000, 500)) for _ in range(1_500)], pa.large_string())
+    encode = tokens.Encoder(byte_bpe(), 2)
+    want = encode.arrays(texts)[0]
+    tracemalloc.start()
+    try:
+        got = encode.arrays(texts)[0]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got, want) and most < 16 * texts.nbytes
