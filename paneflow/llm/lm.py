@@ -9,11 +9,13 @@ which costs no backoff. A document's score is the sum of the logarithms.
 The steps are a count table, a join and a sum, on packed rows:
 
 1. One pass writes the texts as *blocks* of about BLOCK_BYTES: the distinct words'
-   64-bit hashes, and the text as places among them. Nothing later reads a text.
+   64-bit hashes, and the text as places among them, frequent words first, then
+   by hash, so that places and differences of hashes are small numbers and compress. Nothing later reads a text.
 2. Each block sends every distinct n-gram that it has, with its count, to one of
    many partitions by ranges of the n-gram's hash. An n-gram is sent once per
    block, however often it occurs, so none makes a partition hot.
-3. A partition adds the counts up and answers each block, in the same order.
+3. A partition adds the counts up and answers each block, in the same order. The
+   answers go straight to the blocks; they are not written as a table before.
 4. A block joined to its answers knows the counts at each of its words, and sums
    the scores per document.
 
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneflow.llm.common import Workspace, text_chunks
+from paneflow.llm.common import Workspace, give_back, text_chunks
 from paneflow.llm.wordhash import combine, row_of, words
 
 LEAST, BACKOFF, ORDER = 2, 0.4, 2
@@ -47,14 +49,14 @@ PER_PART = 3_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers by planes of bytes, so that the exchange's compression finds the empty ones."""
+    """How many whole numbers, then these by planes of bytes, compressed."""
     wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(wide.T).tobytes()
+    return len(wide).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(wide.T), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    planes = pa.decompress(packed[8:], decompressed_size=8 * int.from_bytes(packed[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -66,10 +68,14 @@ def blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text", limit):
                 h, bounds = words(texts)
-                vocab, places = np.unique(h, return_inverse=True)
+                vocab, places, times = np.unique(h, return_inverse=True, return_counts=True)
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                vocab, places = vocab[order], rank[places]
                 ids = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), batch.column("doc_id").slice(first, last - first))
                 sizes = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), pa.array(np.diff(bounds), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([n]), ids, sizes, pa.array([vocab.tobytes()]), pa.array([places.astype("<i4").tobytes()])], names=["block", "ids", "sizes", "vocab", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), ids, sizes, pa.array([pack(np.diff(vocab, prepend=np.uint64(0)))]), pa.array([pack(places)])], names=["block", "ids", "sizes", "vocab", "places"])
                 n += 1
 
     return rows.mapInArrow(task, f"block long, ids array<{dict(rows.dtypes)['doc_id']}>, sizes array<long>, vocab binary, places binary")
@@ -77,7 +83,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def ngrams(vocab: bytes, places: bytes, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per length 1 ... order: (last words of the n-grams inside texts, their hashes)."""
-    h = np.frombuffer(vocab, dtype=np.uint64)[np.frombuffer(places, dtype="<i4")]
+    h = np.cumsum(unpack(vocab), dtype=np.uint64)[unpack(places)]  # differences modulo 2**64
     row, out = row_of(np.concatenate([[0], np.cumsum(sizes)])), []
     for n in range(1, order + 1):
         inside = np.flatnonzero(row[: max(0, len(h) - n + 1)] == row[n - 1 :])
@@ -104,6 +110,20 @@ def _asked(held: DataFrame, parts: int, order: int, counted: bool, answered: boo
     return held.select("block", "sizes", "vocab", "places").mapInArrow(task, "part int, block long, n int, grams binary, counts binary")
 
 
+def totals(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each of ``grams``, sorted runs one after the other, the sum of the counts of all that equal it."""
+    order = np.argsort(grams, kind="stable")
+    ordered = grams[order]
+    new = np.ones(len(grams), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+    out = np.empty(len(grams), dtype=np.int64)
+    out[order] = np.repeat(total, np.diff(starts, append=len(grams)))
+    return out
+
+
 def _answers(asked: DataFrame, parts: int) -> DataFrame:
     """(part, block, n, counts): the counts over all blocks, for each block in the order of its n-grams."""
 
@@ -111,15 +131,18 @@ def _answers(asked: DataFrame, parts: int) -> DataFrame:
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
             for part, block, n, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "n", "grams", "counts")), strict=True):
-                held.setdefault((part, n), []).append((block, np.cumsum(unpack(grams), dtype=np.uint64), unpack(counts)))
-        for (part, n), found in sorted(held.items()):
-            _, at = np.unique(np.concatenate([g for _, g, _ in found]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([c for _, _, c in found]))  # below 2**53, so exact
-            end = 0
-            for block, grams, _ in found:
-                begin, end = end, end + len(grams)
+                held.setdefault((part, n), []).append((block, np.cumsum(unpack(grams), dtype=np.uint64), unpack(counts).astype(np.uint32)))  # a block has fewer than 2**32 words
+        for part, n in sorted(held):
+            found = held.pop((part, n))
+            listed, cuts = [b for b, _, _ in found], np.cumsum([0, *(len(g) for _, g, _ in found)])
+            grams, counts = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+            del found
+            told = totals(grams, counts)
+            for block, begin, end in zip(listed, cuts[:-1], cuts[1:], strict=True):
                 if block is not None:
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "n": pa.array([n], pa.int32()), "counts": [pack(total[at[begin:end]])]})
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int64()), "n": pa.array([n], pa.int32()), "counts": [pack(told[begin:end])]})
+            del grams, counts, told
+            give_back()
 
     return asked.repartitionById(parts, "part").mapInArrow(task, "part int, block long, n int, counts binary")
 
@@ -152,7 +175,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     asked = _asked(held, parts, order, corpus is None, True)
     if corpus is not None:
         asked = asked.unionAll(_asked(model, parts, order, True, False))
-    answers = space.table(_answers(asked, parts), "answers")
+    answers = _answers(asked, parts)
 
     def sums(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]

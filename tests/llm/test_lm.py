@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 from math import isclose, log
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -85,3 +86,18 @@ def test_words_that_share_half_a_hash(spark):
     same = np.flatnonzero(top[order][1:] == top[order][:-1])
     one, two = next((listed[order[k]], listed[order[k + 1]]) for k in same if h[order[k]] != h[order[k + 1]])
     check(spark, [(1, f"{one} x {one} y {one}"), (2, f"z {two}"), (3, f"{one} x"), (4, f"{two} x")])
+
+
+def test_places_take_few_bytes_and_answers_are_not_written(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words, size = lm.blocks(docs.select("doc_id", "text")).select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum(F.length("places"))).first()
+    assert words > 10_000 and size < 2 * words
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("lm-*/*"))
+    lm.score(docs).count()
+    assert [x.name for x in set(root.glob("lm-*/*")) - before] == ["blocks"]
+
+
+def test_totals_of_sorted_runs():
+    got = lm.totals(np.array([1, 5, 9, 2, 5, 5], dtype=np.uint64), np.array([3, 1, 1 << 31, 2, 4, 1 << 31], dtype=np.uint32))
+    assert got.tolist() == [3, 5 + (1 << 31), 1 << 31, 2, 5 + (1 << 31), 5 + (1 << 31)] and len(lm.totals(np.zeros(0, np.uint64), np.zeros(0, np.uint32))) == 0
