@@ -107,13 +107,13 @@ def session_conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a written table ``right``: broadcast if it has at most ``limit`` rows, else shuffled.
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """Join a written table ``right``: broadcast if it has at most ``limit`` rows (counted unless ``rows`` says it), else shuffled.
 
     The shuffled way leaves both exchanges directly below the join, so that
     adaptive execution can split a key that holds much of ``left``.
     """
-    n = right.count()
+    n = right.count() if rows is None else rows
     return left.join(F.broadcast(right) if n <= limit else right.hint("merge"), on, how)
 
 

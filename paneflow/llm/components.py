@@ -20,17 +20,18 @@ def components(edges: DataFrame, space: Workspace, name: str = "components") ->
     while True:
         both = edges.select(F.col("a").alias("k"), "b").unionAll(edges.select(F.col("b").alias("k"), F.col("a").alias("b")))
         near = space.table(both.groupBy("k").agg(F.least("k", F.min("b")).alias("to")), f"{name}-near{turn}")
+        nodes = near.count()  # of ends too
         onward = near.select(F.col("k").alias("to"), F.col("to").alias("end"))
-        ends = space.table(join_checked(near, onward, "to").select("k", "end"), f"{name}-ends{turn}")
+        ends = space.table(join_checked(near, onward, "to", rows=nodes).select("k", "end"), f"{name}-ends{turn}")
         if labels is None:
             labels = ends.withColumnRenamed("end", "comp")
         else:
-            moved = join_checked(labels, ends.select(F.col("k").alias("comp"), "end"), "comp", "left")
+            moved = join_checked(labels, ends.select(F.col("k").alias("comp"), "end"), "comp", "left", rows=nodes)
             labels = space.table(moved.select("k", F.coalesce("end", "comp").alias("comp")), f"{name}-labels{turn}")
-        drawn = join_checked(edges.select("a", "b"), ends.select(F.col("k").alias("a"), F.col("end").alias("x")), "a")
-        drawn = join_checked(drawn, ends.select(F.col("k").alias("b"), F.col("end").alias("y")), "b")
+        drawn = join_checked(edges.select("a", "b"), ends.select(F.col("k").alias("a"), F.col("end").alias("x")), "a", rows=nodes)
+        drawn = join_checked(drawn, ends.select(F.col("k").alias("b"), F.col("end").alias("y")), "b", rows=nodes)
         drawn = drawn.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = space.table(drawn.select(F.col("a").cast(kind), F.col("b").cast(kind)), f"{name}-edges{turn}")
         turn += 1
-        if not edges.limit(1).count():
+        if edges.isEmpty():
             return labels

@@ -268,6 +268,20 @@ def _across(texts: DataFrame, known: DataFrame, space: Workspace, percent: int,
     return minor.unionAll(major).select(*_ordered(F.col("c"), F.col("c2"))).distinct()
 
 
+def _merged(fresh: DataFrame, known: DataFrame, space: Workspace) -> DataFrame | None:
+    """(comp, end): what the components that the written edges ``fresh`` touch become by them; None without edges.
+
+    ``known`` has (c, comp) of every class in an edge. Only components that met are joined anew, not all edges again.
+    """
+    if fresh.isEmpty():
+        return None
+    nodes = known.count()
+    drawn = join_checked(fresh, known.select(F.col("c").alias("a"), F.col("comp").alias("x")), "a", rows=nodes)
+    drawn = join_checked(drawn, known.select(F.col("c").alias("b"), F.col("comp").alias("y")), "b", rows=nodes)
+    edges = space.table(drawn.select(*_ordered(F.col("x"), F.col("y"))).where("a <> b").distinct(), "met")
+    return components(edges, space, "second").select(F.col("k").alias("comp"), F.col("comp").alias("end"))
+
+
 class _Verifier:
     """Steps 3 and 4 for one table of pairs after the other."""
 
@@ -331,17 +345,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     placed = members.join(comps.withColumnRenamed("k", "c"), "c", "left").select("v", "c", F.coalesce("comp", "c").alias("comp"))
     placed = space.table(placed, "placed")
     mixed = placed.groupBy("v").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("v")
-    known = join_checked(placed, space.table(mixed, "mixed"), "v").select("c", "comp").distinct()
-    known = space.table(known, "known")
-    space.drop("members", "placed", "mixed")
-    texts = verify.texts(known.select("c"), "across")
-    cross = space.table(_across(texts, known, space, percent, n).join(stars, ["a", "b"], "left_anti"), "cross")
-    space.drop("meeting", "stars", "known")
-    edges = space.table(edges.unionAll(verify.exact(verify.likely(cross, "cross"), texts, "cross")), "edges")
-    space.drop("texts-across", "need-across", "cross", "likely-cross", "edges-stars", "edges-cross")
-    comps = components(edges, space, "second")
+    mixed = space.table(mixed, "mixed")
+    n_mixed, merged = mixed.count(), None
+    if n_mixed:
+        known = join_checked(placed, mixed, "v", rows=n_mixed).select("c", "comp").distinct()
+        known = space.table(known, "known")
+        space.drop("members", "placed", "mixed")
+        texts = verify.texts(known.select("c"), "across")
+        cross = space.table(_across(texts, known, space, percent, n).join(stars, ["a", "b"], "left_anti"), "cross")
+        space.drop("meeting")
+        if not cross.isEmpty():
+            fresh = verify.exact(verify.likely(cross, "cross"), texts, "cross")
+            merged = _merged(fresh, known, space)
+        space.drop("texts-across", "need-across", "known", "cross", "likely-cross", "edges-cross")
+    space.drop("members", "placed", "mixed", "stars", "edges-stars")
 
     whole = shapes.select("k", "c", "low").join(comps.withColumnRenamed("k", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    if merged is not None:
+        whole = join_checked(whole, merged, "comp", "left").withColumn("comp", F.coalesce("end", "comp"))
     whole = space.table(whole.select("k", "low", "comp"), "whole")
     space.drop("shapes")
     low = space.table(whole.groupBy("comp").agg(F.min("low").alias("component_id")), "low")

@@ -160,24 +160,27 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
         # written first: a few small files, read one after the other, not a job for each partition of a shuffle
         states = space.table(rows.groupBy("shard").applyInArrow(_pass_from(state, prior), "state binary"), f"states{turn}")
         # one row a shard, each at most 2**BITS + 1 coordinates: bounded whatever the documents are
-        shards, sums = np.zeros(len(z), dtype=np.int32), np.zeros((2, len(z)))
+        # the arrays are broadcast as they were; here they become the sums, so that the driver holds no others
+        shards = np.zeros(len(z), dtype=np.int32)
         for (held,) in states.toLocalIterator():
             raw = zlib.decompress(held)
             size = len(raw) // 12
             at = np.frombuffer(raw, dtype="<f4", count=size).astype(np.int32)
+            fresh = shards[at] == 0
+            for k, total in enumerate((z, n), 1):
+                total[at[fresh]] = 0.0
+                total[at] += np.frombuffer(raw, dtype="<f4", count=size, offset=4 * size * k)
             shards[at] += 1
-            for k in (0, 1):
-                sums[k, at] += np.frombuffer(raw, dtype="<f4", count=size, offset=4 * size * (k + 1))
-            del held, raw, at
-        met = np.flatnonzero(shards)
-        z[met], n[met] = sums[0, met] / shards[met], sums[1, met] / shards[met]
-        del sums, shards, met
+            del held, raw, at, fresh
+        np.maximum(shards, 1, out=shards)
+        z /= shards
+        n /= shards
+        del shards
         give_back()
         state.destroy()
         space.drop(f"states{turn}")
-    w = weights_of(z, n)[:-1]
-    at = np.flatnonzero(w)
-    return at, w[at], bias_of(z, n, prior)
+    at = np.flatnonzero(np.abs(z[:-1]) > L1)
+    return at, weights_of(z[at], n[at]), bias_of(z, n, prior)
 
 
 def score_rows(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

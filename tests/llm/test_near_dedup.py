@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paneflow.llm import near_dedup
+from paneflow.llm import common, near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,3 +147,22 @@ def test_only_what_the_result_reads_stays_on_disk(spark, sf_dir, monkeypatch):
     # components keep the few rows of their rounds
     assert {x for x in left if not x.startswith(("first-", "second-"))} == {"rows", "ids", "edges"}
     assert found.count() == docs.count()
+
+
+def test_a_small_table_takes_few_jobs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.sparkContext.setJobGroup("few-jobs", "near duplicates of a small table")
+    try:
+        near_dedup.near_duplicates(docs, n=5)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 110  # 124 when every joined table was counted and all edges were linked twice
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_that_new_edges_join(spark, tmp_path):
+    space = common.Workspace(spark, "merged-test")
+    known = space.table(spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 5), (8, 8), (9, 9)], "c long, comp long"), "known")
+    fresh = space.table(spark.createDataFrame([(2, 4), (3, 7), (8, 9)], "a long, b long"), "fresh")
+    got = {(r.comp, r.end) for r in near_dedup._merged(fresh, known, space).collect()}
+    assert got == {(1, 1), (3, 1), (5, 1), (8, 8), (9, 8)}
+    assert near_dedup._merged(space.table(fresh.limit(0), "none"), known, space) is None
