@@ -37,6 +37,8 @@ BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 PER_SHARD, ROUNDS, MAX_TRAIN, SEED = 4_000, 4, 16_000, 5
 THRESHOLD = 0.3
+#: Marks that a task remembers, so as to give a repeated row once.
+_SEEN = 1 << 16
 _KINDS = ((0, 0x51ED270B), (1, 0x2545F491), (2, 0x6C8E9CF5))
 
 
@@ -93,7 +95,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(mark, y, at): labelled, not held-out rows with their coordinates, of about MAX_TRAIN ids at most."""
+    """(mark, y, at): labelled, not held-out rows with their coordinates, of about MAX_TRAIN ids at most.
+
+    Of rows with one mark (id and text) a task gives one, and :func:`learn` gets one: no aggregate needs to sort coordinates.
+    """
     key, mark = F.col(id_col), F.xxhash64(F.col("key"), F.lit(SEED))
     known = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.max("y").alias("y"))
@@ -104,14 +109,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known), "key")
 
     def task(batches):
+        seen: set[int] = set()
         for batch in batches:
+            fresh = [mark not in seen and not seen.add(mark) for mark in batch.column("mark").to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            if len(seen) > _SEEN:
+                seen.clear()
             for first, last, texts in text_chunks(batch, "text"):
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_pydict({"mark": part.column("mark"), "y": part.column("y"), "at": pa.array([pack(x) for x in row_features(texts)], pa.binary())})
 
-    found = rows.select(mark.alias("mark"), "y", "text").mapInArrow(task, "mark long, y int, at binary")
-    # repeated rows are one; coordinates, not texts, are shuffled
-    return found.groupBy("mark").agg(F.max("y").alias("y"), F.first("at").alias("at"))
+    return rows.select(mark.alias("mark"), "y", "text").mapInArrow(task, "mark long, y int, at binary")
 
 
 def pack(at: np.ndarray) -> bytes:
@@ -123,13 +131,21 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype="<u4"), dtype=np.int64)
 
 
+def once(group: pa.Table) -> pa.Table:
+    """The first of the rows with equal marks, which stand together."""
+    marks = group.column("mark").to_numpy()
+    fresh = np.ones(len(marks), dtype=bool)
+    np.not_equal(marks[1:], marks[:-1], out=fresh[1:])
+    return group.filter(pa.array(fresh))
+
+
 def _pass_from(state, prior: float):
     """One pass over a shard's rows from the broadcast state; the coordinates that it met."""
 
     def one_pass(group: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value)
         before = n.copy()
-        group = group.sort_by("mark")
+        group = once(group.sort_by("mark"))
         # one row's coordinates at a time
         learn(z, n, (unpack(x.as_py()) for x in group.column("at")), group.column("y").to_numpy(), prior)
         met = np.flatnonzero(n != before)  # 2**BITS at most, so exact as a 32-bit float too
@@ -148,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, **names) -> tuple[np.ndarray, np.n
     spark = docs.sparkSession
     space = Workspace(spark, "toxicity")
     rows = space.table(sample(docs, labels, **names), "sample")
-    n_rows, n_toxic = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n_rows, n_toxic = rows.groupBy("mark").agg(F.max("y").alias("y")).agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if n_toxic in (0, n_rows):
         share = n_toxic / n_rows if n_rows else 0.5
         return np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6)))

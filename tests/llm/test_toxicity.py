@@ -96,6 +96,19 @@ def test_odd_rows_and_one_class(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).collect() == []
 
 
+def test_repeated_rows_are_learned_from_once_without_sorting_coordinates(spark):
+    docs = spark.createDataFrame([(i % 40, f"w{i % 40} a b c") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels)
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    assert len(rows) <= len({r.mark for r in rows}) * docs.rdd.getNumPartitions()
+    once = toxicity.once(pa.table({"mark": [1, 1, 2, 5, 5], "y": [0, 0, 1, 1, 1]}))
+    assert once.column("mark").to_pylist() == [1, 2, 5] and toxicity.once(once.slice(0, 0)).num_rows == 0
+    many, single = toxicity.train(docs, labels), toxicity.train(docs.distinct(), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(many, single, strict=True))
+
+
 def test_the_driver_holds_one_pair_of_state_arrays(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     tracemalloc.start()
