@@ -279,7 +279,9 @@ def _merged(fresh: DataFrame, known: DataFrame, space: Workspace) -> DataFrame |
     drawn = join_checked(fresh, known.select(F.col("c").alias("a"), F.col("comp").alias("x")), "a", rows=nodes)
     drawn = join_checked(drawn, known.select(F.col("c").alias("b"), F.col("comp").alias("y")), "b", rows=nodes)
     edges = space.table(drawn.select(*_ordered(F.col("x"), F.col("y"))).where("a <> b").distinct(), "met")
-    return components(edges, space, "second").select(F.col("k").alias("comp"), F.col("comp").alias("end"))
+    ends = components(edges, space, "second")
+    space.drop("met")
+    return ends.select(F.col("k").alias("comp"), F.col("comp").alias("end"))
 
 
 class _Verifier:
@@ -299,7 +301,7 @@ class _Verifier:
 
     def exact(self, likely: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         with session_conf(self.space.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}):
-            return self.space.table(_exact_test(likely, texts, self.percent, self.n), f"edges-{name}")
+            return self.space.table(_exact_test(likely, texts, self.percent, self.n), name)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +339,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     verify = _Verifier(space, docs, shapes, percent, n)
     likely = verify.likely(stars, "stars")
     texts = verify.texts(likely.select(F.col("a").alias("c")).unionAll(likely.select(F.col("b").alias("c"))), "stars")
-    edges = verify.exact(likely, texts, "stars")
+    edges = verify.exact(likely, texts, "edges")
     space.drop("texts-stars", "need-stars", "likely-stars")
     comps = components(edges, space, "first")
 
@@ -355,10 +357,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         cross = space.table(_across(texts, known, space, percent, n).join(stars, ["a", "b"], "left_anti"), "cross")
         space.drop("meeting")
         if not cross.isEmpty():
-            fresh = verify.exact(verify.likely(cross, "cross"), texts, "cross")
+            fresh = verify.exact(verify.likely(cross, "cross"), texts, "edges-cross")
             merged = _merged(fresh, known, space)
         space.drop("texts-across", "need-across", "known", "cross", "likely-cross", "edges-cross")
-    space.drop("members", "placed", "mixed", "stars", "edges-stars")
+    space.drop("members", "placed", "mixed", "stars")
 
     whole = shapes.select("k", "c", "low").join(comps.withColumnRenamed("k", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     if merged is not None:
