@@ -35,14 +35,16 @@ SEED = 20
 #: What may be left of a source's quota, as a share of it.
 TOLERANCE = 0.001
 _CUTS = "array<struct<after:bigint,upto:bigint,fits:bigint>>"
+#: The last mark: a source whose passes came so far is done.
+_END = (1 << 63) - 1
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
-    """``sources`` (weight, source_size) with ``target``.
+def water_fill(sources: DataFrame, max_epochs: float, total: float | None = None) -> DataFrame:
+    """``sources`` (weight, source_size) with ``target``; ``total`` is the sum of their sizes, if it is known.
 
     Each round is one aggregate over the sources: those whose share reaches the
     cap are clamped for good, and the level for the others rises. No more rounds
@@ -50,7 +52,8 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     """
     capped = sources.withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
     ratio = F.col("cap") / F.col("weight")
-    total = float(capped.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    if total is None:
+        total = float(capped.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level = 0.0
     while True:
         held, weight = capped.agg(
@@ -64,18 +67,22 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return capped.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight"))).drop("cap")
 
 
-def _placed(sources: DataFrame, space: Workspace) -> DataFrame:
-    """The written ``sources`` with ``place``, their rank by code point, null last: ranges are ranked apart, and the ranges' sizes are summed."""
+def _placed(sources: DataFrame, space: Workspace) -> tuple[DataFrame, int, int]:
+    """``sources`` with ``place``, their rank by code point, null last; how many they are, and their size.
+
+    Ranges are ranked apart, and the ranges' counts are summed.
+    """
     low = F.col("_source").isNull()
     # the upper bits of this id are the partition, the lower 33 the place inside it
     ranged = sources.repartitionByRange(low, "_source").sortWithinPartitions(low, "_source").withColumn("_at", F.monotonically_increasing_id())
     ranged = space.table(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33))
-    base, at = {}, 0
-    for r in sorted(ranged.groupBy("_part").count().collect(), key=lambda r: r._part):  # one row per partition
-        base[r._part], at = at, at + r["count"]
+    base, at, total = {}, 0, 0
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("rows"), F.sum("source_size").alias("size"))
+    for r in sorted(parts.collect(), key=lambda r: r._part):  # one row per partition
+        base[r._part], at, total = at, at + r.rows, total + r["size"]
     bases = space.spark.createDataFrame([*base.items()], "_part long, _base long")
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(bases), "_part").withColumn("place", F.col("_base") + inside).drop("_part", "_base", "_at")
+    return ranged.join(F.broadcast(bases), "_part").withColumn("place", F.col("_base") + inside).drop("_part", "_base", "_at"), at, total
 
 
 def _bin(level: int) -> Column:
@@ -83,63 +90,67 @@ def _bin(level: int) -> Column:
     return F.shiftrightunsigned(F.col("_mark").bitwiseXOR(F.lit(-(1 << 63))), 64 - level * BIN_BITS)
 
 
-def _cut(fitting: DataFrame, quotas: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """(_source, upto, past, got) of the ``fitting`` documents (_source, _size, _mark) and the written ``quotas`` (_source, left).
+def _going() -> Column:
+    """Sources whose quota has something left, and documents that were not looked at."""
+    return (F.col("left") > 0) & (F.col("left") > TOLERANCE * F.col("_quota")) & (F.coalesce("after", F.lit(0)) < _END)
+
+
+def _fitting(rows: DataFrame, state: DataFrame, n: int, level: int) -> DataFrame:
+    """The documents that fit into what is left of their source's quota, behind its last cut; after the first ``level`` in the bin of its edge alone."""
+    going = state.where(_going()).select("_source", "left", "after", *(["below", "edge"] if level else [F.lit(0).cast("long").alias("below")]))
+    behind = F.col("after").isNull() | (F.col("_mark") > F.col("after"))
+    found = _by_source(rows, going, n).where(behind & (F.col("_size") > 0) & (F.col("_size") <= F.col("left")))
+    return found.where(_bin(level) == F.col("edge")) if level else found
 
-    Those up to the mark ``upto`` (null: none) stay within ``left`` and sum up to ``got``; ``past`` is the first that does not fit.
+
+def _pass(rows: DataFrame, state: DataFrame, n: int, space: Workspace, turn: int) -> DataFrame:
+    """The written ``state`` of the ``n`` sources after one more pass over the written ``rows``.
+
+    A source's edge is the bin in which its quota is passed, ``below`` the size of what comes before it; without
+    an edge all that fits is taken. Each step of a pass is one written table with a row per source.
     """
-    open_, done, level = quotas.select("_source", "left", F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("edge")), None, 0
-    rows = fitting
+    level, held = 0, state.withColumns({"every": F.lit(None).cast("long"), "crowd": F.lit(None).cast("long")})
     while True:
         level += 1
-        bins = rows.groupBy("_source", _bin(level).alias("bin")).agg(F.sum("_size").alias("held"), F.count("*").alias("rows"))
+        bins = _fitting(rows, held, n, level - 1).groupBy("_source", "left", "below", _bin(level).alias("bin")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
         run = Window.partitionBy("_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = _by_source(space.table(bins, f"{name}-bins{level}").withColumn("sum", F.sum("held").over(run)), open_)
-        bins = bins.withColumn("sum", F.col("sum") + F.col("below"))
-        # the bin in which the quota is passed; without one all that fits is taken
-        edges = bins.where((F.col("sum") > F.col("left")) & (F.col("sum") - F.col("held") <= F.col("left")))
-        edges = space.table(edges.select("_source", "left", (F.col("sum") - F.col("held")).alias("below"), F.col("bin").alias("edge"), "rows"), f"{name}-edges{level}")
-        most = edges.agg(F.max("rows")).first()[0]
-        open_ = edges.drop("rows")
-        if most is None or most <= BIN_ROWS or (level + 1) * BIN_BITS > 63:
+        bins = bins.withColumn("sum", F.col("below") + F.sum("size").over(run)).withColumn("before", F.col("sum") - F.col("size"))
+        passed = (F.col("sum") > F.col("left")) & (F.col("before") <= F.col("left"))
+        ends = bins.groupBy("_source").agg(F.max("sum").alias("_sum"), F.max(F.when(passed, F.struct("before", "bin", "rows"))).alias("_at"))
+        edge = [F.coalesce("_sum", "every").alias("every"), F.col("_at.before").alias("below"), F.col("_at.bin").alias("edge"), F.col("_at.rows").alias("crowd")]
+        held = space.table(_by_source(held, ends, n, "left").select(*state.columns, *edge), f"edges{turn}-{level}")
+        if (level + 1) * BIN_BITS > 63 or held.where(F.col("crowd") > BIN_ROWS).isEmpty():
             break
-        rows = _by_source(fitting, open_.select("_source", "edge")).where(_bin(level) == F.col("edge")).drop("edge")
     ordered = Window.partitionBy("_source").orderBy("_mark").rangeBetween(Window.unboundedPreceding, 0)
-    inside = _by_source(fitting, open_).where(_bin(level) == F.col("edge")).withColumn("sum", F.col("below") + F.sum("_size").over(ordered))
+    inside = _fitting(rows, held, n, level).withColumn("sum", F.col("below") + F.sum("_size").over(ordered))
     fits = F.col("sum") <= F.col("left")
     inside = inside.groupBy("_source").agg(F.max(F.when(fits, F.col("_mark"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("most"), F.min(F.when(~fits, F.col("_mark"))).alias("past"))
-    inside = space.table(inside, f"{name}-inside")
     # below the edge everything is taken: up to the last mark of the bin before it
-    first = F.shiftleft(F.col("edge"), 64 - level * BIN_BITS).bitwiseXOR(F.lit(-(1 << 63)))
-    cut = _by_source(open_, inside).select("_source", F.coalesce("last", F.when(F.col("edge") > 0, first - 1)).alias("upto"), "past", F.coalesce("most", "below").alias("got"))
-    whole = _by_source(_by_source(quotas.select("_source"), open_.select("_source"), "left_anti"), space.table(fitting.groupBy("_source").agg(F.sum("_size").alias("got")), f"{name}-whole"))
-    end = F.lit((1 << 63) - 1)
-    return space.table(cut.unionByName(whole.select("_source", end.alias("upto"), end.alias("past"), "got")), name)
+    first, cut = F.shiftleft(F.col("edge"), 64 - level * BIN_BITS).bitwiseXOR(F.lit(-(1 << 63))), F.col("edge").isNotNull()
+    upto = F.when(cut, F.coalesce("last", F.when(F.col("edge") > 0, first - 1))).when(F.col("every").isNotNull(), F.lit(_END))
+    got = F.when(cut, F.coalesce("most", "below")).otherwise(F.coalesce("every", F.lit(0)))
+    taken = F.when(upto.isNotNull(), F.array_append("_cuts", F.struct("after", upto.alias("upto"), F.col("left").alias("fits")))).otherwise(F.col("_cuts"))
+    # a source in which nothing fits is done too
+    new = {"left": F.col("left") - got, "after": F.coalesce("past", F.lit(_END)), "_cuts": taken.cast(_CUTS)}
+    return space.table(_by_source(held, inside, n, "left").withColumns(new).select(*state.columns), f"state{turn}")
 
 
-def _source_plan(rows: DataFrame, space: Workspace, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
-    """One written row per source of the written rows (_source, _size, _mark), with ``_cuts``: what each pass takes."""
+def _source_plan(rows: DataFrame, space: Workspace, max_epochs: float, weights: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """One written row per source of the written rows (_source, _size, _mark), with ``_cuts``: what each pass takes. And how many they are."""
     sums = space.table(rows.groupBy("_source").agg(F.sum("_size").alias("source_size")), "sums")
     listed = F.array(*map(F.lit, weights))
-    sources = _placed(sums, space).withColumn("weight", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
-    sources = water_fill(space.table(sources, "weights"), max_epochs)
+    sources, n, total = _placed(sums, space)
+    sources = sources.withColumn("weight", F.element_at(listed, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    sources = water_fill(space.table(sources, "weights"), max_epochs, float(total))
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     quota = F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))
-    sources = space.table(sources.withColumn("_whole", F.floor(ratio + 1e-9)).withColumn("_quota", quota), "targets")
-    state = sources.select("_source", "_quota", F.floor("_quota").alias("left"), F.lit(None).cast("long").alias("after"), F.array().cast(_CUTS).alias("_cuts"))
-    state, turn = space.table(state, "state0"), 0
-    while True:
+    sources = sources.drop("weight").withColumn("_whole", F.floor(ratio + 1e-9)).withColumn("_quota", quota)
+    state = space.table(sources.select("*", F.floor("_quota").alias("left"), F.lit(None).cast("long").alias("after"), F.array().cast(_CUTS).alias("_cuts")), "state0")
+    turn = 0
+    while not state.where(_going()).isEmpty():
         turn += 1
-        going = state.where((F.col("left") > 0) & (F.col("left") > TOLERANCE * F.col("_quota")) & (F.coalesce("after", F.lit(0)) < (1 << 63) - 1))
-        behind = F.col("after").isNull() | (F.col("_mark") > F.col("after"))
-        fitting = _by_source(rows, going.select("_source", "left", "after")).where(behind & (F.col("_size") > 0) & (F.col("_size") <= F.col("left"))).select("_source", "_size", "_mark")
-        cuts = _cut(fitting, going.select("_source", "left"), space, f"cut{turn}")
-        if not cuts.limit(1).count():
-            return _by_source(sources.drop("weight", "_quota"), state.select("_source", "_cuts"))
-        new = F.struct("after", "upto", F.col("left").alias("fits"))
-        state = _by_source(state, cuts, "left").withColumn("_cuts", F.when(F.col("upto").isNotNull(), F.array_append("_cuts", new)).otherwise(F.col("_cuts")))
-        state = state.withColumn("left", F.col("left") - F.coalesce("got", F.lit(0))).withColumn("after", F.coalesce("past", F.lit((1 << 63) - 1)))
-        state = space.table(state.drop("upto", "past", "got"), f"state{turn}")
+        state = _pass(rows, state, n, space, turn)
+    return state.drop("_quota", "left", "after"), n
 
 
 def _extra() -> Column:
@@ -149,10 +160,10 @@ def _extra() -> Column:
     return (taken & (F.col("_size") > 0)).cast("long")
 
 
-def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join the few columns of a written table by source, null with null."""
+def _by_source(left: DataFrame, right: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """Join the few columns of a table with at most ``n`` sources by source, null with null."""
     right = right.withColumnRenamed("_source", "_source2")
-    return join_checked(left, right, F.col("_source").eqNullSafe(F.col("_source2")), how).drop("_source2")
+    return join_checked(left, right, F.col("_source").eqNullSafe(F.col("_source2")), how, rows=n).drop("_source2")
 
 
 def mixed_rows(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -163,8 +174,8 @@ def mixed_rows(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED, id_co
     space = Workspace(docs.sparkSession, "mix")
     marked = docs.withColumn("_source", F.col(source_col)).withColumn("_size", word_count(F.col(text_col))).withColumn("_mark", F.xxhash64(id_col, "_size", F.lit(seed)))
     rows = space.table(marked.select("_source", "_size", "_mark"), "sizes")
-    plan = _source_plan(rows, space, max_epochs, weights)
-    return _by_source(marked, plan).withColumn("_extra", _extra()).withColumn("_whole", F.when(F.col("_size") > 0, F.col("_whole")).otherwise(0)).drop("_cuts")
+    plan, n = _source_plan(rows, space, max_epochs, weights)
+    return _by_source(marked, plan, n).withColumn("_extra", _extra()).withColumn("_whole", F.when(F.col("_size") > 0, F.col("_whole")).otherwise(0)).drop("_cuts")
 
 
 def mix_plan(docs: DataFrame, max_epochs: float = 3.0, **names) -> DataFrame:

@@ -71,3 +71,13 @@ def test_many_sources_are_ranked_by_code_point(spark):
 def test_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 5, "w")], SCHEMA).withColumn("target", F.lit("mine"))
     assert mixing.mix(docs).columns == docs.columns
+
+
+def test_a_mix_takes_few_jobs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.sparkContext.setJobGroup("few-jobs-of-a-mix", "the mix of a small table")
+    try:
+        mixing.mix_plan(docs)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs-of-a-mix")) < 100  # about 200 when every small table of a pass was counted and broadcast by itself
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
