@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches of the text passes: at most so many bytes and rows (see small_batches).
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+#: Rows that a Parquet reader decodes at a time.
+READER_ROWS = 512
 #: A table of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Text bytes that one numpy pass works on.
@@ -81,10 +83,12 @@ def as_struct(df: DataFrame) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_BYTES and BATCH_ROWS where they are larger, and leave it so.
+    """Lower the session's Arrow batches to BATCH_BYTES and BATCH_ROWS and its Parquet batches to READER_ROWS where they are larger, and leave it so.
 
     What the operators return runs later, under the settings of that time; a batch of
     64 MB, Spark's default, is held several times by each task and its Python worker.
+    A Parquet reader holds the texts of a batch as one array and doubles it as it grows:
+    with Spark's 4,096 rows tens of MB in each task, on the heap.
     """
     prefix = "spark.sql.execution.arrow."
     held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(prefix + "maxBytesPerBatch"))
@@ -92,6 +96,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(prefix + "maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get(prefix + "maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(prefix + "maxRecordsPerBatch", str(BATCH_ROWS))
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(reader)) > READER_ROWS:
+        spark.conf.set(reader, str(READER_ROWS))
 
 
 @contextlib.contextmanager

@@ -38,3 +38,10 @@ def test_run_is_the_stages_and_empty_tables_pass(spark, sf_dir, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_a_reader_holds_few_texts(spark, sf_dir):
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(reader)
+    corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert int(spark.conf.get(reader)) <= 512  # 4,096 by Spark
