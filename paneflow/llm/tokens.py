@@ -23,9 +23,11 @@ import os
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,17 +36,22 @@ from pyspark.sql import functions as F
 from paneflow.llm.common import CHUNK_BYTES, Workspace, text_chunks
 from paneflow.llm.wordhash import buffers
 
-#: Bytes of pieces and ids that a worker process remembers from task to task, about; twice that at most.
-MEMO_BYTES = 8 << 20
+#: Bytes of pieces and ids that a worker process remembers from task to task, at most; what of a piece's use still counts a batch later.
+MEMO_BYTES, FADING = 8 << 20, np.float32(0.9)
 #: Characters of the longest piece that is remembered, and of the text that is cut into pieces at a time.
 SHORT, SEGMENT = 64, 1 << 20
-#: Bytes of one remembered piece besides its characters and ids.
-_OVERHEAD = 200
+#: Bytes of one remembered piece besides its characters and ids, with its place in the dictionary of a batch.
+_OVERHEAD = 40
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 # The bytes that are white space, and the longer forms of white space in UTF-8.
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_KIND = np.zeros(256, dtype=np.uint8)
+for _signs, _kind in ((range(0x21, 0x7F), 3), (range(0x30, 0x3A), 2), (range(0x41, 0x5B), 1), (range(0x61, 0x7B), 1)):
+    _KIND[[*_signs]] = _kind
 _LONG_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(bytes([0xE2, 0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: A line feed behind a piece, and what stands between the two.
+_FEED = (pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
 MANIFEST = "part int, path string, documents long, tokens long"
 
 
@@ -69,18 +76,41 @@ def white_space(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each byte of UTF-8 is to the byte behind it and to the one before it: 1 of a letter, 2 a digit, 3 a sign, 0 unsaid.
+
+    An apostrophe is a sign to the byte before it and unsaid to the one behind. Letters beyond ASCII are those up to U+017F.
+    """
+    left, right = _KIND[data], _KIND[data]
+    left[data == 0x27] = 0
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] | 0x20) != 0xB7)]  # the signs of multiplication and division
+    left[lead + 1] = right[lead] = 1
+    return left, right
+
+
+def _places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of ``counts`` ids each from ``first`` on, one after the other; ``first`` is written over."""
+    first += counts
+    first -= np.cumsum(counts, dtype=counts.dtype)
+    place = np.repeat(first, counts)
+    place += np.arange(len(place), dtype=place.dtype)
+    return place
+
+
 class Encoder:
     """Ids of whole texts, through a tokenizers file.
 
     A byte-level pre-tokenizer always starts a piece at a single space between two other
     characters, and around a single line feed between two others, none of them white space
-    of any kind. Texts are cut there, the cuts of many texts at once, and each distinct piece
-    is encoded once. Two generations of short pieces are kept: when the younger one is full, it
-    becomes the older one, so frequent pieces stay.
+    of any kind; by its own pattern also where letters, digits and signs meet, but behind an
+    apostrophe. Texts are cut there, the cuts of many texts at once, and each distinct piece
+    is encoded once. The short pieces that were used most and latest are remembered, as arrays.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
@@ -88,103 +118,144 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end_id = end_id
         # a token's bytes: a character each in the byte-level alphabet, but added tokens are plain text
-        added = {i: len(t.content.encode()) for i, t in self.model.get_added_tokens_decoder().items()}
+        added = self.model.get_added_tokens_decoder()
+        contents = {i: t.content.encode() for i, t in added.items()}
+        self.added = sorted(set(contents.values()) - {b""})
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
-            self.sizes[i] = added.get(i, len(token))
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
-
-    def _joined(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces that are pieces of their joined text too: that is encoded at once, and dealt by the tokens' bytes."""
-        text = b"".join(pieces).decode()
-        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
-        ends, reached = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))), np.cumsum(self.sizes[ids])
-        cuts = np.searchsorted(reached, ends) + 1
-        if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[cuts - 1], ends):
+            self.sizes[i] = len(contents.get(i, token))
+        before = self.model.pre_tokenizer
+        own = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and self.model.normalizer is None
+        self.by_kind = own and not any(t.single_word or t.lstrip or t.rstrip for t in added.values())
+        # what is remembered: pieces, the ids of all, how many each has, how much each was used; the first ``older`` were known before the last batch
+        self.pieces, self.ids = pa.array([], pa.large_binary()), np.zeros(0, dtype=self.kind)
+        self.counts, self.uses, self.older = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), 0
+
+    @property
+    def young(self) -> list[bytes]:
+        """Remembered pieces that the last batch brought."""
+        return self.pieces[self.older :].to_pylist()
+
+    @property
+    def old(self) -> list[bytes]:
+        """Remembered pieces of the batches before it."""
+        return self.pieces[: self.older].to_pylist()
+
+    def _joined(self, pieces: pa.Array, feed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first of each piece, number of each) of pieces that are pieces of their joined text too: that is encoded at once, and dealt by the tokens' bytes."""
+        data, offs = buffers(pc.binary_join_element_wise(pieces, *_FEED) if feed else pieces)
+        ids = np.array(self.model.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+        reached, ends = np.append(0, np.cumsum(self.sizes[ids])), offs[1:] - feed
+        if reached[-1] != len(data):
+            return self._apart(pieces)
+        first, last = np.searchsorted(reached, offs[:-1]), np.searchsorted(reached, ends)
+        if (reached[first] != offs[:-1]).any() or (reached[last] != ends).any():
             return self._apart(pieces)
-        raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
-        cuts = (cuts * width).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    def _apart(self, pieces: list[bytes]) -> list[bytes]:
-        return [self._bytes(x.ids) for x in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-
-    def _known(self, distinct: list[bytes], whole: np.ndarray, led: np.ndarray) -> list[bytes]:
-        """The ids of distinct pieces, in their order; ``whole`` are those without white space but a space that ``led`` says is first."""
-        if self.held > MEMO_BYTES:
-            self.old, self.young, self.held = self.young, {}, 0
-        young = self.young
-        out = list(map(young.get, distinct))
-        gaps = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(gaps, map(self.old.get, [distinct[i] for i in gaps]), strict=True):
-            out[i] = ids
-        left = np.array([i for i in gaps if out[i] is None], dtype=np.int64)
+        return ids.astype(self.kind), first, last - first
+
+    def _apart(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.model.encode_batch_fast([p.decode() for p in pieces.to_pylist()], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=self.kind, count=int(counts.sum())), np.cumsum(counts) - counts, counts
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`_joined`, of distinct pieces of any kind."""
+        data, offs = buffers(pieces)
+        led = data[offs[:-1]] == 0x20
+        whole = (np.add.reduceat(white_space(data), offs[:-1], dtype=np.int32) == led) & (np.diff(offs) > led)
+        first, counts, out, at = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64), [], 0
         # a line feed between pieces that no space leads is a piece of its own
-        ways = ((led & whole, self._joined), (~led & whole, lambda part: self._joined([x for p in part for x in (p, b"\n")])[::2]), (~whole, self._apart))
-        for kind, encode in ways:
-            own = left[kind[left]].tolist()
+        for kind, encode in ((led & whole, self._joined), (~led & whole, lambda part: self._joined(part, True)), (~whole, self._apart)):
+            own = np.flatnonzero(kind)
             for k in range(0, len(own), 4096):
-                for i, ids in zip(own[k : k + 4096], encode([distinct[i] for i in own[k : k + 4096]]), strict=True):
-                    out[i] = ids
-        kept = [i for i in gaps if len(distinct[i]) <= SHORT]
-        young.update((distinct[i], out[i]) for i in kept)
-        self.held += len(kept) * _OVERHEAD + 2 * sum(len(distinct[i]) for i in kept)
-        return out
-
-    def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows with the end id behind each, where each row's ids end) of a large_string array without nulls."""
-        data, offs = buffers(texts)
-        rows, n = len(texts), len(data)
+                some = own[k : k + 4096]
+                ids, first[some], counts[some] = encode(pieces.take(pa.array(some)))
+                first[some] += at
+                at += len(ids)
+                out.append(ids)
+        return np.concatenate(out), first, counts
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, first: np.ndarray, counts: np.ndarray, uses: np.ndarray) -> None:
+        """Keep the short ones of these pieces, of which those remembered so far are the first; if they are too many, those of most use."""
+        known, uses = len(self.pieces), uses.astype(np.float32)
+        uses[:known] += FADING * self.uses
+        lengths = np.diff(buffers(pieces)[1])
+        kept = np.flatnonzero(lengths <= SHORT)
+        held = (lengths + counts * self.kind.itemsize + _OVERHEAD)[kept]
+        if held.sum() > MEMO_BYTES:
+            order = np.argsort(-uses[kept], kind="stable")
+            kept = np.sort(kept[order[: np.searchsorted(np.cumsum(held[order]), MEMO_BYTES)]])
+        self.pieces, self.uses, self.counts = pieces.take(pa.array(kept)), uses[kept], counts[kept].astype(np.int32)
+        self.ids = ids[_places(first[kept], counts[kept])]
+        self.older = int(np.searchsorted(kept, known))
+
+    def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where the pieces of rows begin, and the end of the last."""
+        n = len(data)
         cut = np.zeros(n + 1, dtype=bool)
         cut[offs[:-1]] = True
         cut[n] = False
-        white = white_space(data)
         if n > 2:
+            white = white_space(data)
             inner, feed = data[1:-1], data[1:-1] == 0x0A
             mark = inner == 0x20
             mark |= feed
             for beside in (white[:-2], white[2:], cut[1 : n - 1], cut[2:n]):
                 mark &= ~beside
-            cut[1 : n - 1] |= mark
             feed &= mark
+            del white, inner
+            if self.by_kind:
+                left, right = kinds(data)
+                left, right = left[:-1], right[1:]
+                cut[1:n] |= (left != right) & (left > 0) & (right > 0)
+                del left, right
+            cut[1 : n - 1] |= mark
             cut[2:n] |= feed
-            del inner, feed, mark
-        at = np.append(np.flatnonzero(cut), n)
+            text = data.tobytes() if self.added else b""
+            for token in self.added:
+                at = text.find(token)
+                while at >= 0:
+                    cut[at + 1 : at + len(token)] = False
+                    at = text.find(token, at + 1)
+            cut[offs[:-1]] = True
+        cut[n] = True
+        return np.flatnonzero(cut)
+
+    def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows with the end id behind each, where each row's ids end) of a large_string array without nulls."""
+        data, offs = buffers(texts)
+        rows = len(texts)
+        if not len(data):
+            return np.full(rows, self.end_id, dtype=self.kind), np.arange(1, rows + 1)
+        at = self._cuts(data, offs)
         starts = at[:-1]
         last = np.searchsorted(starts, offs[1:]) + np.arange(rows)  # the place of each row's end id among the pieces
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        index, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
-        first = np.zeros(len(distinct), dtype=np.int32)
-        first[index[::-1]] = np.arange(len(index), dtype=np.int32)[::-1]  # the last written is the first piece of its kind
-        led = data[starts[first]] == 0x20 if n else np.zeros(0, dtype=bool)
-        spaces = np.add.reduceat(white, starts, dtype=np.int32)[first] if n else first
-        whole = (spaces == led) & (at[first + 1] - at[first] > led)
-        del cut, white, at, starts, pieces, first, spaces
-        known = self._known(distinct, whole, led)
-        del distinct
-        sizes = np.append(np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.kind.itemsize, 1)
-        pool = np.append(np.frombuffer(b"".join(known), dtype=self.kind), self.kind.type(self.end_id))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+        # one dictionary of what is remembered, which comes first in it, and of the pieces
+        found = pa.chunked_array([self.pieces, pieces]).dictionary_encode().chunks[-1]
+        index, distinct, known = found.indices.to_numpy(), found.dictionary, len(self.pieces)
+        del at, starts, pieces, found
+        ids, first, sizes = self.ids, np.cumsum(self.counts) - self.counts, self.counts
+        if known < len(distinct):
+            more, from_, count = self._encoded(distinct[known:])
+            first, sizes = np.concatenate([first, from_ + len(ids)]), np.concatenate([sizes, count])
+            ids = np.concatenate([ids, more])
+            del more, from_, count
+        uses = np.bincount(index, minlength=len(distinct))
+        total = int(uses @ sizes) + rows
+        self._remember(distinct, ids, first, sizes, uses)
         # the pieces of each row and then its end, as numbers of what is in the pool
-        turn = np.full(len(index) + rows, len(known), dtype=np.int32)
+        turn = np.full(len(index) + rows, len(distinct), dtype=np.int32)
         own = np.ones(len(turn), dtype=bool)
         own[last] = False
         turn[own] = index
-        del known, own
-        total = int(sizes[turn].sum())
+        del index, distinct, own, uses
+        pool, first, sizes = np.append(ids, self.kind.type(self.end_id)), np.append(first, len(ids)), np.append(sizes, 1)
         kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
-        size = sizes.astype(kind)[turn]
-        ends = np.cumsum(size, dtype=kind)
-        from_ = (np.cumsum(sizes) - sizes).astype(kind)[turn]
-        from_ += size
-        from_ -= ends
-        place = np.repeat(from_, size)
-        place += np.arange(total, dtype=kind)
-        return pool[place], ends[last].astype(np.int64)
+        first, size = first.astype(kind)[turn], sizes.astype(kind)[turn]
+        del turn
+        ends = np.cumsum(size, dtype=kind)[last].astype(np.int64)
+        return pool[_places(first, size)], ends
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`_rows`; a row of over SEGMENT bytes is encoded part by part."""

@@ -80,3 +80,50 @@ def test_memory_of_a_batch_is_a_small_multiple_of_its_text():
     finally:
         tracemalloc.stop()
     assert np.array_equal(got, want) and most < 16 * texts.nbytes
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, model):
+        self.model, self.seen = model, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.seen += sum(map(len, texts))
+        return self.model.encode_batch_fast(texts, **more)
+
+
+def ids_of(encode, model, text):
+    assert np.frombuffer(encode([text])[0], encode.kind).tolist() == [*model.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_a_word_is_encoded_once_whatever_sign_is_behind_it(model):
+    encode = tokens.Encoder(byte_bpe(), 2)
+    encode.model = Counting(encode.model)
+    words = [f"{chr(97 + i % 26)}word{chr(97 + i // 26)}é" for i in range(300)]
+    for sign in ",.;:!?":
+        ids_of(encode, model, "".join(f" {w}{sign}" for w in words))
+    assert encode.model.seen < 3_000  # 2,400 characters of words
+
+
+def test_frequent_pieces_outlast_batches_of_rare_ones(model, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 40_000)
+    encode = tokens.Encoder(byte_bpe(), 2)
+    often = " ".join(f"oft{chr(97 + i)}" for i in range(26))
+    ids_of(encode, model, (often + " ") * 20)
+    for k in range(5):
+        ids_of(encode, model, " ".join("".join(chr(97 + (i * 7 + k * 31 + j * j) % 26) for j in range(9)) + chr(97 + i % 26) * (i // 26) for i in range(1_000)))
+    encode.model = Counting(encode.model)
+    ids_of(encode, model, " " + often)
+    assert encode.model.seen == 0
+
+
+def test_every_meeting_of_letters_digits_and_signs(model):
+    """Seeded fuzzing of the cuts by kind: 60,000 strings."""
+    rng = np.random.default_rng(10)
+    signs = [*"abZ''09.,-_<|>", *" \n\t", "'s", "'ll", "'re", "é", "ß", "Ł", "ſ", "×", "÷", "²", "½", "¿", "́", "ƀ", "漢", "٣", "—", "’", "\x01", "\x1c", "\x7f", "\x85", "\xa0", "<|endoftext|>", "endoftext", "<|<|endoftext|>"]
+    encode = tokens.Encoder(byte_bpe(), 2)
+    texts = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(1, 9))) for _ in range(60_000)]
+    want = [np.array([*x.ids, 2], encode.kind).tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
+    got = [ids for i in range(0, len(texts), 1000) for ids in encode(texts[i : i + 1000])]
+    assert [t for t, x, y in zip(texts, want, got, strict=True) if x != y] == []
