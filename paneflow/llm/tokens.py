@@ -341,17 +341,18 @@ def with_bases(manifest: DataFrame) -> DataFrame:
     return manifest.sparkSession.createDataFrame(rows, f"{MANIFEST}, base long")
 
 
-def read_tokens(manifest: DataFrame, width: int, id_type: str = "long") -> DataFrame:
+def read_tokens(manifest: DataFrame, width: int | None = None, id_type: str = "long") -> DataFrame:
     """Per document of the files in ``manifest`` (with bases): doc_id, start, n_tokens, ids_crc32.
 
-    ids_crc32 is the unsigned crc32 of the ids as little-endian 32-bit integers.
+    ids_crc32 is the unsigned crc32 of the ids as little-endian 32-bit integers. ``width`` is the
+    bytes of an id; without it each file's size tells, as every document has an end id.
     """
 
     def task(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                flat = _bytes(f"{path}.bin").view(f"<u{width}")
-                ends = _bytes(f"{path}.idx").view("<i8")
+                flat, ends = _bytes(f"{path}.bin"), _bytes(f"{path}.idx").view("<i8")
+                flat = flat.view(f"<u{width or len(flat) // int(ends[-1])}")
                 keys, n = _bytes(f"{path}.ids"), len(ends) - 1
                 ok, keys = keys[:n].astype(bool), keys[n:].view("<i8") if n % 8 == 0 else keys[n:].copy().view("<i8")
                 for i in range(0, n, 10_000):
@@ -367,5 +368,4 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "do
     """Write the documents as token files and read them back: one row per document."""
     space = Workspace(docs.sparkSession, "tokens")
     files = with_bases(space.table(write_tokens(docs, space.folder("files"), tokenizer, end_id, id_col, text_col), "manifest"))
-    width = Encoder(tokenizer, end_id).kind.itemsize
-    return read_tokens(files, width, dict(docs.dtypes)[id_col])
+    return read_tokens(files, id_type=dict(docs.dtypes)[id_col])

@@ -127,3 +127,10 @@ def test_every_meeting_of_letters_digits_and_signs(model):
     want = [np.array([*x.ids, 2], encode.kind).tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
     got = [ids for i in range(0, len(texts), 1000) for ids in encode(texts[i : i + 1000])]
     assert [t for t, x, y in zip(texts, want, got, strict=True) if x != y] == []
+
+
+def test_the_driver_loads_no_tokenizer(spark, model, monkeypatch):
+    monkeypatch.setattr(tokens, "Encoder", None)
+    check(spark, model, [(1, "a, b"), (2, None), (3, "")])
+    wide = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.tokenise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), byte_bpe(), end_id=70_000).collect()]
+    assert wide == [(1, 2, zlib.crc32(np.array([*model.encode("a").ids, 70_000], "<u4").tobytes()))]
