@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paneflow.functions.expressions import bucket_hash
 from paneflow.operators import blocks, encoder, evaluate, graph
 
 
@@ -103,6 +104,32 @@ def test_clusters_of_groups_few_places_and_none(spark):
     assert empty.count() == 0 and log == []
 
 
+def test_points_of_one_split_are_dealt_to_all_cores(spark, monkeypatch):
+    seen, settled = [], blocks.settled
+    monkeypatch.setattr(blocks, "settled", lambda df: seen.append(df.rdd.getNumPartitions()) or settled(df))
+    found, _ = blocks.clusters(four_towns(spark).drop("town").coalesce(1), 4, restarts=2)
+    assert found.count() == 400 and seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_sums_and_draws_equal_one_by_one(spark):
+    df = four_towns(spark, 90).select("entity", "lat", "lon", F.col("town").cast("string").alias("grp"))
+    held = {"0": [[(0.0, 0.0), (0.1, 0.1)], [(3.0, 3.0)]], "3": [[(10.0, 20.0), (10.0, 20.0)], [(9.0, 21.0), (11.0, 19.0)]]}
+    want, costs, drawn = {}, {}, set()
+    rows = df.withColumns({f"u{s}": bucket_hash(F.col("entity") * 131 + s, 9) / F.lit(float(blocks.SIZE)) for s in (0, 1)}).collect()
+    near = {(r.entity, s): min(((r.lat - a) ** 2 + (r.lon - b) ** 2, i) for i, (a, b) in enumerate(c)) for r in rows for s, c in enumerate(held.get(r.grp, []))}
+    for r in rows:
+        for s in range(len(held.get(r.grp, []))):
+            d, i = near[r.entity, s]
+            old = want.get((r.grp, s, i), (0, 0, 0, 0))
+            want[r.grp, s, i] = tuple(x + y for x, y in zip(old, (1, r.lat, r.lon, d), strict=True))
+            costs[r.grp, s] = costs.get((r.grp, s), 0) + d
+    drawn = {(r.grp, s, r.entity) for r in rows for s in range(len(held.get(r.grp, []))) if r[f"u{s}"] * costs[r.grp, s] < 16 * near[r.entity, s][0]}
+    got = {(r.grp, r.start, r.i): (r.n, r.lat, r.lon, r.d) for r in blocks._sums(df, held).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(r.grp, r.start, r.entity) for r in blocks._drawn(df, held, costs, 16, 9).collect()} == drawn and 0 < len(drawn) < 90
+    assert {(r.entity, r.start): r.i for r in blocks._met(df, held).collect()} == {k: i for k, (_, i) in near.items()}
+
+
 def test_micro_blocks_hold_out_a_share_of_each(spark):
     found = blocks.micro_holdout(four_towns(spark, 800), "town", 6, 0.18, restarts=2)
     sizes = found.groupBy("town", "micro").agg(F.count("*").alias("n"), F.sum(F.col("held").cast("int")).alias("held")).collect()
