@@ -74,6 +74,55 @@ def test_nearest_forms_few_pairs(spark):
     assert sum(pairs.count() for pairs in seen) < 25 * 8 * 20_000
 
 
+def towns_with_copies(rng):
+    """Points of 40 places, many at one place, over the meridian too; some without a value, an id or a position."""
+    places = [(rng.uniform(10, 10.8), rng.uniform(179.6, 180.4)) for _ in range(40)]
+    out = [(i, a, b if b < 180 else b - 360, rng.choice(["x", "y", None])) for i, (a, b) in enumerate(rng.choice(places) for _ in range(260))]
+    return [*out, (900, None, 1.0, "x"), (None, 10.2, 179.9, "y"), (901, -40.0, 3.0, "x")]
+
+
+def plain_sums(points, cap, bands):
+    pairs = [(a, b, round(km(a, b), 6)) for a in points for b in points if None not in (a[0], a[1], b[0], b[1]) and a[0] != b[0] and km(a, b) <= cap]
+    totals, found = {}, {}
+    for a, _, d in pairs:
+        n, total = totals.get(a[0], (0, 0))
+        totals[a[0]] = n + 1, total + d
+    for a, b, d in pairs:
+        if a[0] < b[0]:
+            n, known, same = found.get(band := min(t for t in bands if d <= t), (0, 0, 0))
+            found[band] = n + 1, known + (None not in (a[3], b[3])), same + (a[3] is not None and a[3] == b[3])
+    return {k: (n, round(t, 6)) for k, (n, t) in totals.items()}, {k: (n, same / known) for k, (n, known, same) in found.items() if n > 50}
+
+
+def alike(df, want):
+    got = {k: rest for k, *rest in df.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("share", [2_000, 3])
+def test_sums_over_near_places_equal_all_pairs(spark, monkeypatch, share):
+    points = towns_with_copies(random.Random(5))
+    df = spark.createDataFrame(points, "entity long, lat double, lon double, g string")
+    totals, bands = plain_sums(points, 40.0, (5.0, 20.0, 40.0))
+    monkeypatch.setattr(graph, "SHARE", share)
+    seen, pairs = [], graph._place_pairs
+    monkeypatch.setattr(graph, "_place_pairs", lambda *a, **b: seen.append(pairs(*a, **b)) or seen[-1])
+    monkeypatch.setattr(graph, "near_pairs", None)
+    alike(graph.near_totals(df, 40.0), totals)
+    alike(graph.near_concordance(df, "g", (5.0, 20.0, 40.0)), bands)
+    assert len(bands) == 3
+    assert seen[0].count() <= 41 * 41  # places meet, not points
+
+
+def test_sums_of_ids_that_repeat_go_by_rows(spark):
+    points = [(1, 10.0, 20.0, "x"), (1, 10.1, 20.0, "y"), (2, 10.0, 20.0, "x"), (3, 10.05, 20.0, "y")]
+    df = spark.createDataFrame(points, "entity long, lat double, lon double, g string")
+    totals, _ = plain_sums(points, 40.0, (40.0,))
+    alike(graph.near_totals(df, 40.0), totals)
+    assert graph.near_concordance(df, "g", (40.0,), 0).first().n == 9  # as the join of pairs with both ends: ends of id 1 stand twice
+    assert graph.near_totals(df.limit(0), 40.0).count() == graph.near_concordance(df.limit(0), "g", (40.0,)).count() == 0
+
+
 def four_towns(spark, n=400, extra=""):
     rng = random.Random(7)
     rows = [(i, 10.0 * (i % 2) + rng.gauss(0, 0.3), 20.0 * (i // 2 % 2) + rng.gauss(0, 0.3), i % 4) for i in range(n)]
