@@ -206,6 +206,24 @@ def test_stacking_uses_scores_and_meta_features(rows):
     assert got.count() == 360 and evaluate.roc_auc(got.select("y", "p")).first().auc > 0.75
 
 
+def test_stacking_computes_the_scores_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda p: seen.add(1) or p, "double")
+    base = models.backbone(rows, COLUMNS, "y", 3, ("lr", "forest")).withColumn("p_lr", counted("p_lr"))
+    assert models.stacked(base, 3, ("lr", "forest")).count() == 360
+    assert seen.value <= 2 * 360
+
+
+def test_logistic_scores_are_the_models(rows):
+    fitted = models._model(models._assembled(rows, COLUMNS), "y", "lr", {})
+    both = models._with_scores(fitted, models._assembled(rows, COLUMNS), "want").withColumn("got", models._logistic(fitted, COLUMNS))
+    assert all(r.got == pytest.approx(r.want, abs=1e-12) for r in both.collect())
+    plan = models.out_of_fold(rows, COLUMNS, "y", 3).select("event", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan  # a row computes its own fold's expression
+    with pytest.raises(Exception, match="a feature is missing"):
+        rows.withColumn("a", F.lit(None).cast("double")).select(models._logistic(fitted, COLUMNS)).collect()
+
+
 def test_components_of_training_rows_alone(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5)) * [5, 2, 1, 0.1, 0.05]
